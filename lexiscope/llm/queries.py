@@ -6,6 +6,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lexiscope.llm import embedding_dedup, mixing
+from lexiscope.llm.quality import quality_scores
 from lexiscope.llm.sentencepiece_ids import encode_decode
 from lexiscope.llm.simhash_dedup import near_duplicates
 from lexiscope.llm.token_counts import token_counts
@@ -15,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_read(spark, sf_dir, "documents"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -23,13 +29,24 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
