@@ -6,7 +6,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiscope.llm import embedding_dedup, mixing
+from lexiscope.llm import embedding_dedup, line_dedup, mixing
+from lexiscope.llm.html_text import extract_text
 from lexiscope.llm.quality import quality_scores
 from lexiscope.llm.sentencepiece_ids import encode_decode
 from lexiscope.llm.simhash_dedup import near_duplicates
@@ -25,6 +26,14 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_decisions(_read(spark, sf_dir, "documents"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -44,6 +53,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_html_text": op4_html_text,
     "op5_token_counts": op5_token_counts,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op9_quality": op9_quality,
