@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiscope.llm import embedding_dedup, line_dedup, mixing
+from lexiscope.llm import embedding_dedup, hamming_search, line_dedup, mixing, secret_scan
 from lexiscope.llm.html_text import extract_text
 from lexiscope.llm.quality import quality_scores
 from lexiscope.llm.sentencepiece_ids import encode_decode
@@ -42,6 +43,15 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, sf_dir, "documents"))
+
+
+def op8_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = _read(spark, sf_dir, "embeddings").select("vec_id", hamming_search.sign_code(F.col("embedding")).alias("code"))
+    return hamming_search.top_k(codes, codes.filter("vec_id % 100 = 0"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -57,8 +67,23 @@ QUERIES = {
     "op4_html_text": op4_html_text,
     "op5_token_counts": op5_token_counts,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_hamming_search": op8_hamming_search,
     "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+#: Brute force over all pairs of a query row and a row.
+ORACLES: dict[str, str] = {
+    "op8_hamming_search": """
+        WITH pairs AS (
+            SELECT q.vec_id AS query_id, e.vec_id,
+                   CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (q.embedding[i] > 0) <> (e.embedding[i] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+            FROM embeddings q, embeddings e
+            WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM pairs
+        )
+        SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+    """,
+}
