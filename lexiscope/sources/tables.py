@@ -35,7 +35,7 @@ def text_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(documents, passages.unionByName(turns))
 
 
-def order_subset(key) :
+def order_subset(key):
     return F.when(key % 10 == 0, "test").when(key % 10 == 1, "dev").otherwise("train")
 
 
@@ -66,3 +66,83 @@ def order_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
         F.when(none, F.array().cast("array<string>")).when(is_nil, F.array(F.lit("NIL"))).otherwise(F.array(match)).alias("match_types"),
     )
     return Corpus(documents, passages, annotations)
+
+
+def _strings(*items) -> object:
+    return F.array(*items).cast("array<string>") if items else F.array().cast("array<string>")
+
+
+def part_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts under two parents each, their type and their brand; the bare part key is an alternative id."""
+    part = read(spark, sf_dir, "part")
+    none = _strings()
+    row = lambda seq, ui, name, parents, alt: (seq.cast("long").alias("seq"), ui.alias("ui"), name.alias("name"), none.alias("tree_numbers"), parents.alias("parent_ids"), none.alias("mapped_ui_ids"), alt.alias("alt_ids"))
+    kind, brand = F.concat(F.lit("type:"), "p_type"), F.concat(F.lit("brand:"), "p_brand")
+    parts = part.select(*row(F.col("p_partkey"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")), F.col("p_name"), F.array(kind, brand), none))
+    types = part.select("p_type").distinct().select(*row(F.lit(-1), kind, F.col("p_type"), none, none))
+    brands = part.select("p_brand").distinct().select(*row(F.lit(-2), brand, F.col("p_brand"), none, none))
+    return parts.unionByName(types).unionByName(brands)
+
+
+def place_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and nations by tree number; suppliers have no place in the tree but are mapped to their nation."""
+    none = _strings()
+    text = lambda c: F.col(c).cast("string")
+    row = lambda seq, ui, name, trees, mapped: (seq.cast("long").alias("seq"), ui.alias("ui"), name.alias("name"), trees.alias("tree_numbers"), none.alias("parent_ids"), mapped.alias("mapped_ui_ids"), none.alias("alt_ids"))
+    region, nation = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
+    top = F.concat(F.lit("R"), text("r_regionkey"))
+    regions = region.select(*row(F.col("r_regionkey"), F.concat(F.lit("region:"), text("r_regionkey")), F.col("r_name"), F.array(top), none))
+    tree = F.concat(F.lit("R"), text("n_regionkey"), F.lit(".N"), text("n_nationkey"))
+    nations = nation.select(*row(F.col("n_nationkey"), F.concat(F.lit("nation:"), text("n_nationkey")), F.col("n_name"), F.array(tree), none))
+    supplier = read(spark, sf_dir, "supplier")
+    suppliers = supplier.select(*row(F.col("s_suppkey"), F.concat(F.lit("supplier:"), text("s_suppkey")), F.col("s_name"), none, F.array(F.concat(F.lit("nation:"), text("s_nationkey")))))
+    return regions.unionByName(nations).unionByName(suppliers)
+
+
+def order_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as articles: the customer's market segment is the journal, the order's year the year, and the
+    distinct types and brands of the parts in it (of returned items only) the topics."""
+    orders = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    part = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.array("p_type", "p_brand")).alias("term"))
+    items = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    topics = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("term")).alias("mesh_topics"))
+    rows = orders.join(topics, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    key = F.col("o_orderkey")
+    return rows.select(
+        F.lit("orders").alias("corpus"), order_subset(key).alias("subset"), key.cast("string").alias("document_id"), F.col("c_mktsegment").alias("journal"),
+        F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment")).alias("journal_id"), F.year("o_orderdate").cast("string").alias("pub_year"), "mesh_topics",
+    )
+
+
+#: Journals with the topics they list, and topics that stand in by name; FURNITURE lists none, HOUSEHOLD one that
+#: maps to nothing, and MACHINERY has no record.
+JOURNALS = {"AUTOMOBILE": ["ECONOMY", "LARGE"], "BUILDING": ["Brand#1", "No such term", "SMALL"], "FURNITURE": [], "HOUSEHOLD": ["No such term"]}
+NAME_TOPICS = {"FURNITURE": ["home", "wood"], "HOUSEHOLD": ["home"]}
+TERM_TOPICS = {"ECONOMY": "price", "PROMO": "price", "LARGE": "size", "MEDIUM": "size", "SMALL": "size"}
+ANCHORS = {"brand:Brand#1": "first brand", "brand:Brand#2": None}
+
+
+def constant(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small configured table as a local relation."""
+    import json
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    kinds = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kinds}>>")))
+
+
+def journals(spark: SparkSession) -> DataFrame:
+    return constant(spark, [(k, k, v) for k, v in JOURNALS.items()], "journal_id string, name string, mesh_topics array<string>")
+
+
+def name_topics(spark: SparkSession) -> DataFrame:
+    return constant(spark, list(NAME_TOPICS.items()), "name string, topics array<string>")
+
+
+def term_topics(spark: SparkSession) -> DataFrame:
+    return constant(spark, list(TERM_TOPICS.items()), "term string, topic string")
+
+
+def anchors(spark: SparkSession) -> DataFrame:
+    return constant(spark, list(ANCHORS.items()), "id string, label string")
