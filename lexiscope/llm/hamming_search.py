@@ -3,7 +3,8 @@
 Codes of 64 bits are cut into ``SEGMENTS`` segments, each an index by its value.  Round r probes all values at
 distance exactly r from the query's in every segment.  A code whose total distance is below
 SEGMENTS * (r + 1) has a segment within r, so after round r every such code has been found; a query is done
-once that many found rows suffice for its k, else its radius grows.  A candidate is taken in just one place,
+once that many found rows suffice for its k, else its radius grows.  Codes farther than the k nearest found
+so far are left out in the join itself, so late rounds yield little.  A candidate is taken in just one place,
 the first of its segments with the least segment distance, so no round yields it again.
 
 Equal codes are one entry of the index, however many rows have them, and equal query codes one query.  Of a
@@ -29,9 +30,9 @@ def sign_code(vector: Column) -> Column:
     Null and NaN components count as zero; null and empty arrays have no code."""
     x = F.transform(vector.cast("array<double>"), lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)))
     folds = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.aggregate(F.filter(x, lambda v, at: at % BITS == i), F.lit(0.0), lambda a, v: a + v))
-    code = F.aggregate(folds, F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("c")), lambda a, v: F.struct(
-        (a["i"] + 1).alias("i"), F.when(v > 0, a["c"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), a["i"]))).otherwise(a["c"]).alias("c")), lambda a: a["c"])
-    return F.when(F.size(vector) > 0, code)
+    x = F.when(F.size(x) <= BITS, x).otherwise(folds)
+    bits = F.transform(x, lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.when(F.size(vector) > 0, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
 
 
 def _segment(code: Column, i: int) -> Column:
@@ -70,14 +71,15 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     asked = materialize(queries.filter("vec_id is not null and code is not null").select("vec_id", "code").distinct(), "queries")
     need = k + 1  # the query's own row may be among them
     index = materialize(_segments(codes.groupBy("code").agg(F.count("*").alias("copies")), "code"), "code-index")
-    active = materialize(asked.select(F.col("code").alias("query")).distinct(), "active")
+    active = materialize(asked.select(F.col("code").alias("query"), F.lit(BITS).alias("limit")).distinct(), "active")
     best = done = None
     for radius in range(WIDTH + 1):
         masks = _masks(radius)
-        probes = _segments(active, "query").select("query", "segment", F.col("value").alias("own")).withColumn("mask", F.explode(masks))
-        probes = probes.select("query", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        probes = _segments(active, "query").select("query", "limit", "segment", F.col("value").alias("own")).withColumn("mask", F.explode(masks))
+        probes = probes.select("query", "limit", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         x = F.col("query").bitwiseXOR(F.col("code"))
-        met = probes.join(index, ["segment", "value"]).filter(_first_met(x, radius)).select("query", "code", "copies", F.bit_count(x).alias("distance"))
+        # Probes look small to the planner, as it doesn't know how many masks there are: never broadcast them.
+        met = probes.hint("merge").join(index, ["segment", "value"]).filter(_first_met(x, radius) & (F.bit_count(x) <= F.col("limit"))).select("query", "code", "copies", F.bit_count(x).alias("distance"))
         if best is not None:
             met = met.unionByName(best.join(active, "query", "left_semi"))
         order = W.partitionBy("query").orderBy("distance")
@@ -87,7 +89,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         ready = materialize(counted.select("query"), "ready") if radius < WIDTH else active
         now_done = kept.join(ready, "query", "left_semi")
         done = now_done if done is None else done.unionByName(now_done)
-        following = materialize(active.join(ready, "query", "left_anti"), "active")
+        reach = kept.groupBy("query").agg(F.when(F.count("*") >= need, F.max("distance")).otherwise(BITS).alias("reach"))
+        following = active.join(ready, "query", "left_anti").join(reach, "query", "left")
+        following = materialize(following.select("query", F.least("limit", F.coalesce("reach", F.lit(BITS))).alias("limit")), "active")
         best, active = kept, following
         if active.isEmpty():
             break
