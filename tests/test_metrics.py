@@ -187,3 +187,17 @@ def test_text_functions(spark):
         tx.tree_prefixes(F.lit("a.b.c")).alias("p"), tx.tokens(F.lit(None).cast("string")).alias("n"),
     ).first()
     assert row.t == ["ab", "c", "été", "12"] and row.d == ["a b"] and row.i == "GO:1" and row.s == "1234567X" and row.p == ["a.b.c", "a.b", "a"] and row.n == []
+
+
+def test_report_and_cli(spark, tmp_path, capsys):
+    from lexiscope.cli import main
+    from lexiscope.plans.report import page
+
+    frame = spark.createDataFrame([("a<b", 1.5), (None, None)], "k string, v double")
+    out = page("T&C", {"summary": {"one": frame}, "own": {"two": frame}, "counts": {}})
+    assert "a&lt;b" in out and out.count("<section") == 2 and "T&amp;C" in out
+    (tmp_path / "a.json").write_text('{"x": [1, NaN]}')
+    (tmp_path / "b.json").write_text('{"x": [2, NaN]}')
+    assert main(["diff", str(tmp_path / "a.json"), str(tmp_path / "a.json")]) == 0
+    assert main(["diff", str(tmp_path / "a.json"), str(tmp_path / "b.json")]) == 1 and "/x/0: 1 and 2" in capsys.readouterr().out
+    assert main([]) == 2
