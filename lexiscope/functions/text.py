@@ -88,3 +88,13 @@ def issn(value: Column) -> Column:
     """Eight characters without hyphens and spaces, upper case; null otherwise."""
     plain = F.upper(F.regexp_replace(value, "[- ]", ""))
     return F.when(F.length(plain) == 8, plain)
+
+
+def as_bool(text: str) -> bool:
+    """y, yes, t, true, on, 1 and their opposites, whatever the case; anything else is an error."""
+    value = text.strip().lower()
+    if value in {"y", "yes", "t", "true", "on", "1"}:
+        return True
+    if value in {"n", "no", "f", "false", "off", "0"}:
+        return False
+    raise ValueError(f"not a truth value: {text!r}")

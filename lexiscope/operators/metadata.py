@@ -171,6 +171,25 @@ def match_journals(wanted: DataFrame, journals: DataFrame) -> DataFrame:
     return hits.groupBy("text").agg(F.count_distinct("journal_id").alias("n"), F.min("journal_id").alias("journal_id")).filter("n = 1").select("text", "journal_id")
 
 
+def match_journal_identifiers(wanted: DataFrame, journals: DataFrame) -> DataFrame:
+    """``(key, journal_id)``: for each ``wanted(key, identifiers)`` the one journal that shares an identifier; the
+    NLM id decides before ISSNs do, and several journals for one kind are none."""
+    flat = lambda df, k: df.select(k, F.explode("identifiers").alias("kind", "values")).select(k, "kind", F.explode("values").alias("value")).distinct()
+    hits = flat(wanted, "key").join(flat(journals, "journal_id"), ["kind", "value"]).select("key", "kind", "journal_id").distinct()
+    each = hits.groupBy("key", "kind").agg(F.count("*").alias("n"), F.min("journal_id").alias("journal_id")).filter("n = 1")
+    return each.groupBy("key").agg(F.min_by("journal_id", F.when(F.col("kind") == "nlm", 0).otherwise(1)).alias("journal_id"))
+
+
+def reconcile(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Year and journal of two tables of one key: where both have one, the old year wins, and the old journal does
+    if the names are the same but for case and punctuation; a journal that really differs is an error."""
+    both = old.alias("o").join(new.alias("n"), key, "full")
+    same = journal_key(F.col("o.journal")) == journal_key(F.col("n.journal"))
+    clash = F.col("o.journal").isNotNull() & F.col("n.journal").isNotNull() & ~same
+    journal = F.when(clash, F.raise_error(F.concat(F.lit("journals differ: "), F.col("o.journal"), F.lit(" and "), F.col("n.journal")))).otherwise(F.coalesce("o.journal", "n.journal"))
+    return both.select(key, F.coalesce("o.pub_year", "n.pub_year").alias("pub_year"), journal.cast("string").alias("journal"))
+
+
 def resolve_metadata(documents: DataFrame, metadata: DataFrame) -> DataFrame:
     """``documents(corpus, subset, document_id, identifiers)`` with the first record of ``metadata(record_id,
     identifiers, ...)`` that one of the document's identifiers hits, in their order."""

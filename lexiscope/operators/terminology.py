@@ -214,6 +214,14 @@ class Terminology:
         by_tree = self.trees.join(self.concepts.select("ui", "name"), "ui").groupBy(F.col("tree").alias("key")).agg(F.min_by("name", "seq").alias("label"))
         return own.unionByName(by_tree.join(own, "key", "left_anti"))
 
+    def treetops(self, names: DataFrame, by: str = "segment") -> DataFrame:
+        """``(ui, top)``: names of a concept's tree tops by ``names(code, name)``, looked up by the first dotted
+        segment or, with ``by="letter"``, by its first letter; codes without a name give nothing."""
+        first = F.substring_index("tree", ".", 1)
+        code = F.substring(first, 1, 1) if by == "letter" else first
+        heads = self.trees.select("ui", code.alias("code")).distinct()
+        return heads.join(names.select("code", F.col("name").alias("top")), "code").select("ui", "top").distinct()
+
     def totals(self, weights: DataFrame) -> DataFrame:
         """``(key, total)``: the weights of all concepts together."""
         return weights.groupBy("key").agg(F.sum("w").alias("total"))

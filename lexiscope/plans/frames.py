@@ -47,3 +47,18 @@ class Corpus:
         if self.annotations is not None and other.annotations is not None:
             both = self.annotations.unionByName(other.annotations)
         return Corpus(self.documents.unionByName(other.documents), self.passages.unionByName(other.passages), both if both is not None else self.annotations if self.annotations is not None else other.annotations)
+
+
+def save(corpus: Corpus, path: str) -> None:
+    """Write the frames under ``path``, partitioned by corpus and subset so that readers skip other splits."""
+    for name in ("documents", "passages", "annotations"):
+        frame = getattr(corpus, name)
+        if frame is not None:
+            frame.write.mode("overwrite").partitionBy("corpus", "subset").parquet(f"{path}/{name}")
+
+
+def load(spark, path: str, annotated: bool = True) -> Corpus:
+    """Frames that ``save`` wrote."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    text = lambda df: df.withColumns({c: F.col(c).cast("string") for c in ("corpus", "subset")})
+    return Corpus(text(read("documents")), text(read("passages")), text(read("annotations")) if annotated else None)

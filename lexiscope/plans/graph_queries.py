@@ -161,6 +161,20 @@ def topic_weights(spark, sf_dir):
     return found.select(F.lower(F.trim(F.regexp_replace("term", r"\s+", " "))).alias("term"), "key", F.round("w", 8).alias("w"))
 
 
+@query("t13_treetop_names", """SELECT 'region:' || r_regionkey AS ui, 'Region ' || r_regionkey AS top FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'Region ' || n_regionkey FROM nation""")
+def treetop_names(spark, sf_dir):
+    names = tb.read(spark, sf_dir, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("code"), F.concat(F.lit("Region "), F.col("r_regionkey").cast("string")).alias("name"))
+    return places(spark, sf_dir).treetops(names)
+
+
+@query("j10_journal_name_matches", """SELECT c_mktsegment AS text, c_mktsegment AS journal_id FROM customer WHERE c_mktsegment NOT IN ('MACHINERY', 'BUILDING') GROUP BY c_mktsegment""")
+def journal_name_matches(spark, sf_dir):
+    journals = tb.journals(spark).select("journal_id", F.initcap("name").alias("name"), F.lit(None).cast("string").alias("abbreviation"), F.array(F.concat(F.lit("The "), F.lower("name"))).alias("name_variants"))
+    twin = tb.constant(spark, [("X", "building.", None, [])], "journal_id string, name string, abbreviation string, name_variants array<string>")
+    wanted = tb.read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("text")).distinct()
+    return md.match_journals(wanted, journals.unionByName(twin))
+
+
 @query("t08_global_branch_totals", f"WITH {_CONCEPTS} SELECT key, CAST(sum(w) AS DOUBLE) AS total FROM branch GROUP BY key")
 def global_totals(spark, sf_dir):
     parts_ = parts(spark, sf_dir)

@@ -201,3 +201,32 @@ def test_report_and_cli(spark, tmp_path, capsys):
     assert main(["diff", str(tmp_path / "a.json"), str(tmp_path / "a.json")]) == 0
     assert main(["diff", str(tmp_path / "a.json"), str(tmp_path / "b.json")]) == 1 and "/x/0: 1 and 2" in capsys.readouterr().out
     assert main([]) == 2
+
+
+def test_saved_corpus(spark, corpus, tmp_path):
+    from lexiscope.plans.frames import load, save
+
+    save(corpus, str(tmp_path / "c"))
+    back = load(spark, str(tmp_path / "c"))
+    assert back.documents.count() == 3 and back.annotations.filter("subset = 'train'").count() == 4 and set(back.passages.columns) == set(corpus.passages.columns)
+
+
+def test_reconcile_and_identifiers(spark):
+    schema = "document_id string, pub_year string, journal string"
+    old = spark.createDataFrame([("a", "1999", "J. Name"), ("b", None, None)], schema)
+    got = {r.document_id: (r.pub_year, r.journal) for r in md.reconcile(old, spark.createDataFrame([("a", "2000", "j name"), ("b", "2001", "K"), ("c", "2002", "L")], schema), "document_id").collect()}
+    assert got == {"a": ("1999", "J. Name"), "b": ("2001", "K"), "c": ("2002", "L")}
+    with pytest.raises(Exception, match="journals differ"):
+        md.reconcile(old, spark.createDataFrame([("a", None, "Other")], schema), "document_id").collect()
+    ids = "identifiers map<string,array<string>>"
+    journals = spark.createDataFrame([(1, {"nlm": ["5"], "issn": ["x"]}), (2, {"issn": ["x", "y"]})], f"journal_id long, {ids}")
+    wanted = spark.createDataFrame([("p", {"issn": ["y"]}), ("q", {"issn": ["x"]}), ("r", {"nlm": ["5"], "issn": ["y"]})], f"key string, {ids}")
+    assert {r.key: r.journal_id for r in md.match_journal_identifiers(wanted, journals).collect()} == {"p": 2, "r": 1}
+
+
+def test_truth_values():
+    from lexiscope.functions.text import as_bool
+
+    assert as_bool(" Yes") and not as_bool("0")
+    with pytest.raises(ValueError):
+        as_bool("maybe")
