@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -11,5 +13,9 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` written to spark.checkpoint.dir and read back; a folder of this machine only where none is set."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiscope-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            where = tempfile.mkdtemp(prefix="lexiscope-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
+        context.setCheckpointDir(where)
     return df.checkpoint(eager=True)
