@@ -2,8 +2,9 @@
 
 Lines are normalised (lower case, punctuation and white space runs to one space, trimmed) and hashed; equal
 ones are one *line* from there on.  A line's SimHash is the bitwise majority of its words' hashes.  Two lines
-are candidates if their SimHashes differ in at most three bits: of five blocks at least two then agree, so
-lines meet in the buckets of the ten block pairs.  Candidates are verified by edit similarity, and each
+are candidates if their SimHashes differ in at most two bits: of four blocks at least two then agree, so
+lines meet in the buckets of the six block pairs, which are 32 bits wide.  Candidates are verified by the edit similarity of their word
+sequences, each word being one of 20,000 symbols, and each
 connected group keeps the first occurrence (smallest document id, then line number) of any of its lines.
 
 A bucket with many variants of one line must not yield all its pairs: each line is first linked to its
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 from lexiscope.llm.graph import connected_components
 from lexiscope.llm.runtime import materialize
 
-SIMILARITY, DISTANCE = 0.8, 3
+SIMILARITY, DISTANCE = 0.8, 2
 #: Widths of the blocks that make up the 64 bits, low bits first.
-BLOCKS = (13, 13, 13, 13, 12)
-#: Characters beyond which edit distance is summed over pieces of that length, an upper bound of the whole's.
+BLOCKS = (16, 16, 16, 16)
+#: Symbols that words are mapped to for verification: code points from FIRST_SYMBOL on.
+SYMBOLS, FIRST_SYMBOL = 20_000, 0x4E00
+#: Words beyond which edit distance is summed over pieces of that length, an upper bound of the whole's.
 PIECE = 4000
 #: The candidate bitmap: so many buckets of 32,768 bits (4 KB) each, 2 MB in all.
 BITMAP_BUCKETS = 512
@@ -48,22 +51,24 @@ def line_table(docs: DataFrame) -> DataFrame:
 def signatures(lines: DataFrame) -> DataFrame:
     """``(line, fp, chars, copies)`` per distinct line.
 
-    Copies are summed along: majorities don't change when all counts are multiplied, so nothing needs to be
-    made distinct first, and a line with any number of copies is one partial row of each task.
+    Words are counted per line and input partition, two bits to a sum (each sum's halves count bits i and
+    i + 32, and a partition has fewer than 2^31 words).  Copies of a line are counted along, as a majority
+    doesn't change when all counts are multiplied; so its signature is the same in all partitions, a line with
+    any number of copies is one row of each, and nothing is made distinct beforehand.
     """
-    words = lines.select("line", F.length("norm").alias("chars"), F.explode(F.split("norm", " ")).alias("word"))
-    words = words.select("line", "chars", F.xxhash64("word").alias("h"))
-    ones = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
-    counted = words.groupBy("line").agg(F.count("*").alias("n"), F.min("chars").alias("chars"), *ones)
-    fp = F.lit(0).cast("long")
-    for i in range(64):
-        fp = fp.bitwiseOR(F.shiftleft(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1)).otherwise(F.lit(0)).cast("long"), i))
-    copies = lines.groupBy("line").agg(F.count("*").alias("copies"))
-    return counted.select("line", fp.alias("fp"), "chars").join(copies, "line")
+    cut = lines.select("line", F.length("norm").alias("chars"), F.spark_partition_id().alias("part"), F.split("norm", " ").alias("words"))
+    words = cut.select("line", "chars", "part", F.size("words").alias("length"), F.explode("words").alias("word"))
+    words = words.select("line", "chars", "part", "length", F.xxhash64("word").alias("h"))
+    ones = [F.sum(F.expr(f"(h >>> {i}) & {1 << 32 | 1}L")).alias(f"b{i}") for i in range(32)]
+    counted = words.groupBy("line", "part").agg(F.count("*").alias("n"), F.min("length").alias("length"), F.min("chars").alias("chars"), *ones)
+    bits = [f"if(2 * ((b{i % 32} >>> {i // 32 * 32}) & {(1 << 32) - 1}L) > n, {1 << i}L, 0L)" for i in range(63)]
+    fp = F.expr(" | ".join([*bits, "shiftleft(if(2 * (b31 >>> 32) > n, 1L, 0L), 63)"]))
+    each = counted.select("line", fp.alias("fp"), "chars", (F.col("n") / F.col("length")).cast("long").alias("copies"))
+    return each.groupBy("line").agg(F.min("fp").alias("fp"), F.min("chars").alias("chars"), F.sum("copies").alias("copies"))
 
 
 def bucket_keys(fp: Column) -> Column:
-    """The line's bucket in each table, one for each pair of blocks."""
+    """The line's bucket in each table, one for each choice of blocks that may agree."""
     parts, at = [], 0
     for width in BLOCKS:
         parts.append((F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)), width))
@@ -85,7 +90,8 @@ def _near(a: str, b: str, chars_a: str, chars_b: str) -> Column:
 
 
 def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(line, norm)`` of the lines in ``pairs``, and of a few more that the bitmap can't tell from them."""
+    """``(line, words)`` of the lines in ``pairs``, and of a few more that the bitmap can't tell from them;
+    ``words`` has one symbol for each word."""
     bits = BITMAP_BUCKETS << 15
     place = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(bits))
     asked = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).withColumn("place", place("line"))
@@ -94,29 +100,29 @@ def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     marked = marked.join(F.broadcast(bitmap), "part")  # at most BITMAP_BUCKETS rows
     byte = "cast(conv(hex(substring(bits, cast(((place & 32767) >> 3) + 1 as int), 1)), 16, 10) as int)"
     passed = marked.filter(F.expr(f"(({byte} >> cast(place & 7 as int)) & 1) = 1"))
-    return passed.groupBy("line").agg(F.min("norm").alias("norm"))
+    word = f"lpad(hex(pmod(xxhash64(w), {SYMBOLS}) + {FIRST_SYMBOL}), 4, '0')"
+    symbols = F.expr(f"decode(unhex(array_join(transform(split(norm, ' '), w -> {word}), '')), 'UTF-16BE')")
+    return passed.groupBy("line").agg(F.min("norm").alias("norm")).select("line", symbols.alias("words"))
 
 
-def edit_similar(a: Column, b: Column) -> Column:
-    """Whether 1 - distance / longer length is at least SIMILARITY, ``a`` and ``b`` being string columns."""
-    pieces = lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length(a), F.length(b)) - 1) / PIECE).cast("int")), lambda i: F.substr(c, i * PIECE + 1, F.lit(PIECE)))
-    allowed = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - SIMILARITY) + 1e-9).cast("int")
-    long = F.aggregate(F.arrays_zip(pieces(a).alias("x"), pieces(b).alias("y")), F.lit(0), lambda n, p: F.when(n > allowed, n).otherwise(n + F.levenshtein(p["x"], p["y"])))
-    whole = F.levenshtein(a, b)
-    return F.when(F.greatest(F.length(a), F.length(b)) <= PIECE, whole).otherwise(long) <= allowed
+def edit_similar() -> Column:
+    """Whether 1 - distance / longer length of the columns ``one`` and ``two`` is at least SIMILARITY."""
+    cut = lambda c: f"substr({c}, i * {PIECE} + 1, {PIECE})"
+    pieces = f"transform(sequence(0, cast((longest - 1) div {PIECE} as int)), i -> levenshtein({cut('one')}, {cut('two')}))"
+    return F.expr(f"if(longest <= {PIECE}, levenshtein(one, two), aggregate({pieces}, 0, (a, b) -> a + b)) <= longest * {1 - SIMILARITY:.6f} + 1e-9")
 
 
 def verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of lines whose texts are similar."""
     texts = materialize(_texts(lines, pairs), "line-texts")
-    left = pairs.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("one")), "a")
-    both = left.join(texts.select(F.col("line").alias("b"), F.col("norm").alias("two")), "b")
-    return both.filter(edit_similar(F.col("one"), F.col("two"))).select("a", "b")
+    left = pairs.join(texts.select(F.col("line").alias("a"), F.col("words").alias("one")), "a")
+    both = left.join(texts.select(F.col("line").alias("b"), F.col("words").alias("two")), "b")
+    return both.withColumn("longest", F.greatest(F.length("one"), F.length("two"))).filter(edit_similar()).select("a", "b")
 
 
-def line_groups(lines: DataFrame) -> DataFrame:
-    """``(line, root)`` for every line that is linked with another text; ``lines`` from ``line_table``, written."""
-    marks = materialize(signatures(lines), "line-signatures")
+def line_groups(lines: DataFrame, marks: DataFrame) -> DataFrame:
+    """``(line, root)`` for every line that is linked with another text; ``lines`` from ``line_table`` and
+    ``marks`` from ``signatures``, both written."""
     keyed = marks.withColumn("key", F.explode(bucket_keys(F.col("fp"))))
     bucket = W.partitionBy("key")
     hub = F.max(F.struct("copies", "line", "fp", "chars")).over(bucket)
@@ -148,11 +154,17 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     are not read.
     """
     lines = materialize(line_table(docs), "lines")
-    roots = materialize(line_groups(lines), "line-groups")
-    tagged = lines.select("doc_id", "line_no", "line").join(roots, "line", "left").select("doc_id", "line_no", F.coalesce("root", "line").alias("line_group"))
-    firsts = tagged.groupBy("line_group").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"))
-    out = tagged.join(firsts, "line_group")
-    return out.select("doc_id", "line_no", "line_group", "copies", F.struct("doc_id", "line_no").eqNullSafe(F.col("first")).alias("kept"))
+    marks = materialize(signatures(lines), "line-signatures")
+    roots = line_groups(lines, marks)
+    # Lines that occur once and are linked with nothing are kept; only the others are grouped.
+    repeated = marks.filter("copies > 1").select("line").join(roots, "line", "full").select("line", F.coalesce("root", "line").alias("root"))
+    repeated = materialize(repeated, "line-groups")
+    tagged = materialize(lines.select("doc_id", "line_no", "line").join(repeated, "line", "left"), "tagged-lines")
+    alone = tagged.filter("root is null").select("doc_id", "line_no", F.col("line").alias("line_group"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("kept"))
+    several = tagged.filter("root is not null").select("doc_id", "line_no", F.col("root").alias("line_group"))
+    firsts = several.groupBy("line_group").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"))
+    out = several.join(firsts, "line_group")
+    return alone.unionByName(out.select("doc_id", "line_no", "line_group", "copies", F.struct("doc_id", "line_no").eqNullSafe(F.col("first")).alias("kept")))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
