@@ -24,15 +24,15 @@ by_value(__name__)
 WIDTH, FILTERS, HALF_CHUNK = 6, 12, 128
 #: Bytes that go through the filters at once.
 PIECE = 1 << 18
-SAMPLE, LONGEST, FOLDS, EPOCHS = 2000, 1 << 16, 5, 8
+SAMPLE, LONGEST, FOLDS, STEPS = 2000, 1 << 16, 5, 660
 
 
 def _flatten(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one array, each zero-padded to whole half-chunks (WIDTH - 1 zeros at least), and the number
-    of half-chunks of each."""
-    halves = np.array([-(-(len(t) + WIDTH - 1) // HALF_CHUNK) for t in texts], np.int64)
+    """All texts in one array, each zero-padded to whole half-chunks, and the number of half-chunks of each.
+    WIDTH - 1 zeros before and after each text keep the filters from seeing two texts at once."""
+    halves = np.array([-(-(len(t) + 2 * (WIDTH - 1)) // HALF_CHUNK) for t in texts], np.int64)
     flat = np.zeros(int(halves.sum()) * HALF_CHUNK + WIDTH, np.uint8)
-    at = 0
+    at = WIDTH - 1
     for t, n in zip(texts, halves.tolist()):
         flat[at : at + len(t)] = np.frombuffer(t, np.uint8)
         at += n * HALF_CHUNK
@@ -99,10 +99,11 @@ class ByteConvNet:
         x = self.features(best, counts)[0]
         return 1 / (1 + np.exp(-np.clip(x @ self.out + self.out_bias, -30, 30).astype(np.float64)))
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, batch: int = 24, rate: float = 0.02, seed: int = 5) -> ByteConvNet:
+    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = STEPS, batch: int = 24, rate: float = 0.02, seed: int = 5) -> ByteConvNet:
         if not len(texts):
             return self
         rng = np.random.default_rng(seed)
+        epochs = -(-steps // -(-len(texts) // batch))
         state = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.filters, self.bias, self.out, np.zeros(1, np.float32))]
         share = min(max(float(labels.mean()), 0.02), 0.98)
         self.out_bias = np.float32(np.log(share / (1 - share)))
