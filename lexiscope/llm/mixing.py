@@ -167,7 +167,8 @@ def mix_report(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS,
     """
     placed, sources = _placed(docs, weights, block_words)
     times = plan(sources, shard_slots).groupBy("rank", "block").agg(F.count("*").alias("times"))
-    cut = pieces(placed, block_words).join(times, ["rank", "block"], "left")
+    # The planner can't know how many slots a plan has: never broadcast it.
+    cut = pieces(placed, block_words).join(times.hint("merge"), ["rank", "block"], "left")
     taken = cut.groupBy("rank", "start", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     wordless = placed.filter("size = 0").select("rank", "start", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     small = F.broadcast(sources.select("rank", "source_size", "target"))
@@ -182,14 +183,15 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_W
     Rows without words are in no mix.  Nulls, repeats and empty tables as in ``mix_report``.
     """
     placed, sources = _placed(docs, weights, block_words)
-    taken = pieces(placed, block_words).join(plan(sources, shard_slots).select("rank", "block", "pass"), ["rank", "block"])
+    taken = pieces(placed, block_words).join(plan(sources, shard_slots).select("rank", "block", "pass").hint("merge"), ["rank", "block"])
     rows = taken.groupBy("rank", "start", "k1", "k2", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("parts"), F.sum("words").alias("taken"))
     every = [F.col(c) for c in ("doc_id", "source", "text")]
-    texts = docs.withColumn("k1", F.xxhash64(*every)).withColumn("k2", F.xxhash64(F.lit(SEED), *every)).dropDuplicates(["k1", "k2"])
-    joined = texts.join(rows, ["k1", "k2"])
+    rows = rows.select(*(F.col(c).alias(f"_mix_{c}") for c in ("k1", "k2", "size", "parts", "taken")))
+    texts = docs.withColumn("_mix_k1", F.xxhash64(*every)).withColumn("_mix_k2", F.xxhash64(F.lit(SEED), *every)).dropDuplicates(["_mix_k1", "_mix_k2"])
+    joined = texts.join(rows, ["_mix_k1", "_mix_k2"])
     words = F.regexp_extract_all(F.col("text"), F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, p["skip"] + 1, p["words"]))), "")
-    out = joined.withColumn("text", F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(some))
+    some = F.array_join(F.flatten(F.transform("_mix_parts", lambda p: F.slice(words, p["skip"] + 1, p["words"]))), "")
+    out = joined.withColumn("text", F.when(F.col("_mix_taken") == F.col("_mix_size"), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
@@ -20,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     tests, a temporary one of this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lexiscope-")
+        own = tempfile.mkdtemp(prefix="lexiscope-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
