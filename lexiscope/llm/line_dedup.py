@@ -61,8 +61,11 @@ def signatures(lines: DataFrame) -> DataFrame:
     words = words.select("line", "chars", "part", "length", F.xxhash64("word").alias("h"))
     ones = [F.sum(F.expr(f"(h >>> {i}) & {1 << 32 | 1}L")).alias(f"b{i}") for i in range(32)]
     counted = words.groupBy("line", "part").agg(F.count("*").alias("n"), F.min("length").alias("length"), F.min("chars").alias("chars"), *ones)
-    bits = [f"if(2 * ((b{i % 32} >>> {i // 32 * 32}) & {(1 << 32) - 1}L) > n, {1 << i}L, 0L)" for i in range(63)]
-    fp = F.expr(" | ".join([*bits, "shiftleft(if(2 * (b31 >>> 32) > n, 1L, 0L), 63)"]))
+    # An array and a loop, as one expression of 64 branches makes a method too long for the JIT.
+    half = f"{(1 << 32) - 1}L"
+    bit = f"shiftleft(if(2 * (b & {half}) > n, 1L, 0L), i) | shiftleft(if(2 * (b >>> 32) > n, 1L, 0L), i + 32)"
+    sums = ", ".join(f"b{i}" for i in range(32))
+    fp = F.expr(f"aggregate(transform(array({sums}), (b, i) -> {bit}), 0L, (a, x) -> a | x)")
     each = counted.select("line", fp.alias("fp"), "chars", (F.col("n") / F.col("length")).cast("long").alias("copies"))
     return each.groupBy("line").agg(F.min("fp").alias("fp"), F.min("chars").alias("chars"), F.sum("copies").alias("copies"))
 
