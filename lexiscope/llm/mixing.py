@@ -21,6 +21,8 @@ from lexiscope.llm.runtime import materialize
 
 BLOCK_WORDS, SHARD_SLOTS, WEIGHTS, MOST_PASSES, SEED = 64, 1024, (5, 2, 1), 3, 20240607
 MOST_SOURCES = 100_000
+#: Slots of the plan that one task makes, about.
+SLOTS_A_TASK = 1 << 16
 #: Cells of the unit interval, through which a uniform draw finds its source by equality.
 CELLS = 4096
 SPACE = r" \t\n\x0B\f\r"
@@ -121,6 +123,8 @@ def plan(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     inner = F.sum("n").over(W.partitionBy("rank", "run").orderBy("shard")) - F.col("n")
     spans = counts.withColumn("inner", inner).join(runs, ["rank", "run"]).withColumn("low", F.col("run_start") + F.col("inner"))
     spans = spans.join(small.select("rank", "quota"), "rank").withColumn("high", F.least(F.col("low") + F.col("n"), F.col("quota"))).filter("high > low")
+    # A few spans stand for very many slots: deal them out by the number of slots, not by their own size.
+    spans = spans.repartition(max(1, -(-total // SLOTS_A_TASK)), "shard", "rank")
     slots = spans.select("shard", "rank", F.explode(F.sequence("low", F.col("high") - 1)).alias("slot"))
     # closing shards, for what was drawn short
     drawn = sources.select("rank", "quota").join(counts.groupBy("rank").agg(F.sum("n").alias("drawn")), "rank", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
@@ -190,7 +194,9 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_W
     texts = docs.withColumn("_mix_k1", F.xxhash64(*every)).withColumn("_mix_k2", F.xxhash64(F.lit(SEED), *every)).dropDuplicates(["_mix_k1", "_mix_k2"])
     joined = texts.join(rows, ["_mix_k1", "_mix_k2"])
     words = F.regexp_extract_all(F.col("text"), F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("_mix_parts", lambda p: F.slice(words, p["skip"] + 1, p["words"]))), "")
+    # Bound to a variable, so that a text is cut into words once and not for each of its parts.
+    joined_parts = lambda w: F.array_join(F.flatten(F.transform("_mix_parts", lambda p: F.slice(w, p["skip"] + 1, p["words"]))), "")
+    some = F.get(F.transform(F.array(words), joined_parts), F.lit(0))
     out = joined.withColumn("text", F.when(F.col("_mix_taken") == F.col("_mix_size"), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
