@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexiscope.llm import line_dedup, mixing, simhash_dedup
 from lexiscope.llm.quality import quality_scores
@@ -27,11 +26,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; rows that share an id are
-    copies too."""
-    groups = simhash_dedup.near_duplicates(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near copies, the one with the smallest id; rows with one id or none whose
+    texts don't link are groups of their own."""
+    return simhash_dedup.one_of_each_group(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,9 +197,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read.
     """
     marked = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    table = fingerprint_groups(marked, threshold).select("fp", "component_id")
+    return marked.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def fingerprint_groups(marked: DataFrame, threshold: int = 2) -> DataFrame:
+    """``(fp, root, component_id)`` for each distinct ``fp`` of ``marked(doc_id, fp)``; ``root`` is the group's
+    smallest fingerprint, which unlike ``component_id`` is never null nor shared by two groups."""
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = connected_components(links(distinct, threshold), "a", "b").withColumnRenamed("node", "fp")
     joined = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    table = joined.join(lowest, "root").select("fp", "component_id")
-    return marked.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return joined.join(lowest, "root").select("fp", "root", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2) -> DataFrame:
+    """One row of ``docs`` for each group of near copies: the one with the smallest id, among those with that id
+    the one with the smallest hash.  A null id comes after all others.  Rows that share an id, or have none, are
+    told apart by a hash of the whole row, so texts that don't link all stay."""
+    row = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    keyed = docs.withColumn("_row", row)
+    # The kernel passes one column through: the number of the row, here its hash.
+    fps = fingerprints(keyed, "_row", text_col).withColumnRenamed("doc_id", "_row").distinct()
+    ids = keyed.select("_row", F.col(id_col).cast("long").alias("doc_id")).distinct()
+    marked = materialize(fps.join(ids, "_row"), "row-fingerprints")
+    grouped = marked.join(fingerprint_groups(marked, threshold).select("fp", "root"), "fp")
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    kept = materialize(first.select("first._row"), "kept-rows")
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
