@@ -65,41 +65,47 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     ``codes(vec_id, code)`` with other ids that are nearest in Hamming distance, ties by id.
 
     Rows with a null code or id are neither found nor asked for.  Rows with one id and several codes are
-    several entries, of which a query may return each.  With fewer than ``k`` other rows all are returned; empty tables give no rows.
+    several entries, of which a query may return each, and so are repeated rows; none of a query's own id count
+    among its ``k``.  With fewer than ``k`` other rows all are returned; empty tables give no rows.
     """
-    codes = materialize(codes.filter("vec_id is not null and code is not null").select("vec_id", "code"), "codes")
+    codes = codes.filter("vec_id is not null and code is not null").groupBy("vec_id", "code").agg(F.count("*").alias("times"))
+    codes = materialize(codes, "codes")
     asked = materialize(queries.filter("vec_id is not null and code is not null").select("vec_id", "code").distinct(), "queries")
-    need = k + 1  # the query's own row may be among them
+    # Entries are pairs of an id and a code, each of one row or more.  Those of the query's own id don't count.
+    own = asked.join(codes.select("vec_id"), "vec_id").groupBy("vec_id", "code").agg(F.count("*").alias("own"))
+    needs = asked.join(own, ["vec_id", "code"], "left").groupBy(F.col("code").alias("query")).agg((k + F.coalesce(F.max("own"), F.lit(0))).alias("need"))
     index = materialize(_segments(codes.groupBy("code").agg(F.count("*").alias("copies")), "code"), "code-index")
-    active = materialize(asked.select(F.col("code").alias("query"), F.lit(BITS).alias("limit")).distinct(), "active")
+    needs = materialize(needs, "needs")
+    active = materialize(needs.select("query", "need", F.lit(BITS).alias("limit")), "active")
     best = done = None
     for radius in range(WIDTH + 1):
         masks = _masks(radius)
-        probes = _segments(active, "query").select("query", "limit", "segment", F.col("value").alias("own")).withColumn("mask", F.explode(masks))
-        probes = probes.select("query", "limit", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        probes = _segments(active, "query").select("query", "need", "limit", "segment", F.col("value").alias("own")).withColumn("mask", F.explode(masks))
+        probes = probes.select("query", "need", "limit", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         x = F.col("query").bitwiseXOR(F.col("code"))
         # Probes look small to the planner, as it doesn't know how many masks there are: never broadcast them.
-        met = probes.hint("merge").join(index, ["segment", "value"]).filter(_first_met(x, radius) & (F.bit_count(x) <= F.col("limit"))).select("query", "code", "copies", F.bit_count(x).alias("distance"))
+        met = probes.hint("merge").join(index, ["segment", "value"]).filter(_first_met(x, radius) & (F.bit_count(x) <= F.col("limit"))).select("query", "need", "code", "copies", F.bit_count(x).alias("distance"))
         if best is not None:
             met = met.unionByName(best.join(active, "query", "left_semi"))
         order = W.partitionBy("query").orderBy("distance")
-        kept = materialize(met.withColumn("place", F.rank().over(order)).filter(F.col("place") <= need).drop("place"), "nearest")
+        kept = materialize(met.withColumn("place", F.rank().over(order)).filter("place <= need").drop("place"), "nearest")
         sure = SEGMENTS * (radius + 1) - 1
-        counted = kept.filter(F.col("distance") <= sure).groupBy("query").agg(F.sum("copies").alias("n")).filter(F.col("n") >= need)
+        counted = kept.filter(F.col("distance") <= sure).groupBy("query", "need").agg(F.sum("copies").alias("n")).filter("n >= need")
         ready = materialize(counted.select("query"), "ready") if radius < WIDTH else active
         now_done = kept.join(ready, "query", "left_semi")
         done = now_done if done is None else done.unionByName(now_done)
-        reach = kept.groupBy("query").agg(F.when(F.count("*") >= need, F.max("distance")).otherwise(BITS).alias("reach"))
-        following = active.join(ready, "query", "left_anti").join(reach, "query", "left")
-        following = materialize(following.select("query", F.least("limit", F.coalesce("reach", F.lit(BITS))).alias("limit")), "active")
+        reach = kept.groupBy("query", "need").agg(F.when(F.count("*") >= F.col("need"), F.max("distance")).otherwise(BITS).alias("reach"))
+        following = active.join(ready, "query", "left_anti").join(reach.drop("need"), "query", "left")
+        following = materialize(following.select("query", "need", F.least("limit", F.coalesce("reach", F.lit(BITS))).alias("limit")), "active")
         best, active = kept, following
         if active.isEmpty():
             break
-    ids = codes.withColumn("place", F.row_number().over(W.partitionBy("code").orderBy("vec_id"))).filter(F.col("place") <= need).drop("place")
-    found = done.select(F.col("query"), "code", "distance").join(ids, "code").select(F.col("query").alias("code"), "vec_id", "distance")
+    # Within a code one id at most is the query's own.
+    ids = codes.withColumn("place", F.row_number().over(W.partitionBy("code").orderBy("vec_id"))).filter(F.col("place") <= k + 1).drop("place")
+    found = done.select("query", "need", "code", "distance").join(ids, "code").select(F.col("query").alias("code"), "need", "vec_id", "times", "distance")
     top = W.partitionBy("code").orderBy("distance", "vec_id")
-    # Ids met ``need`` times at most per query code; one more for each row that shares the query's id is left out below.
-    found = found.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= need).drop("place")
+    found = found.withColumn("place", F.row_number().over(top)).filter("place <= need").drop("place")
     pairs = asked.select(F.col("vec_id").alias("query_id"), "code").join(found, "code").filter("query_id != vec_id")
+    pairs = pairs.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k).cast("long")))))
     pairs = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "code").orderBy("distance", "vec_id"))).filter(F.col("rank") <= k)
     return pairs.select("query_id", "rank", "vec_id", "distance")
