@@ -40,12 +40,17 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[\x00-\x09\x0B-/:-@\[-`{-\x7F]+", " ")
 
 
+def row_key() -> Column:
+    """Tells rows with one id, or none, apart by their text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, line, norm)`` for every line that isn't blank after normalisation; ``line`` is a hash
-    of the normalised text ``norm``."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(normalised(F.col("text").cast("string")), "\n")).alias("line_no", "raw"))
-    lines = lines.select("doc_id", "line_no", F.trim("raw").alias("norm")).filter("norm != ''")
-    return lines.select("doc_id", "line_no", F.xxhash64("norm").alias("line"), "norm")
+    """``(doc_id, row, line_no, line, norm)`` for every line that isn't blank after normalisation; ``line`` is a hash
+    of the normalised text ``norm``, ``row`` the row's key."""
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), F.posexplode(F.split(normalised(F.col("text").cast("string")), "\n")).alias("line_no", "raw"))
+    lines = lines.select("doc_id", "row", "line_no", F.trim("raw").alias("norm")).filter("norm != ''")
+    return lines.select("doc_id", "row", "line_no", F.xxhash64("norm").alias("line"), "norm")
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -146,38 +151,46 @@ def line_groups(lines: DataFrame, marks: DataFrame) -> DataFrame:
     return connected_components(links, "a", "b").withColumnRenamed("node", "line")
 
 
-def line_decisions(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, line_group, copies, kept)`` for every line of ``docs(doc_id, text)`` that has a letter
-    or digit (or any character beyond ASCII).
-
-    ``line_group`` is the hash of the group's representative text, ``copies`` the group's number of
-    occurrences; ``kept`` marks the occurrence with the smallest (doc_id, line_no).  A null id comes before all
-    others.  Null, empty and blank texts have no such lines; rows that share an id are the same document, so
-    equal lines at one position of them are kept or dropped alike; an empty table gives no rows.  Other columns
-    are not read.
-    """
+def row_decisions(docs: DataFrame) -> DataFrame:
+    """``line_decisions`` with the row's key, ``row``."""
     lines = materialize(line_table(docs), "lines")
     marks = materialize(signatures(lines), "line-signatures")
     roots = line_groups(lines, marks)
     # Lines that occur once and are linked with nothing are kept; only the others are grouped.
     repeated = marks.filter("copies > 1").select("line").join(roots, "line", "full").select("line", F.coalesce("root", "line").alias("root"))
     repeated = materialize(repeated, "line-groups")
-    tagged = materialize(lines.select("doc_id", "line_no", "line").join(repeated, "line", "left"), "tagged-lines")
-    alone = tagged.filter("root is null").select("doc_id", "line_no", F.col("line").alias("line_group"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("kept"))
-    several = tagged.filter("root is not null").select("doc_id", "line_no", F.col("root").alias("line_group"))
-    firsts = several.groupBy("line_group").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"))
+    tagged = materialize(lines.select("doc_id", "row", "line_no", "line").join(repeated, "line", "left"), "tagged-lines")
+    at = ("doc_id", "row", "line_no")
+    alone = tagged.filter("root is null").select(*at, F.col("line").alias("line_group"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("kept"))
+    several = tagged.filter("root is not null").select(*at, F.col("root").alias("line_group"))
+    place = F.struct("doc_id", "line_no", "row")
+    firsts = several.groupBy("line_group").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
     out = several.join(firsts, "line_group")
-    return alone.unionByName(out.select("doc_id", "line_no", "line_group", "copies", F.struct("doc_id", "line_no").eqNullSafe(F.col("first")).alias("kept")))
+    return alone.unionByName(out.select(*at, "line_group", "copies", place.eqNullSafe(F.col("first")).alias("kept")))
+
+
+def line_decisions(docs: DataFrame) -> DataFrame:
+    """``(doc_id, line_no, line_group, copies, kept)`` for every line of ``docs(doc_id, text)`` that has a letter
+    or digit (or any character beyond ASCII).
+
+    ``line_group`` is the hash of the group's representative text, ``copies`` the group's number of
+    occurrences; ``kept`` marks the occurrence with the smallest (doc_id, line_no).  A null id comes before all
+    others.  Null, empty and blank texts have no such lines.  Different texts that share an id, or have none, are
+    different documents, of which the smaller text hash comes first; rows with the same id and the same text are
+    one document, so their lines are kept or dropped alike.  An empty table gives no rows.  Other columns are not
+    read.
+    """
+    return row_decisions(docs).drop("row")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that ``line_decisions`` drops; columns as they came, ``n_chars`` (if there)
     brought up to date.  Rows stay even if no line does; blank lines stay; null texts stay null."""
-    dropped = line_decisions(docs).filter(~F.col("kept")).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_dropped"))
+    dropped = row_decisions(docs).filter(~F.col("kept")).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_dropped"))
     lines = F.split(F.col("text"), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dropped"))
     rest = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    out = docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    out = docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (row_key() == F.col("_row")), "left")
     out = out.withColumn("text", F.when(F.col("_dropped").isNull() | F.col("text").isNull(), F.col("text")).otherwise(rest))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
