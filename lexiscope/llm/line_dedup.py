@@ -1,11 +1,16 @@
 """Fuzzy line dedup, in DataFrame operations only.
 
 Lines are normalised (lower case, punctuation and white space runs to one space, trimmed) and hashed; equal
-ones are one *line* from there on.  A line's SimHash is the bitwise majority of its words' hashes.  Two lines
-are candidates if their SimHashes differ in at most two bits: of four blocks at least two then agree, so
-lines meet in the buckets of the six block pairs, which are 32 bits wide.  Candidates are verified by the edit similarity of their word
-sequences, each word being one of 20,000 symbols, and each
-connected group keeps the first occurrence (smallest document id, then line number) of any of its lines.
+ones are one *line* from there on.  Two lines link if the edit similarity of their characters, 1 - distance /
+longer length, is at least 0.8; each connected group keeps the first occurrence (smallest document id, then line
+number) of any of its lines.
+
+Candidates come from MinHash: ``MINIMA`` minima per line, and as many bands of four minima each; lines meet in
+the buckets of the bands in which they agree.  The minima are over the line's words, weighted by their length, so
+two lines agree in one with the probability that is the shared characters' part of all; short lines also have
+minima over their character trigrams, as one changed letter leaves few of their words the same.  Nothing but
+length, which bounds the similarity, keeps candidates from verification, except that long lines' SimHashes (the
+bitwise majority of their words' hashes) must not be as far apart as those of unrelated lines.
 
 A bucket with many variants of one line must not yield all its pairs: each line is first linked to its
 bucket's hub (the line with the most copies), and only pairs that are still in different components after
@@ -15,8 +20,6 @@ hashes and broadcast, lets only candidate lines through to verification.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,13 +27,12 @@ from pyspark.sql import functions as F
 from lexiscope.llm.graph import connected_components
 from lexiscope.llm.runtime import materialize
 
-SIMILARITY, DISTANCE = 0.8, 2
-#: Widths of the blocks that make up the 64 bits, low bits first.
-BLOCKS = (16, 16, 16, 16)
-#: Symbols that words are mapped to for verification: code points from FIRST_SYMBOL on.
-SYMBOLS, FIRST_SYMBOL = 20_000, 0x4E00
-#: Words beyond which edit distance is summed over pieces of that length, an upper bound of the whole's.
-PIECE = 4000
+#: Unrelated lines differ in 32 +- 4 bits, lines with a fifth of their words changed in 13 +- 4.
+SIMILARITY, DISTANCE = 0.8, 28
+#: Characters from which a line is long, up to which it has minima of trigrams.
+LONG, SHORT = 120, 64
+#: Minima of a line, and the places that make up a band (counted from its own); two bands share one at most.
+MINIMA, BAND = 20, (0, 1, 4, 6)
 #: The candidate bitmap: so many buckets of 32,768 bits (4 KB) each, 2 MB in all.
 BITMAP_BUCKETS = 512
 
@@ -54,7 +56,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """``(line, fp, chars, copies)`` per distinct line.
+    """``(line, fp, chars, copies)`` and ``m0``, ``m1``, ... (the minima over its words) per distinct line.
 
     Words are counted per line and input partition, two bits to a sum (each sum's halves count bits i and
     i + 32, and a partition has fewer than 2^31 words).  Copies of a line are counted along, as a majority
@@ -63,43 +65,48 @@ def signatures(lines: DataFrame) -> DataFrame:
     """
     cut = lines.select("line", F.length("norm").alias("chars"), F.spark_partition_id().alias("part"), F.split("norm", " ").alias("words"))
     words = cut.select("line", "chars", "part", F.size("words").alias("length"), F.explode("words").alias("word"))
-    words = words.select("line", "chars", "part", "length", F.xxhash64("word").alias("h"))
+    words = words.select("line", "chars", "part", "length", F.xxhash64("word").alias("h"), F.length("word").alias("weight"))
     ones = [F.sum(F.expr(f"(h >>> {i}) & {1 << 32 | 1}L")).alias(f"b{i}") for i in range(32)]
-    counted = words.groupBy("line", "part").agg(F.count("*").alias("n"), F.min("length").alias("length"), F.min("chars").alias("chars"), *ones)
+    counted = words.groupBy("line", "part").agg(F.count("*").alias("n"), F.min("length").alias("length"), F.min("chars").alias("chars"), *ones, *_minima())
     # An array and a loop, as one expression of 64 branches makes a method too long for the JIT.
     half = f"{(1 << 32) - 1}L"
     bit = f"shiftleft(if(2 * (b & {half}) > n, 1L, 0L), i) | shiftleft(if(2 * (b >>> 32) > n, 1L, 0L), i + 32)"
     sums = ", ".join(f"b{i}" for i in range(32))
     fp = F.expr(f"aggregate(transform(array({sums}), (b, i) -> {bit}), 0L, (a, x) -> a | x)")
-    each = counted.select("line", fp.alias("fp"), "chars", (F.col("n") / F.col("length")).cast("long").alias("copies"))
-    return each.groupBy("line").agg(F.min("fp").alias("fp"), F.min("chars").alias("chars"), F.sum("copies").alias("copies"))
-
-
-def bucket_keys(fp: Column) -> Column:
-    """The line's bucket in each table, one for each choice of blocks that may agree."""
-    parts, at = [], 0
-    for width in BLOCKS:
-        parts.append((F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)), width))
-        at += width
-    kept = len(BLOCKS) - DISTANCE
-    keys = []
-    for k, chosen in enumerate(combinations(range(len(BLOCKS)), kept)):
-        key = F.lit(k).cast("long")
-        for i in chosen:
-            key = F.shiftleft(key, parts[i][1]).bitwiseOR(parts[i][0])
-        keys.append(key)
-    return F.array(*keys)
+    least = [f"m{i}" for i in range(MINIMA)]
+    each = counted.select("line", fp.alias("fp"), "chars", (F.col("n") / F.col("length")).cast("long").alias("copies"), *least)
+    return each.groupBy("line").agg(F.min("fp").alias("fp"), F.min("chars").alias("chars"), F.sum("copies").alias("copies"), *(F.min(m).alias(m) for m in least))
+
+
+def _minima() -> list[Column]:
+    """The minima over the hashes ``h``, each drawn from an exponential distribution of the rate ``weight``."""
+    uniform = "((xxhash64({i}, h) >>> 11) + 1) * 1.1102230246251565e-16D"
+    return [F.min(F.expr(f"cast(-ln({uniform.format(i=i)}) / weight as float)")).alias(f"m{i}") for i in range(MINIMA)]
+
+
+def _banded(marks: DataFrame, kind: int) -> DataFrame:
+    """``(key, line)`` for each band of each line."""
+    bands = [F.xxhash64(F.lit(kind), F.lit(i), *(F.col(f"m{(i + at) % MINIMA}") for at in BAND)) for i in range(MINIMA)]
+    return marks.select(F.explode(F.array(*bands)).alias("key"), "line")
+
+
+def bucket_keys(lines: DataFrame, marks: DataFrame) -> DataFrame:
+    """``(key, line)``: the buckets of each line, by its words and, if it is short, by its trigrams."""
+    short = lines.filter(F.length("norm") <= SHORT).select("line", F.concat(F.lit(" "), "norm", F.lit(" ")).alias("norm")).distinct()
+    grams = short.select("line", F.explode(F.expr("transform(sequence(1, length(norm) - 2), i -> xxhash64(substring(norm, i, 3)))")).alias("h"))
+    least = grams.withColumn("weight", F.lit(1)).groupBy("line").agg(*_minima())
+    return _banded(marks, 0).unionByName(_banded(least, 1))
 
 
 def _near(a: str, b: str, chars_a: str, chars_b: str) -> Column:
-    """Fingerprints within reach, and lengths that similar lines can have."""
-    bits = F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
-    return bits & (F.least(chars_a, chars_b) >= F.greatest(chars_a, chars_b) * SIMILARITY)
+    """Lengths that similar lines can have, and fingerprints that similar long lines have."""
+    longer = F.greatest(chars_a, chars_b)
+    bits = (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE) | (longer < LONG)
+    return bits & (F.abs(F.col(chars_a) - F.col(chars_b)) <= longer * (1 - SIMILARITY) + 1e-9)
 
 
 def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(line, words)`` of the lines in ``pairs``, and of a few more that the bitmap can't tell from them;
-    ``words`` has one symbol for each word."""
+    """``(line, norm)`` of the lines in ``pairs``, and of a few more that the bitmap can't tell from them."""
     bits = BITMAP_BUCKETS << 15
     place = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(bits))
     asked = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).withColumn("place", place("line"))
@@ -108,34 +115,32 @@ def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     marked = marked.join(F.broadcast(bitmap), "part")  # at most BITMAP_BUCKETS rows
     byte = "cast(conv(hex(substring(bits, cast(((place & 32767) >> 3) + 1 as int), 1)), 16, 10) as int)"
     passed = marked.filter(F.expr(f"(({byte} >> cast(place & 7 as int)) & 1) = 1"))
-    word = f"lpad(hex(pmod(xxhash64(w), {SYMBOLS}) + {FIRST_SYMBOL}), 4, '0')"
-    symbols = F.expr(f"decode(unhex(array_join(transform(split(norm, ' '), w -> {word}), '')), 'UTF-16BE')")
-    return passed.groupBy("line").agg(F.min("norm").alias("norm")).select("line", symbols.alias("words"))
+    return passed.groupBy("line").agg(F.min("norm").alias("norm"))
 
 
 def edit_similar() -> Column:
-    """Whether 1 - distance / longer length of the columns ``one`` and ``two`` is at least SIMILARITY."""
-    cut = lambda c: f"substr({c}, i * {PIECE} + 1, {PIECE})"
-    pieces = f"transform(sequence(0, cast((longest - 1) div {PIECE} as int)), i -> levenshtein({cut('one')}, {cut('two')}))"
-    return F.expr(f"if(longest <= {PIECE}, levenshtein(one, two), aggregate({pieces}, 0, (a, b) -> a + b)) <= longest * {1 - SIMILARITY:.6f} + 1e-9")
+    """Whether 1 - distance / longer length of the columns ``one`` and ``two`` is at least SIMILARITY, at any length."""
+    allowed = f"cast(floor(greatest(length(one), length(two)) * {1 - SIMILARITY:.6f}D + 1e-9D) as int)"
+    return F.expr(f"levenshtein(one, two, {allowed}) >= 0")
 
 
 def verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of lines whose texts are similar."""
     texts = materialize(_texts(lines, pairs), "line-texts")
-    left = pairs.join(texts.select(F.col("line").alias("a"), F.col("words").alias("one")), "a")
-    both = left.join(texts.select(F.col("line").alias("b"), F.col("words").alias("two")), "b")
-    return both.withColumn("longest", F.greatest(F.length("one"), F.length("two"))).filter(edit_similar()).select("a", "b")
+    left = pairs.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("one")), "a")
+    both = left.join(texts.select(F.col("line").alias("b"), F.col("norm").alias("two")), "b")
+    return both.filter(edit_similar()).select("a", "b")
 
 
 def line_groups(lines: DataFrame, marks: DataFrame) -> DataFrame:
     """``(line, root)`` for every line that is linked with another text; ``lines`` from ``line_table`` and
     ``marks`` from ``signatures``, both written."""
-    keyed = marks.withColumn("key", F.explode(bucket_keys(F.col("fp"))))
+    keyed = bucket_keys(lines, marks)
     bucket = W.partitionBy("key")
+    met = materialize(keyed.withColumn("n", F.count("*").over(bucket)).filter("n > 1").select("key", "line"), "line-buckets")
     hub = F.max(F.struct("copies", "line", "fp", "chars")).over(bucket)
-    crowded = keyed.withColumn("n", F.count("*").over(bucket)).withColumn("hub", hub).filter("n > 1")
-    crowded = materialize(crowded.select("key", "line", "fp", "chars", "hub"), "line-buckets")
+    crowded = met.join(marks.select("line", "fp", "chars", "copies"), "line").withColumn("hub", hub)
+    crowded = materialize(crowded.select("key", "line", "fp", "chars", "hub"), "line-hubs")
     flat = crowded.select("line", "fp", "chars", F.col("hub.line").alias("hub"), F.col("hub.fp").alias("hub_fp"), F.col("hub.chars").alias("hub_chars"))
     starred = flat.filter((F.col("line") != F.col("hub")) & _near("fp", "hub_fp", "chars", "hub_chars")).select(F.least("line", "hub").alias("a"), F.greatest("line", "hub").alias("b"))
     starred = materialize(starred.distinct(), "hub-pairs")
