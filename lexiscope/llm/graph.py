@@ -1,23 +1,25 @@
 """Connected components by alternating large-star and small-star contractions.
 
 Every round is a handful of equi-joins and partial aggregates on the edge list; nothing is collected but one
-row of counters a round.  A hub is only ever read through ``min`` aggregates and joins that adaptive
-execution may split, so a group with a third of all nodes does not meet in one task.
+row of counters a round.  Both sides of every join on a node are plain written tables, so adaptive execution can
+split the rows of a hub over many tasks, and minima are combined before they are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lexiscope.llm.runtime import discard, materialize
 
 
-def _stamp(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.expr("bit_xor(xxhash64(v, u, 7))").alias("y")
-    ).first()
-    return row["n"], row["x"], row["y"]
+def _written(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The edges, written, and their count and hashes, observed on the way."""
+    seen = Observation()
+    kinds = F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.expr("bit_xor(xxhash64(v, u, 7))").alias("y")
+    table = materialize(edges.observe(seen, *kinds), name)
+    row = seen.get
+    return table, (row["n"], row["x"], row["y"])
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -28,18 +30,17 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     flat = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     flat = flat.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    now = materialize(flat.distinct(), "edges")
-    stamp = _stamp(now)
+    now, stamp = _written(flat.distinct(), "edges")
     while stamp[0]:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        low = both.groupBy("x").agg(F.min("y").alias("lowest")).select(F.col("x").alias("v"), F.least("x", "lowest").alias("m"))
-        large = now.join(low, "v").select("u", F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(both.groupBy("x").agg(F.min("y").alias("lowest")).select(F.col("x").alias("v"), F.least("x", "lowest").alias("m")), "lowest")
+        large = materialize(now.join(low, "v").select("u", F.col("m").alias("v")).distinct(), "large-star")
+        down = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "parents")
         small = large.join(down, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        step = down.select("u", F.col("m").alias("v")).unionByName(small).distinct()
-        then = materialize(step, "edges")
-        discard(now)
-        now, before, stamp = then, stamp, _stamp(then)
+        before = stamp
+        then, stamp = _written(down.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "edges")
+        discard(now, low, large, down)
+        now = then
         if stamp == before:
             break
     roots = now.select(F.col("v").alias("node")).distinct()

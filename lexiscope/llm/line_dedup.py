@@ -5,36 +5,39 @@ ones are one *line* from there on.  Two lines link if the edit similarity of the
 longer length, is at least 0.8; each connected group keeps the first occurrence (smallest document id, then line
 number) of any of its lines.
 
-Candidates come from MinHash: ``MINIMA`` minima per line, and as many bands of four minima each; lines meet in
-the buckets of the bands in which they agree.  The minima are over the line's words, weighted by their length, so
-two lines agree in one with the probability that is the shared characters' part of all; short lines also have
-minima over their character trigrams, as one changed letter leaves few of their words the same.  Nothing but
-length, which bounds the similarity, keeps candidates from verification, except that long lines' SimHashes (the
-bitwise majority of their words' hashes) must not be as far apart as those of unrelated lines.
-
-A bucket with many variants of one line must not yield all its pairs: each line is first linked to its
-bucket's hub (the line with the most copies), and only pairs that are still in different components after
-that are looked at.  Line texts are never shuffled whole: a bitmap of fixed size, built from the candidates'
-hashes and broadcast, lets only candidate lines through to verification.
+Candidates come from MinHash: ``MINIMA`` minima per line, and as many bands of some of them; lines meet in the
+buckets of the bands in which they agree.  The minima are over the line's words, weighted by their length, so two
+lines agree in one with the probability that is the shared characters' part of all; short lines also have minima
+over their character trigrams, as one changed letter leaves few of their words the same.  (Pigeonhole blocks of a
+SimHash can't do this: the blocks that two lines at similarity 0.8 share are far too short to tell lines apart.
+README has the figures.)  The SimHash of a candidate's words then keeps unrelated lines from verification: a pair
+of lines that aren't short may differ in CLOSE of its 64 bits, or in DISTANCE if it meets in several buckets.
+
+A bucket with many variants of one line must not yield all its pairs: each line is first compared with its
+bucket's hub (its smallest line), and only pairs that are still in different components after that are looked at.
+Buckets are found by counting, so a crowded one is combined before it is shuffled, and joins on buckets, lines and
+groups have a plain exchange on both sides, so that adaptive execution can split a crowded key.  Texts and bucket
+rows that no candidate needs are dropped before the shuffle by a bitmap of fixed size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiscope.llm.graph import connected_components
-from lexiscope.llm.runtime import materialize
+from lexiscope.llm.runtime import discard, materialize, unused
 
-#: Unrelated lines differ in 32 +- 4 bits, lines with a fifth of their words changed in 13 +- 4.
-SIMILARITY, DISTANCE = 0.8, 28
-#: Characters from which a line is long, up to which it has minima of trigrams.
-LONG, SHORT = 120, 64
-#: Minima of a line, and the places that make up a band (counted from its own); two bands share one at most.
-MINIMA, BAND = 20, (0, 1, 4, 6)
-#: The candidate bitmap: so many buckets of 32,768 bits (4 KB) each, 2 MB in all.
-BITMAP_BUCKETS = 512
+#: Unrelated lines' SimHashes differ in 28 +- 4 bits, those of lines with a fifth of their characters changed in 13 +- 4.
+SIMILARITY, CLOSE, DISTANCE = 0.8, 17, 23
+#: Characters up to which a line is short, and from which it is long.
+SHORT, LONG = 64, 200
+#: Characters of a chunk of a long line, without and with the space behind it.
+CHUNK, CHUNK_SPACE = 6, 7
+#: Minima of a line, and the places that make up a band (counted from its own), of words and of trigrams.
+MINIMA, BANDS = 20, ((0, 1, 4, 6), (0, 1, 4, 6, 11))
+#: A bitmap: so many parts of 32,768 bits (4 KB) each, 4 MB in all.
+BITMAP_PARTS = 1024
 
 
 def normalised(text: Column) -> Column:
@@ -55,105 +58,153 @@ def line_table(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "row", "line_no", F.xxhash64("norm").alias("line"), "norm")
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """``(line, fp, chars, copies)`` and ``m0``, ``m1``, ... (the minima over its words) per distinct line.
+def _minima() -> list[Column]:
+    """The minima over the hashes ``h`` of values that are uniform up to 1 / weight; ``scale`` is 1 / weight."""
+    return [F.min(F.expr(f"cast((xxhash64(h ^ {(i + 1) * 0x1E3779B97F4A7C1}L) >>> 11) * scale as float)")).alias(f"m{i}") for i in range(MINIMA)]
 
-    Words are counted per line and input partition, two bits to a sum (each sum's halves count bits i and
-    i + 32, and a partition has fewer than 2^31 words).  Copies of a line are counted along, as a majority
-    doesn't change when all counts are multiplied; so its signature is the same in all partitions, a line with
-    any number of copies is one row of each, and nothing is made distinct beforehand.
-    """
-    cut = lines.select("line", F.length("norm").alias("chars"), F.spark_partition_id().alias("part"), F.split("norm", " ").alias("words"))
-    words = cut.select("line", "chars", "part", F.size("words").alias("length"), F.explode("words").alias("word"))
-    words = words.select("line", "chars", "part", "length", F.xxhash64("word").alias("h"), F.length("word").alias("weight"))
-    ones = [F.sum(F.expr(f"(h >>> {i}) & {1 << 32 | 1}L")).alias(f"b{i}") for i in range(32)]
-    counted = words.groupBy("line", "part").agg(F.count("*").alias("n"), F.min("length").alias("length"), F.min("chars").alias("chars"), *ones, *_minima())
-    # An array and a loop, as one expression of 64 branches makes a method too long for the JIT.
-    half = f"{(1 << 32) - 1}L"
-    bit = f"shiftleft(if(2 * (b & {half}) > n, 1L, 0L), i) | shiftleft(if(2 * (b >>> 32) > n, 1L, 0L), i + 32)"
-    sums = ", ".join(f"b{i}" for i in range(32))
-    fp = F.expr(f"aggregate(transform(array({sums}), (b, i) -> {bit}), 0L, (a, x) -> a | x)")
-    least = [f"m{i}" for i in range(MINIMA)]
-    each = counted.select("line", fp.alias("fp"), "chars", (F.col("n") / F.col("length")).cast("long").alias("copies"), *least)
-    return each.groupBy("line").agg(F.min("fp").alias("fp"), F.min("chars").alias("chars"), F.sum("copies").alias("copies"), *(F.min(m).alias(m) for m in least))
 
+def signatures(lines: DataFrame) -> DataFrame:
+    """``(line, chars, copies)`` and ``m0``, ``m1``, ... (the minima over its words) per distinct line.
 
-def _minima() -> list[Column]:
-    """The minima over the hashes ``h``, each drawn from an exponential distribution of the rate ``weight``."""
-    uniform = "((xxhash64({i}, h) >>> 11) + 1) * 1.1102230246251565e-16D"
-    return [F.min(F.expr(f"cast(-ln({uniform.format(i=i)}) / weight as float)")).alias(f"m{i}") for i in range(MINIMA)]
+    Words are counted with the minima, over all copies of a line; the number of a line's words divides them into
+    its copies.  So a line with any number of copies is one row of each input partition, and nothing is made
+    distinct beforehand.
+    """
+    words = lines.select("line", F.length("norm").alias("chars"), F.split("norm", " ").alias("words"))
+    words = words.select("line", "chars", F.size("words").alias("length"), F.explode("words").alias("word"))
+    words = words.select("line", "chars", "length", F.xxhash64("word").alias("h"), (F.lit(1.0) / F.length("word")).alias("scale"))
+    counted = words.groupBy("line").agg(F.count("*").alias("n"), F.min("length").alias("length"), F.min("chars").alias("chars"), *_minima())
+    return counted.select("line", "chars", (F.col("n") / F.col("length")).cast("long").alias("copies"), *(f"m{i}" for i in range(MINIMA)))
 
 
 def _banded(marks: DataFrame, kind: int) -> DataFrame:
     """``(key, line)`` for each band of each line."""
-    bands = [F.xxhash64(F.lit(kind), F.lit(i), *(F.col(f"m{(i + at) % MINIMA}") for at in BAND)) for i in range(MINIMA)]
+    bands = [F.xxhash64(F.lit(kind), F.lit(i), *(F.col(f"m{(i + at) % MINIMA}") for at in BANDS[kind])) for i in range(MINIMA)]
     return marks.select(F.explode(F.array(*bands)).alias("key"), "line")
 
 
-def bucket_keys(lines: DataFrame, marks: DataFrame) -> DataFrame:
-    """``(key, line)``: the buckets of each line, by its words and, if it is short, by its trigrams."""
-    short = lines.filter(F.length("norm") <= SHORT).select("line", F.concat(F.lit(" "), "norm", F.lit(" ")).alias("norm")).distinct()
-    grams = short.select("line", F.explode(F.expr("transform(sequence(1, length(norm) - 2), i -> xxhash64(substring(norm, i, 3)))")).alias("h"))
-    least = grams.withColumn("weight", F.lit(1)).groupBy("line").agg(*_minima())
-    return _banded(marks, 0).unionByName(_banded(least, 1))
+def trigram_signatures(lines: DataFrame) -> DataFrame:
+    """``(line, m0, m1, ...)``: the minima over the trigrams of each short line."""
+    short = lines.filter(F.length("norm") <= SHORT).groupBy("line").agg(F.concat(F.lit(" "), F.min("norm"), F.lit(" ")).alias("norm"))
+    grams = short.select("line", F.lit(1.0).alias("scale"), F.explode(F.expr("transform(sequence(1, length(norm) - 2), i -> xxhash64(substring(norm, i, 3)))")).alias("h"))
+    return grams.groupBy("line").agg(*_minima())
+
+
+def filtered(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` whose long ``column`` is in the one column of ``wanted``, and a few more that a bitmap of them
+    can't tell from those; the bitmap is broadcast and has BITMAP_PARTS rows at most."""
+    bits = BITMAP_PARTS << 15
+    place = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(bits))
+    marked = wanted.select(place(F.col(wanted.columns[0])).alias("_place"))
+    marked = marked.groupBy(F.shiftright("_place", 15).alias("_part")).agg(F.expr("bitmap_construct_agg(_place & 32767)").alias("bits"))
+    # As an array of longs, which is read by position; byte 0 of a long is its highest.
+    words = F.expr("transform(sequence(0, 511), i -> cast(conv(hex(substring(bits, 8 * i + 1, 8)), 16, -10) as bigint))")
+    bitmap = marked.select("_part", words.alias("_words"))
+    mine = rows.withColumn("_place", place(F.col(column))).withColumn("_part", F.shiftright("_place", 15))
+    met = mine.join(F.broadcast(bitmap), "_part")
+    bit = "shiftrightunsigned(get(_words, cast((_place & 32767) >> 6 as int)), cast(8 * (7 - ((_place >> 3) & 7)) + (_place & 7) as int)) & 1L"
+    return met.filter(F.expr(f"({bit}) = 1")).select(*rows.columns)
+
+
+def candidate_texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(line, norm, chars, fp)`` of the lines in ``wanted`` (and a few more), written; ``fp`` is the SimHash of the line's words,
+    weighted by their length."""
+    texts = filtered(lines.select("line", "norm"), "line", wanted).groupBy("line").agg(F.min("norm").alias("norm"))
+    texts = materialize(texts, "norms")
+    words = texts.select("line", F.explode(F.split("norm", " ")).alias("word"))
+    words = words.select("line", F.xxhash64("word").alias("h"), F.length("word").alias("weight"))
+    # Two bits to a sum: its halves count the weights of bits i and i + 32.
+    ones = [F.sum(F.expr(f"((h >>> {i}) & {1 << 32 | 1}L) * weight")).alias(f"b{i}") for i in range(32)]
+    counted = words.groupBy("line").agg(F.sum("weight").alias("total"), *ones)
+    # An array and a loop, as one expression of 64 branches makes a method too long for the JIT.
+    half = f"{(1 << 32) - 1}L"
+    bit = f"shiftleft(if(2 * (b & {half}) > total, 1L, 0L), i) | shiftleft(if(2 * (b >>> 32) > total, 1L, 0L), i + 32)"
+    sums = ", ".join(f"b{i}" for i in range(32))
+    fp = F.expr(f"aggregate(transform(array({sums}), (b, i) -> {bit}), 0L, (a, x) -> a | x)")
+    marked = materialize(counted.select("line", fp.alias("fp")).join(texts, "line").select("line", "norm", F.length("norm").alias("chars"), "fp"), "line-texts")
+    discard(texts)
+    return marked
 
 
-def _near(a: str, b: str, chars_a: str, chars_b: str) -> Column:
-    """Lengths that similar lines can have, and fingerprints that similar long lines have."""
-    longer = F.greatest(chars_a, chars_b)
-    bits = (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE) | (longer < LONG)
-    return bits & (F.abs(F.col(chars_a) - F.col(chars_b)) <= longer * (1 - SIMILARITY) + 1e-9)
+def _near(a: str, b: str) -> Column:
+    """Lengths that similar lines can have, and fingerprints that similar lines have unless they are short."""
+    longer = F.greatest(f"chars{a}", f"chars{b}")
+    return (_bits(a, b) <= DISTANCE) & (F.abs(F.col(f"chars{a}") - F.col(f"chars{b}")) <= longer * (1 - SIMILARITY) + 1e-9)
 
 
-def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(line, norm)`` of the lines in ``pairs``, and of a few more that the bitmap can't tell from them."""
-    bits = BITMAP_BUCKETS << 15
-    place = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(bits))
-    asked = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).withColumn("place", place("line"))
-    bitmap = asked.groupBy(F.shiftright("place", 15).alias("part")).agg(F.expr("bitmap_construct_agg(place & 32767)").alias("bits"))
-    marked = lines.select("line", "norm").withColumn("place", place("line")).withColumn("part", F.shiftright("place", 15))
-    marked = marked.join(F.broadcast(bitmap), "part")  # at most BITMAP_BUCKETS rows
-    byte = "cast(conv(hex(substring(bits, cast(((place & 32767) >> 3) + 1 as int), 1)), 16, 10) as int)"
-    passed = marked.filter(F.expr(f"(({byte} >> cast(place & 7 as int)) & 1) = 1"))
-    return passed.groupBy("line").agg(F.min("norm").alias("norm"))
+def _bits(a: str, b: str) -> Column:
+    """Differing bits of the fingerprints; none if both lines are short."""
+    short = F.greatest(f"chars{a}", f"chars{b}") <= SHORT
+    return F.when(short, 0).otherwise(F.bit_count(F.col(f"fp{a}").bitwiseXOR(F.col(f"fp{b}")))).cast("int")
 
 
-def edit_similar() -> Column:
-    """Whether 1 - distance / longer length of the columns ``one`` and ``two`` is at least SIMILARITY, at any length."""
-    allowed = f"cast(floor(greatest(length(one), length(two)) * {1 - SIMILARITY:.6f}D + 1e-9D) as int)"
-    return F.expr(f"levenshtein(one, two, {allowed}) >= 0")
+def _asked(pairs: DataFrame) -> DataFrame:
+    """The distinct pairs ``(a, b)`` of ``pairs(a, b, bits)``, a row for each bucket, that are to be verified."""
+    met = pairs.groupBy("a", "b").agg(F.min("bits").alias("bits"), F.count("*").alias("n"))
+    return met.filter((F.col("bits") <= CLOSE) | (F.col("n") > 1)).select("a", "b")
+
 
+def edit_similar() -> Column:
+    """Whether 1 - distance / longer length of the columns ``one`` and ``two`` is at least SIMILARITY, at any length.
 
-def verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of lines whose texts are similar."""
-    texts = materialize(_texts(lines, pairs), "line-texts")
+    Two upper bounds of the distance are tried first, as they cost much less: words set against each other by
+    position; and the edit distance of long lines cut into chunks, of which an edit costs CHUNK_SPACE characters at
+    most.  Beyond them the exact distance decides.
+    """
+    allowed = f"cast(floor(greatest(length(one), length(two)) * {1 - SIMILARITY:.6f}D + 1e-9D) as int)"
+    words = "split(one, ' ')", "split(two, ' ')"
+    by_word = f"aggregate(zip_with({words[0]}, {words[1]}, (x, y) -> if(x = y, 0, greatest(length(x), length(y)))), 0, (s, d) -> s + d)"
+    # Each distinct chunk becomes one character; those of surrogates are passed over.
+    cut = lambda x: f"regexp_extract_all({x}, '[^ ]{{1,{CHUNK}}} ?', 0)"
+    place = "array_position(w.z, v) + 255"
+    as_text = lambda x: f"decode(unhex(array_join(transform(w.{x}, v -> lpad(hex({place} + if({place} >= 55296, 2048, 0)), 4, '0')), '')), 'utf-16be')"
+    bound = f"transform(array(struct({cut('one')} as x, {cut('two')} as y)), c -> struct(c.x as x, c.y as y, array_distinct(concat(c.x, c.y)) as z))"
+    by_chunk = f"get(transform({bound}, w -> size(w.z) < 60000 and levenshtein({as_text('x')}, {as_text('y')}, cast(floor({allowed} / {CHUNK_SPACE}) as int)) >= 0), 0)"
+    return F.expr(
+        f"(size({words[0]}) = size({words[1]}) and {by_word} <= {allowed})"
+        f" or (length(one) > {LONG} and {by_chunk})"
+        f" or levenshtein(one, two, {allowed}) >= 0"
+    )
+
+
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of lines whose texts are similar, written."""
     left = pairs.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("one")), "a")
     both = left.join(texts.select(F.col("line").alias("b"), F.col("norm").alias("two")), "b")
-    return both.filter(edit_similar()).select("a", "b")
+    return materialize(both.filter(edit_similar()).select("a", "b"), "line-links")
 
 
 def line_groups(lines: DataFrame, marks: DataFrame) -> DataFrame:
-    """``(line, root)`` for every line that is linked with another text; ``lines`` from ``line_table`` and
+    """``(line, root)`` for every line that is linked with another text, written; ``lines`` from ``line_table`` and
     ``marks`` from ``signatures``, both written."""
-    keyed = bucket_keys(lines, marks)
-    bucket = W.partitionBy("key")
-    met = materialize(keyed.withColumn("n", F.count("*").over(bucket)).filter("n > 1").select("key", "line"), "line-buckets")
-    hub = F.max(F.struct("copies", "line", "fp", "chars")).over(bucket)
-    crowded = met.join(marks.select("line", "fp", "chars", "copies"), "line").withColumn("hub", hub)
-    crowded = materialize(crowded.select("key", "line", "fp", "chars", "hub"), "line-hubs")
-    flat = crowded.select("line", "fp", "chars", F.col("hub.line").alias("hub"), F.col("hub.fp").alias("hub_fp"), F.col("hub.chars").alias("hub_chars"))
-    starred = flat.filter((F.col("line") != F.col("hub")) & _near("fp", "hub_fp", "chars", "hub_chars")).select(F.least("line", "hub").alias("a"), F.greatest("line", "hub").alias("b"))
-    starred = materialize(starred.distinct(), "hub-pairs")
-    first = materialize(verified(lines, starred), "hub-links")
-    roots = connected_components(first, "a", "b").withColumnRenamed("node", "line")
-    placed = crowded.select("key", "line", "fp", "chars").join(roots, "line", "left").withColumn("root", F.coalesce("root", "line"))
+    grams = materialize(trigram_signatures(lines), "line-trigrams")
+    keyed = _banded(marks, 0).unionByName(_banded(grams, 1))
+    crowded = keyed.groupBy("key").agg(F.min("line").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
+    crowded = materialize(crowded, "line-buckets")
+    met = materialize(filtered(keyed, "key", crowded.select("key")).join(crowded, "key"), "line-hubs")
+    texts = candidate_texts(lines, met.select("line").distinct())
+    short = texts.select("line", "chars", "fp")
+    named = lambda end, name: short.select(F.col("line").alias(name), *(F.col(c).alias(c + end) for c in ("chars", "fp")))
+    starred = met.filter(F.col("line") != F.col("hub")).groupBy(F.col("hub").alias("a"), F.col("line").alias("b")).agg(F.count("*").alias("n"))
+    starred = starred.join(named("_a", "a"), "a").join(named("_b", "b"), "b").filter(_near("_a", "_b") & ((_bits("_a", "_b") <= CLOSE) | (F.col("n") > 1)))
+    starred = materialize(starred.select("a", "b"), "hub-pairs")
+    links = verified(texts, starred)
+    roots = materialize(connected_components(links, "a", "b").withColumnRenamed("node", "line"), "hub-roots")
+    placed = met.select("key", "line").join(short, "line").join(roots, "line", "left").withColumn("root", F.coalesce("root", "line"))
     placed = materialize(placed, "placed-buckets")
-    other = placed.select("key", *(F.col(c).alias(f"{c}_2") for c in ("line", "fp", "chars", "root")))
-    across = (F.col("root") < F.col("root_2")) & _near("fp", "fp_2", "chars", "chars_2")
-    rest = placed.join(other, "key").filter(across).select(F.least("line", "line_2").alias("a"), F.greatest("line", "line_2").alias("b")).distinct()
-    rest = materialize(rest.join(starred, ["a", "b"], "left_anti"), "line-pairs")
-    links = first.unionByName(verified(lines, rest))
-    return connected_components(links, "a", "b").withColumnRenamed("node", "line")
+    one, two = (placed.select("key", *(F.col(c).alias(c + end) for c in ("line", "chars", "fp", "root"))) for end in ("_a", "_b"))
+    across = (F.col("root_a") < F.col("root_b")) & _near("_a", "_b")
+    rest = one.join(two, "key").filter(across).select(F.least("line_a", "line_b").alias("a"), F.greatest("line_a", "line_b").alias("b"), _bits("_a", "_b").alias("bits"))
+    rest = materialize(_asked(rest).join(starred, ["a", "b"], "left_anti"), "line-pairs")
+    more = verified(texts, rest)
+    # What the hubs have connected is one node by now.
+    ends = more.join(roots.select(F.col("line").alias("a"), F.col("root").alias("root_a")), "a", "left").join(roots.select(F.col("line").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    ends = materialize(ends.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")), "line-ends")
+    onward = connected_components(ends, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("last"))
+    known = roots.unionByName(ends.select(F.col("a").alias("line"), F.col("root_a").alias("root"))).unionByName(ends.select(F.col("b").alias("line"), F.col("root_b").alias("root"))).distinct()
+    out = materialize(known.join(onward, "root", "left").select("line", F.coalesce("last", "root").alias("root")), "line-roots")
+    discard(grams, crowded, met, texts, starred, links, roots, placed, rest, more, ends)
+    return out
 
 
 def row_decisions(docs: DataFrame) -> DataFrame:
@@ -165,11 +216,13 @@ def row_decisions(docs: DataFrame) -> DataFrame:
     repeated = marks.filter("copies > 1").select("line").join(roots, "line", "full").select("line", F.coalesce("root", "line").alias("root"))
     repeated = materialize(repeated, "line-groups")
     tagged = materialize(lines.select("doc_id", "row", "line_no", "line").join(repeated, "line", "left"), "tagged-lines")
+    discard(lines, marks, roots, repeated)
     at = ("doc_id", "row", "line_no")
     alone = tagged.filter("root is null").select(*at, F.col("line").alias("line_group"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("kept"))
     several = tagged.filter("root is not null").select(*at, F.col("root").alias("line_group"))
     place = F.struct("doc_id", "line_no", "row")
-    firsts = several.groupBy("line_group").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    # Written, so that the join reads two plain tables and a line with very many copies can be split.
+    firsts = materialize(several.groupBy("line_group").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "line-firsts")
     out = several.join(firsts, "line_group")
     return alone.unionByName(out.select(*at, "line_group", "copies", place.eqNullSafe(F.col("first")).alias("kept")))
 
@@ -191,12 +244,13 @@ def line_decisions(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that ``line_decisions`` drops; columns as they came, ``n_chars`` (if there)
     brought up to date.  Rows stay even if no line does; blank lines stay; null texts stay null."""
-    dropped = row_decisions(docs).filter(~F.col("kept")).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_dropped"))
+    ident, row, gone = unused(docs, "_id", "_row", "_dropped")
+    dropped = row_decisions(docs).filter(~F.col("kept")).groupBy(F.col("doc_id").alias(ident), F.col("row").alias(row)).agg(F.collect_set("line_no").alias(gone))
     lines = F.split(F.col("text"), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dropped"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     rest = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    out = docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (row_key() == F.col("_row")), "left")
-    out = out.withColumn("text", F.when(F.col("_dropped").isNull() | F.col("text").isNull(), F.col("text")).otherwise(rest))
+    out = docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (row_key() == F.col(row)), "left")
+    out = out.withColumn("text", F.when(F.col(gone).isNull() | F.col("text").isNull(), F.col("text")).otherwise(rest))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

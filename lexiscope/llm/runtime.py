@@ -18,10 +18,12 @@ def by_value(module_name: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset, as in
-    tests, a temporary one of this machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where that is unset, as in tests, a
+    temporary one of this machine will do if the executors are on it too; otherwise this raises."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="lexiscope-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         where = f"file://{own}"
@@ -40,10 +42,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_lexiscope_path", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    for df in tables:
+        path = getattr(df, "_lexiscope_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has (case ignored), for helper columns beside a caller's own."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found

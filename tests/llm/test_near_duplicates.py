@@ -155,15 +155,6 @@ def test_sign_codes(spark):
     assert [r[0] for r in df.select(hs.sign_code(F.col("v"))).collect()] == [0b100001, None, None, -(1 << 63)]
 
 
-def word_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
 @pytest.fixture(scope="module")
 def line_docs(spark):
     rng = random.Random(9)
@@ -181,20 +172,24 @@ def line_docs(spark):
     return spark.createDataFrame(docs, "doc_id long, text string, line string")
 
 
+def similar_pairs(lines):
+    """All pairs of lines with an edit similarity of 0.8 or more, without any filter."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table t (i int, x varchar)")
+    con.executemany("insert into t values (?, ?)", list(enumerate(lines)))
+    near = "levenshtein(a.x, b.x) <= 0.2 * greatest(length(a.x), length(b.x)) + 1e-9"
+    return con.execute(f"select a.i, b.i from t a join t b on a.i > b.i where {near}").fetchall()
+
+
 def test_lines_against_brute_force(spark, line_docs):
     table = ld.line_table(line_docs).collect()
-    fps = {r.line: (r.fp % (1 << 64), r.chars, r.copies) for r in ld.signatures(ld.line_table(line_docs)).collect()}
     text = {r.line: r.norm for r in table}
-    assert {k: v[2] for k, v in fps.items()} == {k: sum(r.line == k for r in table) for k in text}
+    marks = {r.line: (r.chars, r.copies) for r in ld.signatures(ld.line_table(line_docs)).collect()}
+    assert marks == {k: (len(t), sum(r.line == k for r in table)) for k, t in text.items()}
     lines = sorted(text)
-    linked = []
-    for i, a in enumerate(lines):
-        for j, b in enumerate(lines[:i]):
-            (fa, ca, _), (fb, cb, _) = fps[a], fps[b]
-            if (fa ^ fb).bit_count() <= ld.DISTANCE and min(ca, cb) >= 0.8 * max(ca, cb):
-                x, y = text[a].split(" "), text[b].split(" ")
-                if word_distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
-                    linked.append((i, j))
+    linked = similar_pairs([text[k] for k in lines])
     assert linked
     group = dict(zip(lines, (lines[r] for r in roots(len(lines), linked))))
     key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.line_no)
@@ -207,14 +202,31 @@ def test_lines_against_brute_force(spark, line_docs):
     assert sorted(map(tuple, ld.line_decisions(line_docs).collect()), key=str) == want
 
 
-def test_signature_is_the_majority(spark, line_docs):
+def test_signature_is_the_weighted_majority(spark, line_docs):
     import xxhash
 
-    table = ld.line_table(line_docs)
+    table = ld.materialize(ld.line_table(line_docs), "lines")
     norm = {r.line: r.norm for r in table.collect()}
-    for r in ld.signatures(table).collect():
-        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in norm[r.line].split(" ")]
-        assert r.fp % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    for r in ld.candidate_texts(table, table.select("line")).collect():
+        words = norm[r.line].split(" ")
+        hashes = [(len(w), xxhash.xxh64_intdigest(w.encode(), 42)) for w in words]
+        assert r.norm == norm[r.line]
+        assert r.fp % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(n * (h >> b & 1) for n, h in hashes) > sum(map(len, words)))
+
+
+def test_bounds_never_accept_what_the_distance_rejects(spark):
+    rng = random.Random(12)
+    rows = []
+    for n in (1, 3, 30, 60, 400):
+        for share in (0.0, 0.1, 0.15, 0.2, 0.25, 0.4):
+            one = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 12))) for _ in range(n)]
+            two = [w for w in one if rng.random() > share / 2]
+            two = ["x" * len(w) if rng.random() < share / 2 else w for w in two]
+            rows.append((" ".join(one), " ".join(two)))
+    df = spark.createDataFrame(rows, "one string, two string")
+    exact = F.levenshtein("one", "two") <= F.floor(F.greatest(F.length("one"), F.length("two")) * 0.2 + 1e-9)
+    got = df.select(ld.edit_similar().alias("got"), exact.alias("want")).collect()
+    assert [r.got for r in got] == [r.want for r in got] and len({r.got for r in got}) == 2
 
 
 def test_deduped_documents(spark, line_docs):
