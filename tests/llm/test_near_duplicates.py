@@ -118,8 +118,8 @@ def test_embeddings(spark):
         low[r] = min(low.get(r, i), i)
     degree = [sum(k in e for e in linked) for k in range(len(good))]
     want = [(i, d, low[r], i == low[r]) for (i, _), d, r in zip(good, degree, root)] + [(i, 0, i, True) for i, _ in odd if i in (200, 201, 202, 203, 204, 207)]
-    for tile in (7, 1000):
-        assert sorted(map(tuple, ed.near_duplicates(df, tile=tile).collect())) == sorted(want)
+    for block in (7, None):
+        assert sorted(map(tuple, ed.near_duplicates(df, block=block).collect())) == sorted(want)
     assert ed.near_duplicates(df.limit(0)).count() == 0
 
 
