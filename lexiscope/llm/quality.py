@@ -5,8 +5,8 @@ overlapping chunks (of two half-chunks, moving by one), and the mean and the max
 through a logistic unit to one probability.  Filters are tables byte -> response per offset, learned by
 gradient steps through the pooled maxima.
 
-Training uses a bounded sample: the ``sample`` labelled rows with the lowest hash of their id among those
-whose crc32(id as text) mod ``folds`` is not 0 and whose text has at most ``longest`` bytes.  Scoring reads
+Training uses a bounded sample: of the ``sample`` labelled rows with the lowest hash of their id among those
+whose crc32(id as text) mod ``folds`` is not 0, those whose text has at most ``longest`` bytes.  Scoring reads
 whole texts of every row, in pieces of bounded size.  Labels, language, source and id are never inputs.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiscope.llm.runtime import by_value
+from lexiscope.llm.runtime import by_value, unused
 
 by_value(__name__)
 
@@ -25,6 +25,8 @@ WIDTH, FILTERS, HALF_CHUNK = 6, 12, 128
 #: Bytes that go through the filters at once.
 PIECE = 1 << 18
 SAMPLE, LONGEST, FOLDS, STEPS = 2000, 1 << 16, 5, 660
+#: Documents that score less are rejected.
+THRESHOLD = 0.3
 
 
 def _flatten(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,12 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
     return ByteConvNet().fit([r["text"].encode("utf-8") for r in rows], np.array([r["quality"] for r in rows], np.float32))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``, and the columns in ``keep``.
-
-    Null texts score as the empty text, which has a score too; a null id is never held out; repeated rows come
-    out repeated; an empty table gives no rows; without labels every score is 0.5.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, threshold: float, keep: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """The columns in ``keep`` with id, held_out, score and predicted, and the names of those four, which no column
+    in ``keep`` has."""
     net = docs.sparkSession.sparkContext.broadcast(vars(train(docs, labels)))
 
     def run(batches):
@@ -192,13 +191,28 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, k
                     to += 1
                 scores[at:to] = model.scores(texts[at:to])
                 at = to
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*batch.schema.names[1:], score])
 
-    kept = [F.col(c) for c in keep]
+    kept = docs.select(*(F.col(c) for c in keep)) if keep else None
+    data, ident, held, score, predicted = unused(kept, "_bytes", "_id", "held_out", "score", "predicted") if keep else ["_bytes", "doc_id", "held_out", "score", "predicted"]
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    narrow = docs.select(text.alias("_bytes"), F.col("doc_id").cast("long").alias("_id"), held_out("doc_id").alias("held_out"), *kept)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:]) + ", score double"
-    scored = narrow.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    if keep:
-        return scored.select(*keep, "held_out", "score", "predicted")
-    return scored.select(F.col("_id").alias("doc_id"), "held_out", "score", "predicted")
+    narrow = docs.select(text.alias(data), F.col("doc_id").cast("long").alias(ident), held_out("doc_id").alias(held), *(F.col(c) for c in keep))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:]) + f", `{score}` double"
+    scored = narrow.mapInArrow(run, schema).withColumn(predicted, (F.col(score) >= threshold).cast("int"))
+    return scored, [ident, held, score, predicted]
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
+
+    Null texts score as the empty text, which has a score too; a null id is never held out; repeated rows come
+    out repeated; an empty table gives no rows; without labels every score is 0.5.  Other columns are not read.
+    """
+    scored, names = _scored(docs, labels, threshold, ())
+    return scored.select(*names)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the classifier predicts 1, with their columns, whatever those are called."""
+    scored, names = _scored(docs, labels, threshold, tuple(docs.columns))
+    return scored.filter(F.col(names[-1]) == 1).select(*docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.llm.graph import connected_components
-from lexiscope.llm.runtime import by_value, materialize
+from lexiscope.llm.runtime import by_value, materialize, unused
 
 by_value(__name__)
 
@@ -216,12 +216,13 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the one with the smallest hash.  A null id comes after all others.  Rows that share an id, or have none, are
     told apart by a hash of the whole row, so texts that don't link all stay."""
     row = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
-    keyed = docs.withColumn("_row", row)
+    (mine,) = unused(docs, "_row")
+    keyed = docs.withColumn(mine, row)
     # The kernel passes one column through: the number of the row, here its hash.
-    fps = fingerprints(keyed, "_row", text_col).withColumnRenamed("doc_id", "_row").distinct()
-    ids = keyed.select("_row", F.col(id_col).cast("long").alias("doc_id")).distinct()
+    fps = fingerprints(keyed, mine, text_col).withColumnRenamed("doc_id", "_row").distinct()
+    ids = keyed.select(F.col(mine).alias("_row"), F.col(id_col).cast("long").alias("doc_id")).distinct()
     marked = materialize(fps.join(ids, "_row"), "row-fingerprints")
     grouped = marked.join(fingerprint_groups(marked, threshold).select("fp", "root"), "fp")
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
-    kept = materialize(first.select("first._row"), "kept-rows")
-    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    kept = materialize(first.select(F.col("first._row").alias(mine)), "kept-rows")
+    return keyed.join(kept, mine, "left_semi").dropDuplicates([mine]).select(*docs.columns)
