@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiscope.llm import line_dedup, mixing, simhash_dedup
-from lexiscope.llm.quality import quality_scores
+from lexiscope.llm.quality import accepted
 from lexiscope.llm.runtime import materialize
 from lexiscope.llm.sentencepiece_ids import encode_decode
 
@@ -17,7 +17,7 @@ from lexiscope.llm.sentencepiece_ids import encode_decode
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_scores(docs, labels, keep=tuple(docs.columns)).filter("predicted = 1").select(*docs.columns)
+    return accepted(docs, labels)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
