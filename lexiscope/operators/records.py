@@ -60,18 +60,19 @@ def merged_identifiers(a: Column, b: Column) -> Column:
 def upsert(store: DataFrame, rows: DataFrame, fields: Mapping[str, str]) -> DataFrame:
     """The store with ``rows(identifiers, <fields>)`` merged in; ``fields`` gives each field's policy.
 
-    Rows that share an identifier among themselves must be merged beforehand.  New records get ids behind the
+    Equal rows count once; other rows that share an identifier are a conflict.  New records get ids behind the
     highest, in the order of their first identifier.
     """
     extra = (set(rows.columns) | set(store.columns)) - {"record_id", "identifiers"} - set(fields)
     if extra:
         raise ValueError(f"fields without a policy: {sorted(extra)}")
-    keyed = rows.withColumn("_row", F.xxhash64(F.to_json("identifiers"), *[F.col(c).cast("string") for c in sorted(fields)]))
+    keyed = rows.withColumn("_row", F.xxhash64(F.to_json("identifiers"), *[F.col(c).cast("string") for c in sorted(fields)])).dropDuplicates(["_row"])
+    shared = _entries(keyed, "_row").groupBy("type", "value").agg(F.count("*").alias("n")).filter("n > 1")
     hits = _entries(keyed, "_row").join(_entries(store, "record_id"), ["type", "value"]).select("_row", "record_id").distinct()
     several = hits.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1")
     twice = hits.groupBy("record_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if not several.isEmpty() or not twice.isEmpty():
-        raise ConflictError("identifiers of one row belong to several records, or several rows to one record")
+    if not several.isEmpty() or not twice.isEmpty() or not shared.isEmpty():
+        raise ConflictError("identifiers of one row belong to several records, or several rows to one record or identifier")
     matched = keyed.join(hits, "_row")
     new = matched.select("record_id", F.col("identifiers").alias("_i"), *(F.col(f).alias(f"_{f}") for f in fields))
     both = store.join(new, "record_id", "left")

@@ -83,8 +83,9 @@ def topic_heat_map(topics: DataFrame, configured: list[str], least: float = 0.01
     order = F.array_position(F.array(*map(F.lit, configured)), F.col("key")) if configured else F.lit(0)
     ranked = strong.withColumn("at", F.when(order == 0, len(configured) + 1).otherwise(order))
     ranked = ranked.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("at", "key")))
-    grid = topics.select("target").distinct().join(F.broadcast(ranked.agg(F.collect_list(F.struct("key", "place")).alias("t"))), F.lit(True)).withColumn("t", F.explode("t"))
-    grid = grid.select("target", F.col("t.key").alias("key"), F.col("t.place").alias("place"))
+    # One row with the configured targets is broadcast, however many topics there are.
+    targets = topics.select("target").distinct().agg(F.collect_list("target").alias("targets"))
+    grid = ranked.join(F.broadcast(targets), F.lit(True)).select(F.explode("targets").alias("target"), "key", "place")
     return grid.join(topics.select("target", "key", "proportion"), ["target", "key"], "left").select("target", F.col("key").alias("topic"), F.round(F.coalesce("proportion", F.lit(0.0)) * 100, 1).alias("percent"), "place")
 
 

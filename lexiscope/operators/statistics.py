@@ -20,14 +20,18 @@ def describe(values: DataFrame, keys: list[str], value: str = "value") -> DataFr
 
 
 def describe_counted(counted: DataFrame, keys: list[str]) -> DataFrame:
-    """``describe`` over ``(keys, value, n)``."""
-    total = F.sum("n")
-    mean = F.sum(F.col("value") * F.col("n")) / total
-    spread = F.sum(F.col("value") * F.col("value") * F.col("n")) - total * mean * mean
-    deviation = F.when(total > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (total - 1)))
+    """``describe`` over ``(keys, value, n)``.
+
+    The deviation is that of the distances from the mean, which a window finds first: the difference of two large
+    sums would lose it.  Window and aggregation share one shuffle of the counted values.
+    """
+    total, every = F.sum("n"), W.partitionBy(*keys)
+    mean = F.sum(F.col("value") * F.col("n")).over(every) / F.sum("n").over(every)
+    counted = counted.withColumn("_mean", mean).withColumn("_far", F.col("value") - F.col("_mean"))
+    deviation = F.when(total > 1, F.sqrt(F.sum(F.col("_far") * F.col("_far") * F.col("n")) / (total - 1)))
     rounded = lambda c: F.round(c, DIGITS)
     return counted.groupBy(*keys).agg(
-        rounded(mean).alias("mean"), rounded(deviation).alias("stdev"), rounded(F.min("value")).alias("min"),
+        rounded(F.min("_mean")).alias("mean"), rounded(deviation).alias("stdev"), rounded(F.min("value")).alias("min"),
         rounded(F.expr("percentile(value, 0.5, n)")).alias("median"), rounded(F.max("value")).alias("max"), total.cast("long").alias("count"),
     )
 
@@ -57,11 +61,11 @@ def vocabulary(rows: DataFrame, keys: list[str]) -> DataFrame:
 def overlap(vocab: DataFrame, pairs: DataFrame) -> DataFrame:
     """Sizes, intersection, union and Jaccard index of two targets' vocabularies, for each pair and scope.
 
-    ``pairs(target1, target2)`` is broadcast (a configured table); each key of a pair is one row that says on
+    ``pairs(target1, target2)`` is a configured table; each key of a pair is one row that says on
     which sides it is, so there is one shuffle and no self join.  Without any key the index is 0.
     """
     sides = pairs.select("target1", "target2", F.explode(F.array(F.struct(F.col("target1").alias("target"), F.lit(1).alias("side")), F.struct(F.col("target2").alias("target"), F.lit(2).alias("side")))).alias("x")).select("target1", "target2", "x.*")
-    keyed = vocab.select("target", "scope", "key").join(F.broadcast(sides), "target")
+    keyed = vocab.select("target", "scope", "key").join(sides, "target")
     on = lambda side: F.max((F.col("side") == side).cast("int"))
     each = keyed.groupBy("target1", "target2", "scope", "key").agg(on(1).alias("one"), on(2).alias("two"))
     out = each.groupBy("target1", "target2", "scope").agg(F.sum("one").alias("n1"), F.sum("two").alias("n2"), F.sum(F.col("one") * F.col("two")).alias("n_intersection"), F.count("*").alias("n_union"))

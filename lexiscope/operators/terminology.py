@@ -86,6 +86,8 @@ class Terminology:
             if better.isEmpty():
                 break
             known = settled(known.join(better, "ui", "left_anti").unionByName(better))
+        else:
+            raise ValueError(f"more than {MOST_LEVELS} levels")
         lost = rest.join(known, "ui", "left_anti").withColumn("depth", F.lit(1))
         return known.unionByName(lost)
 
@@ -198,6 +200,8 @@ class Terminology:
             if more.isEmpty():
                 break
             reach = settled(reach.unionByName(more))
+        else:
+            raise ValueError(f"more than {MOST_LEVELS} levels")
         kept = upward.join(reach.withColumnRenamed("ui", "parent"), "parent", "left_semi")
         count = kept.groupBy("ui").agg(F.count("*").alias("n"))
         steps = kept.groupBy("ui", "parent").agg(F.count("*").alias("k")).join(count, "ui").select("ui", "parent", (F.col("k") / F.col("n")).alias("w"))
@@ -235,6 +239,13 @@ def _shared(keys: DataFrame) -> DataFrame:
 BY = ["target", "scope"]
 
 
+def _for_each_target(rows: DataFrame, measured: DataFrame) -> DataFrame:
+    """``rows`` once for each (target, scope) of ``measured``.  What is broadcast is one row with the pairs of
+    configured targets and scopes, however many ``rows`` there are."""
+    pairs = measured.select(*BY).distinct().agg(F.collect_list(F.struct(*BY)).alias("_at"))
+    return rows.join(F.broadcast(pairs), F.lit(True)).withColumn("_at", F.explode("_at")).select("_at.*", *rows.columns)
+
+
 def accepted_ids(leaves: DataFrame, terminology: Terminology) -> DataFrame:
     """``(target, scope, id, n)`` of ``leaves(target, scope, identifier, resource)``: ids of accepted resources
     and how often each occurs."""
@@ -253,7 +264,7 @@ def branch_coverage(ids: DataFrame, terminology: Terminology, weights: DataFrame
     whole = terminology.totals(weights)
     if topics is not None:
         keys = whole.select("key").unionByName(topics.select("key")).distinct()
-        every = total.select(*BY).join(F.broadcast(keys.agg(F.collect_set("key").alias("keys"))), F.lit(True)).withColumn("key", F.explode("keys")).drop("keys")
+        every = _for_each_target(keys, total)
         mass = every.join(mass, [*BY, "key"], "left")
     rows = mass.join(whole, "key", "left").join(total, BY)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -270,7 +281,7 @@ def depth_coverage(ids: DataFrame, terminology: Terminology) -> DataFrame:
     weights = settled(terminology.depth_weights())
     mass = terminology.resolved(ids, "id").filter("ui is not null").join(weights, "ui").groupBy(*BY, F.col("key").alias("depth")).agg(F.sum(F.col("w") * F.col("n")).alias("count"))
     whole = terminology.totals(weights).select(F.col("key").alias("depth"), "total")
-    every = ids.select(*BY).distinct().join(F.broadcast(whole.agg(F.collect_list(F.struct("depth", "total")).alias("t"))), F.lit(True)).withColumn("t", F.explode("t")).select(*BY, "t.depth", "t.total")
+    every = _for_each_target(whole, ids)
     rows = every.join(mass, [*BY, "depth"], "left").withColumn("count", F.coalesce("count", F.lit(0.0)))
     return rows.withColumn("all", F.expr("sum(count) over (partition by target, scope)")).select(
         *BY, "depth", F.round("count", DIGITS).alias("count"), F.round("total", DIGITS).alias("terminology_total"),

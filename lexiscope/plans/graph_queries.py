@@ -86,7 +86,7 @@ def _coverage(weights: str, keys: str = "") -> str:
 
 
 _ARTICLES = """targets(target, subset) AS (VALUES ('train', 'train'), ('dev', 'dev'), ('test', 'test'), ('orders', NULL)),
-topics_of AS (SELECT l_orderkey, list_sort(list(DISTINCT term)) AS terms FROM (SELECT l_orderkey, unnest([p_type, p_brand]) AS term FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R') GROUP BY l_orderkey),
+topics_of AS (SELECT l_orderkey, list_sort(list(DISTINCT term)) AS terms FROM (SELECT l_orderkey, unnest([p_type, p_brand]) AS term FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY l_orderkey),
 articles AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS document_id, CASE o_orderkey % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'dev' ELSE 'train' END AS subset, c_mktsegment AS journal,
     CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_mktsegment END AS journal_id, CAST(year(o_orderdate) AS VARCHAR) AS pub_year, terms
     FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN topics_of ON l_orderkey = o_orderkey),

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to spark.checkpoint.dir and read back; a folder of this machine only where none is set."""
+    """``df`` written to spark.checkpoint.dir and read back; where none is set, a folder of this machine if the executors
+    are on it too."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not where:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             where = tempfile.mkdtemp(prefix="lexiscope-")
             atexit.register(shutil.rmtree, where, ignore_errors=True)
         context.setCheckpointDir(where)

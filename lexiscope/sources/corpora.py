@@ -113,7 +113,7 @@ def read_standoff(spark: SparkSession, path: str, corpus: str, subset: str = "al
     files = lambda end: spark.read.option("pathGlobFilter", f"*.{end}").text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), rf"([^/]+)\.{end}$", 1).alias("stem"), "value")
     texts, marks = files("txt").withColumnRenamed("value", "text"), files("ann")
     if ids is not None:
-        keyed = texts.withColumn("_k", F.substring_index("stem", "-", 1)).join(F.broadcast(ids.withColumnRenamed("stem", "_k")), "_k", "left").drop("_k")
+        keyed = texts.withColumn("_k", F.substring_index("stem", "-", 1)).join(ids.withColumnRenamed("stem", "_k"), "_k", "left").drop("_k")
     else:
         found = F.regexp_extract("stem", r"^(?:PMID-([0-9]+)|(PMC)-?([0-9]+))", 0)
         number = F.regexp_replace(found, r"^PMID-", "")

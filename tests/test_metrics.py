@@ -230,3 +230,11 @@ def test_truth_values():
     assert as_bool(" Yes") and not as_bool("0")
     with pytest.raises(ValueError):
         as_bool("maybe")
+
+
+def test_deviation_of_large_values(spark):
+    from lexiscope.operators.statistics import describe
+
+    df = spark.createDataFrame([("a", 1e9 + 0.1), ("a", 1e9 + 0.2), ("a", 1e9 + 0.3), ("b", 5.0)], "k string, value double")
+    got = {r.k: r for r in describe(df, ["k"]).collect()}
+    assert abs(got["a"].stdev - 0.1) < 1e-6 and got["b"].stdev is None and got["a"]["count"] == 3

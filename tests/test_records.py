@@ -46,3 +46,16 @@ def test_crossref(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"message": {"items": [{"DOI": "10.1/X", "container-title": ["J"], "ISSN": ["1"], "issued": {"date-parts": [[2001, 2]]}}]}}')
     row = payloads.read_crossref(spark, str(tmp_path / "c.json")).first()
     assert row.identifiers == {"doi": ["10.1/x"]} and row.pub_year == "2001" and row.journal == "J"
+
+
+def test_equal_rows_are_one_and_others_conflict(spark):
+    import pytest
+    from lexiscope.operators.records import ConflictError, upsert
+
+    kind = "identifiers map<string,array<string>>, name string"
+    store = spark.createDataFrame([(1, {"PMID": ["1"]}, "one")], f"record_id long, {kind}")
+    update, new = ({"PMID": ["1"]}, "uno"), ({"PMID": ["9"]}, "nine")
+    out = upsert(store, spark.createDataFrame([update, update, new, new], kind), {"name": "replace"})
+    assert sorted((r.record_id, r.name) for r in out.collect()) == [(1, "uno"), (2, "nine")]
+    with pytest.raises(ConflictError):
+        upsert(store, spark.createDataFrame([new, ({"PMID": ["9"]}, "other")], kind), {"name": "replace"})
