@@ -1,32 +1,43 @@
 """HTML main-text extraction with nearest-URL page differencing.
 
-A page's markup settles most blocks: text in menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments is dropped by element, role and class, and where the page marks its
-article (``article`` or ``main``), the blocks in it are the text.  Where it doesn't, each page is paired with
-the page of the same host whose path is nearest in path order, their lines are aligned by longest common
-subsequence, and the shared lines are deleted as the site's frame, unless they are so much of the page
-(SAME of its characters or more) that the pair are copies.
-
-Only pages that need differencing are sorted by host and path; a host with a third of all pages is spread over
-as many range partitions as it fills, and the pages at partition borders are passed over the borders.
+Each page is paired with the page of the same host whose path is nearest in path order, their text lines (one a
+block) are aligned by longest common subsequence, and the lines that both have are the site's frame, unless they
+are so much of the page (SAME of its characters or more) that the pair are copies; then the neighbour on the other
+side is asked.  Every page with a neighbour goes through this.
+
+What is deleted is decided with the page's markup as further evidence.  Menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments are known by element, role or class and always deleted, as on
+pages whose frame differs from page to page differencing can't see it.  Text of a marked article (``article``,
+``main``) without such evidence is kept, though a neighbour has it too: articles quote the same passages.  All
+other text, which is that of pages without a marked article and of parts of an article with a doubtful class name,
+is deleted if it is shared or mostly links.
+
+Pages are read twice, so that only hashes of lines are sorted, by host and path; a host with a third of all pages
+is spread over as many range partitions as it fills, and the pages at partition borders are passed over the borders.
+A page is scanned in one pass, in time that grows with its length whatever is in it.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiscope.llm.runtime import by_value, materialize
+from lexiscope.llm.runtime import by_value, discard, materialize
 
 by_value(__name__)
 
-SAME = 0.8
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+SAME, MOSTLY = 0.8, 0.5
+#: A tag; quotes count only behind an equals sign.  The second one, for pages with an unfinished tag, knows no quotes.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?>[^>=]+|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+BROKEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>?+")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {
@@ -47,93 +58,187 @@ NAMED = COMMENTS | {
     "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "popup", "promo",
     "related", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Words of NAMED that an article's own parts may have in their names, and elements that are such parts.
+DOUBTFUL = {"banner", "notification", "promo", "related", "search", "share", "sharing", "social", "sponsor", "subscribe", "toolbar", "widget"}
+PARTS = {"blockquote", "dd", "dl", "dt", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ol", "p", "pre", "section", "table", "tr"}
+#: Where an element that is never closed ends.
+NEXT_PART = {"article", "main", "section", "footer", "body"}
 #: Elements that hold the whole page; their classes say nothing about a part of it.
 FRAMES = {"html", "body"}
 
 
-def _unwanted(tag: str, attributes: str, in_root: bool) -> bool:
+#: What speaks for a block: it is in a marked article; in one, but under a doubtful name; elsewhere; in the frame.
+ARTICLE, DOUBT, ELSEWHERE, FRAME = range(4)
+
+
+def _against(tag: str, attributes: str, in_root: bool) -> int | None:
+    """FRAME or DOUBT if an element's name, role or class speaks against its text, else None."""
     if tag in DROPPED or tag == "header" and not in_root:
-        return True
+        return FRAME
     if not attributes or tag in FRAMES:
-        return False
+        return None
     found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
     if "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
+        return FRAME
     if found.get("role", "").lower() in ROLES:
-        return True
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
+        return FRAME
+    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()
+    words = set(re.split(r"[^a-z]+", names))
     if tag in ROOTS:
-        return bool(words & COMMENTS)
-    return bool(words & NAMED) or "header" in words and not in_root and tag in ("div", "section")
+        return FRAME if words & COMMENTS else None
+    known = words & NAMED
+    if known:
+        whole = set(names.split())
+        return DOUBT if in_root and known <= DOUBTFUL and (tag in PARTS or not known & whole) else FRAME
+    return FRAME if "header" in words and not in_root and tag in ("div", "section") else None
+
 
+class _Region:
+    """An element with evidence against its text: the pieces and tags from its opening to its end."""
 
-def _past(html: str, at: int, tag: str) -> int | None:
-    """Where the element ``tag`` that opened just before ``at`` ends; None if it is never closed."""
-    if tag in RAW:
-        end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
-        return end.end() if end else None
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(html, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return None
+    def __init__(self, kind: int, piece: int, tag: int, soft: bool, depth: int):
+        self.kind, self.first, self.opened, self.soft, self.depth = kind, piece, tag, soft, depth
+        self.last = self.closed = None
 
 
-def blocks(html: str | None) -> tuple[list[str], bool]:
-    """The page's text blocks in order, and whether the markup settles that they are the article."""
+def parse(html: str | None) -> list[tuple[str, int, bool]]:
+    """The page's text blocks in order: text, evidence, and whether the text is mostly that of links."""
     html = html or ""
-    if "<" not in html:
-        text = " ".join(html_lib.unescape(html).split())
-        return ([text] if text else []), False
-    inside: list[str] = []
-    every: list[str] = []
-    parts: list[str] = []
-    depth = at = 0
+    pieces: list[str] = []
+    inside: list[bool] = []
+    linked: list[bool] = []
+    cuts = [0]
+    regions: list[_Region] = []
+    active: dict[str, list[tuple[int, _Region]]] = {}
+    count: dict[str, int] = {}
+    roots: list[int] = []
+    parts: list[tuple[int, int]] = []
+    endless: set[str] = set()
+    depth = at = tags = 0
+    link = broken = False
+
+    def add(text: str) -> None:
+        if text:
+            pieces.append(html_lib.unescape(text) if "&" in text else text)
+            inside.append(depth > 0)
+            linked.append(link)
 
     def flush() -> None:
-        text = " ".join("".join(parts).split())
-        parts.clear()
-        if text:
-            every.append(text)
-            if depth:
-                inside.append(text)
+        if cuts[-1] < len(pieces):
+            cuts.append(len(pieces))
 
     while True:
-        m = TOKEN.search(html, at)
-        piece = html[at : m.start() if m else len(html)]
-        if piece:
-            parts.append(html_lib.unescape(piece) if "&" in piece else piece)
-        if not m:
+        lt = html.find("<", at)
+        add(html[at : lt if lt >= 0 else len(html)])
+        if lt < 0:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        after = html[lt + 1 : lt + 3]
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else len(html)
+            continue
+        if after[:1] in ("!", "?") or after[:1] == "/" and not after[1:2].isalpha():
+            end = -1 if ">" in endless else html.find(">", lt)
+            if end < 0:
+                endless.add(">")
+                add("<")
+                at = lt + 1
+            else:
+                at = end + 1
+            continue
+        m = None if broken else TAG.match(html, lt)
+        if m is None and after[:1].isascii() and (after[:1].isalpha() or after[:1] == "/"):
+            broken = True
+            m = BROKEN_TAG.match(html, lt)
+        if m is None:
+            add("<")
+            at = lt + 1
             continue
-        closing = bool(m[1])
-        if not closing and _unwanted(tag, m[3], depth > 0):
-            if tag not in INLINE:
-                flush()
+        at = m.end()
+        tags += 1
+        closing, tag = bool(m[1]), m[2].lower()
+        if tag == "a":
+            link = not closing
+        if not closing and tag in NEXT_PART:
+            flush()
+            parts.append((tags, len(pieces)))
+        against = None if closing else _against(tag, m[3], depth > 0)
+        if tag not in INLINE:
+            flush()
+        elif tag in ("br", "td", "th", "img"):
+            add(" ")
+        if against is not None:
             if tag in VOID or m[3].rstrip().endswith("/") and tag not in RAW:
                 continue
-            to = _past(html, at, tag)
-            if to is None:  # never closed: up to the next part of the page
-                nxt = re.compile(r"<(?:article|main|section|footer|body)\b", re.I).search(html, at)
-                to = nxt.start() if nxt else len(html)
-            elif not depth and tag not in DROPPED and re.compile(r"<(?:article|main)\b", re.I).search(html, at, to):
-                continue  # a wrapper around the article, whatever its name
-            at = to
-            continue
-        if tag in INLINE:
-            if tag in ("br", "td", "th", "img"):
-                parts.append(" ")
+            if tag in RAW and tag not in endless:
+                end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
+                if end:
+                    at = end.end()
+                    continue
+                endless.add(tag)
+            region = _Region(against, len(pieces), tags, not depth and tag not in DROPPED, depth)
+            regions.append(region)
+            count[tag] = count.get(tag, 0) + 1 if tag in active else 1
+            active.setdefault(tag, []).append((count[tag], region))
+            if tag in ROOTS:
+                depth += 1
             continue
-        flush()
+        if tag in active:
+            if not closing:
+                count[tag] += tag not in VOID
+            else:
+                level, region = active[tag][-1]
+                if count[tag] == level:
+                    region.last, region.closed, depth = len(pieces), tags, region.depth
+                    active[tag].pop()
+                    if not active[tag]:
+                        del active[tag]
+                    count[tag] -= 1
+                    continue
+                count[tag] -= 1
         if tag in ROOTS:
+            if not closing:
+                roots.append(tags)
             depth = max(0, depth + (-1 if closing else 1))
     flush()
-    return (inside, True) if inside else (every, False)
+
+    n = len(pieces)
+    bounds = {kind: [0] * (n + 1) for kind in (FRAME, DOUBT)}
+    for r in regions:
+        last = r.last
+        if last is None:  # never closed: up to the next part of the page
+            nxt = bisect_right(parts, (r.opened, n))
+            last = parts[nxt][1] if nxt < len(parts) else n
+        elif r.soft and bisect_right(roots, r.closed) > bisect_right(roots, r.opened):
+            continue  # a wrapper around the article, whatever its name
+        bounds[r.kind][r.first] += 1
+        bounds[r.kind][last] -= 1
+    frame, doubt = (list(accumulate(bounds[kind])) for kind in (FRAME, DOUBT))
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        own = [k for k in range(a, b) if not frame[k]]
+        text = " ".join("".join(pieces[k] for k in own).split())
+        if text:
+            kind = (DOUBT if doubt[own[0]] else ARTICLE) if inside[own[0]] else ELSEWHERE
+            out.append((text, kind, sum(len(pieces[k]) for k in own if linked[k]) >= MOSTLY * sum(len(pieces[k]) for k in own)))
+        elif text := " ".join("".join(pieces[a:b]).split()):
+            out.append((text, FRAME, False))
+    return out
+
+
+def decide(found: list[tuple[str, int, bool]], shared: set[int] = frozenset()) -> list[str]:
+    """The article's blocks, given which of the page's blocks its neighbour shares."""
+    marked = any(kind in (ARTICLE, DOUBT) for _, kind, _ in found)
+    if marked:
+        return [t for i, (t, kind, links) in enumerate(found) if kind == ARTICLE or kind == DOUBT and not links and i not in shared]
+    rest = [(i, t, links) for i, (t, kind, links) in enumerate(found) if kind == ELSEWHERE]
+    only_links = all(links for _, _, links in rest)
+    return [t for i, t, links in rest if i not in shared and (only_links or not links)]
+
+
+def blocks(html: str | None) -> list[str]:
+    """The article's blocks of a page without neighbours."""
+    return decide(parse(html))
 
 
 def common_lines(a: list[int], b: list[int]) -> list[bool]:
@@ -176,17 +281,6 @@ def common_lines(a: list[int], b: list[int]) -> list[bool]:
     return shared
 
 
-def without_shared(lines: list[str], own: list[int], near: list[int] | None) -> list[str]:
-    """The lines that the page doesn't share with its neighbour; all of them if the two are copies."""
-    if not near or not lines:
-        return lines
-    shared = common_lines(own, near)
-    total = sum(map(len, lines))
-    if sum(len(t) for t, s in zip(lines, shared) if s) >= SAME * total:
-        return lines
-    return [t for t, s in zip(lines, shared) if not s]
-
-
 def _host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
@@ -213,12 +307,19 @@ def with_neighbours(pages: DataFrame) -> DataFrame:
     return rows.withColumn("before", same("before")).withColumn("after", same("after")).drop("part", "head", "tail")
 
 
-def _nearest(path: str, before: dict | None, after: dict | None) -> list[int] | None:
-    """Hashes of the neighbour whose path has the longer common beginning, the one before in a tie."""
+def shared_lines(own: list[int], sizes: list[int], path: str, before: dict | None, after: dict | None) -> list[int]:
+    """Which lines the page has in common with its nearest neighbour; none if both neighbours are copies of it."""
+    for near in _nearest(path, before, after):
+        shared = common_lines(own, near)
+        if sum(n for n, s in zip(sizes, shared) if s) < SAME * sum(sizes):
+            return [i for i, s in enumerate(shared) if s]
+    return []
+
+
+def _nearest(path: str, before: dict | None, after: dict | None) -> list[list[int]]:
+    """Hashes of the neighbours' lines, that with the longer common beginning of the path first, the one before in a tie."""
 
-    def common(other: dict | None) -> int:
-        if other is None:
-            return -1
+    def common(other: dict) -> int:
         n = 0
         for x, y in zip(path, other["path"]):
             if x != y:
@@ -226,39 +327,65 @@ def _nearest(path: str, before: dict | None, after: dict | None) -> list[int] |
             n += 1
         return n
 
-    best = before if common(before) >= common(after) else after
-    return best["hashes"] if best else None
+    return [x["hashes"] for x in sorted((x for x in (before, after) if x), key=common, reverse=True)]
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """``(k1, k2, page_id, url, hashes, sizes)`` of each distinct page that has text; ``k1`` and ``k2`` are hashes of
+    the whole row, ``hashes`` those of its lines, ``sizes`` their characters."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [parse(h) for h in part.column(4).to_pylist()]
+                hashes = pa.array([[(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) + (1 << 63)) % (1 << 64) - (1 << 63) for t, _, _ in b] for b in found], pa.list_(pa.int64()))
+                sizes = pa.array([[len(t) for t, _, _ in b] for b in found], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], hashes, sizes], ["k1", "k2", "page_id", "url", "hashes", "sizes"])
+
+    lines = _keyed(pages).mapInArrow(run, "k1 long, k2 long, page_id long, url string, hashes array<long>, sizes array<int>")
+    return lines.filter("size(hashes) > 0").dropDuplicates(["k1", "k2"])
+
+
+def _keyed(pages: DataFrame) -> DataFrame:
+    narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    row = [F.xxhash64(*(F.lit(k),) * k, "page_id", "url", "html", F.col("url").isNull()) for k in (0, 1)]
+    return narrow.select(row[0].alias("k1"), row[1].alias("k2"), "page_id", "url", "html")
+
+
+def page_differences(pages: DataFrame) -> DataFrame:
+    """``(k1, k2, shared)`` for each distinct page that has lines in common with its nearest neighbour, written;
+    ``shared`` are the lines' numbers."""
+
+    def differ(batches):
+        for batch in batches:
+            rows = batch.select(["hashes", "sizes", "path", "before", "after"]).to_pylist()
+            shared = pa.array([shared_lines(*r.values()) for r in rows], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), shared], ["k1", "k2", "shared"])
+
+    lines = page_lines(pages).withColumn("host", _host(F.col("url"))).withColumn("path", _path(F.col("url"))).drop("url")
+    lines = materialize(lines, "page-lines")
+    found = with_neighbours(lines).filter("before is not null or after is not null")
+    out = materialize(found.mapInArrow(differ, "k1 long, k2 long, shared array<int>").filter("size(shared) > 0"), "page-shared")
+    discard(lines)
+    return out
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages(page_id, url, html)``.
 
     Null and empty html, and html without text, give the empty text; a null or odd url belongs to the host
-    without a name; pages without a neighbour on their host lose no lines; repeated rows come out repeated
-    (and, being copies, lose no lines to each other); an empty table gives no rows.  Other columns are not read.
+    without a name; pages without a neighbour on their host share no lines; repeated rows are one page for their
+    neighbours and come out repeated; an empty table gives no rows.  Other columns are not read.
     """
 
-    def parse(batches):
+    def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [blocks(h) for h in part.column(2).to_pylist()]
-                texts = pa.array(["\n\n".join(b) if settled or not b else None for b, settled in found], pa.string())
-                lines = pa.array([None if settled or not b else b for b, settled in found], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts, lines], ["page_id", "url", "text", "lines"])
+                texts = ["\n\n".join(decide(parse(h), set(s or ()))) for h, s in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    def differ(batches):
-        for batch in batches:
-            out = []
-            for row in batch.select(["path", "lines", "hashes", "before", "after"]).to_pylist():
-                out.append("\n\n".join(without_shared(row["lines"], row["hashes"], _nearest(row["path"], row["before"], row["after"]))))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
-
-    narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = materialize(narrow.mapInArrow(parse, "page_id long, url string, text string, lines array<string>"), "page-lines")
-    settled = parsed.filter("lines is null").select("page_id", "url", "text")
-    rest = parsed.filter("lines is not null").select("page_id", "url", _host(F.col("url")).alias("host"), _path(F.col("url")).alias("path"), "lines")
-    if not rest.isEmpty():
-        rest = rest.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-        settled = settled.unionByName(with_neighbours(rest).mapInArrow(differ, "page_id long, url string, text string"))
-    return settled.withColumn("n_chars", F.length("text").cast("long"))
+    shared = page_differences(pages)
+    rows = _keyed(pages).join(shared, ["k1", "k2"], "left").select("page_id", "url", "html", "shared")
+    return rows.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -50,7 +50,7 @@ def test_common_lines():
     ],
 )
 def test_blocks(html, want):
-    assert ht.blocks(html)[0] == want
+    assert ht.blocks(html) == want
 
 
 def test_differencing(spark):
@@ -66,7 +66,57 @@ def test_differencing(spark):
 
 def test_nearest_path():
     near = ht._nearest("/a/bc", {"path": "/a/x", "hashes": [1]}, {"path": "/a/bd", "hashes": [2]})
-    assert near == [2] and ht._nearest("/", None, None) is None
+    assert near == [[2], [1]] and ht._nearest("/", None, None) == []
+
+
+def test_names_inside_an_article():
+    html = '<article><h1>T</h1><section class="search results"><p>found things</p></section><p class="social">a social matter</p><div id="related-work">earlier work</div><div class="ad">buy</div><div class="related-posts"><a href="/x">more posts</a></div></article>'
+    assert ht.blocks(html) == ["T", "found things", "a social matter", "earlier work"]
+    assert ht.blocks("<p data-x=\"a\" b'>text</p><p title='<b>'>more</p>") == ["text", "more"]
+    assert ht.blocks('<div><a href="/a">one</a> <a href="/b">two</a></div><p>A story with <a href="/c">a link</a> in it.</p>') == ["A story with a link in it."]
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a ="', "<a href='", "<!", "</", "<div class='ad'>", '<div class="page nav">x', "<script>", "<", "&", "<b><p>", "<!--", "<nav><div class=ad><span class=share>"])
+def test_odd_pages_take_linear_time(part):
+    import time
+
+    began = time.process_time()
+    ht.blocks(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 20
+
+
+def test_differencing_against_brute_force(spark):
+    """All pages of a host are paired with the nearest of all others, and aligned."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        path = "/" + "/".join(rng.choice("abc") for _ in range(3)) + f"/{i:02d}"
+        frame = [f"<div>frame {rng.randrange(3)} {k}</div>" for k in range(2)]
+        body = "".join(f"<p>line {rng.randrange(40)} of it</p>" for _ in range(rng.randrange(1, 6)))
+        page = frame[0] + (f"<article>{body}</article>" if rng.random() < 0.3 else body) + frame[1]
+        rows.append((i, f"https://h{rng.randrange(2)}.org{path}", page))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    host = lambda url: url.split("/")[2]
+    path = lambda url: "/" + url.split("/", 3)[3]
+    want = {}
+    for i, url, page in rows:
+        found = ht.parse(page)
+        others = sorted((path(u), k, p) for k, u, p in rows if k != i and host(u) == host(url))
+        lower = [x for x in others if x[:2] < (path(url), i)][-1:]
+        upper = [x for x in others if x[:2] > (path(url), i)][:1]
+        near = sorted(lower + upper, key=lambda x: -len(os.path.commonprefix([x[0], path(url)])))
+        longest = max(len(os.path.commonprefix([x[0], path(url)])) for x in others)
+        assert len(os.path.commonprefix([near[0][0], path(url)])) == longest
+        shared = set()
+        for _, _, other in near:
+            flags = ht.common_lines([t for t, _, _ in found], [t for t, _, _ in ht.parse(other)])
+            if sum(len(t) for (t, _, _), s in zip(found, flags) if s) < 0.8 * sum(len(t) for t, _, _ in found):
+                shared = {k for k, s in enumerate(flags) if s}
+                break
+        article = any(kind == ht.ARTICLE for _, kind, _ in found)
+        want[i] = "\n\n".join(t for k, (t, kind, _) in enumerate(found) if (kind == ht.ARTICLE if article else k not in shared))
+    assert {r.page_id: r.text for r in ht.extract_text(df).collect()} == want
+    assert any(w.count("line") < page.count("line") for w, (_, _, page) in zip(want.values(), rows))
 
 
 def test_network_gradient():
