@@ -25,12 +25,28 @@ def test_token_counts(spark):
     library = Tokenizer.from_file(BYTES)
     rows = list(enumerate(texts())) + [(-1, None), (0, ODD[0]), (0, ODD[0])]
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, n_tokens string")
-    got = sorted(map(tuple, tc.token_counts(df, BYTES).collect()))
     want = sorted((i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 1024) for i, t in rows)
-    assert got == want
+    for frequent in (0, 5, tc.FREQUENT):
+        assert sorted(map(tuple, tc.token_counts(df, BYTES, frequent=frequent).collect())) == want
     assert tc.token_counts(df.limit(0), BYTES).count() == 0
 
 
+def test_each_pretoken_is_segmented_once(spark, monkeypatch):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(tc, "HELD", 3)
+    definition = spark.sparkContext.broadcast(open(BYTES).read())
+    df = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string").repartition(5).withColumn("n_bytes", F.lit(0))
+    table = tc.pretoken_table(df, definition).collect()
+    cutter, want = tc.PieceCounter(definition.value), Counter()
+    for t in texts():
+        want.update(cutter.frequencies(t)[0])
+    assert {r.pretoken: (r.n, r.pieces) for r in table} == {k: (n, cutter.pieces([k])[0]) for k, n in want.items()}
+    assert len(table) == len(want)
+
+
 def test_character_classes_agree():
     """The pattern is used only on characters that the library classes alike."""
     from tokenizers import Tokenizer
