@@ -13,8 +13,9 @@ SimHash can't do this: the blocks that two lines at similarity 0.8 share are far
 README has the figures.)  The SimHash of a candidate's words then keeps unrelated lines from verification: a pair
 of lines that aren't short may differ in CLOSE of its 64 bits, or in DISTANCE if it meets in several buckets.
 
-A bucket with many variants of one line must not yield all its pairs: each line is first compared with its
-bucket's hub (its smallest line), and only pairs that are still in different components after that are looked at.
+A bucket with many variants of one line must not yield all its pairs: each line is first compared with one
+of its buckets' hubs (a bucket's smallest line), the one that it meets most often, and only pairs that are still in
+different components after that are looked at.
 Buckets are found by counting, so a crowded one is combined before it is shuffled, and joins on buckets, lines and
 groups have a plain exchange on both sides, so that adaptive execution can split a crowded key.  Texts and bucket
 rows that no candidate needs are dropped before the shuffle by a bitmap of fixed size.
@@ -187,7 +188,8 @@ def line_groups(lines: DataFrame, marks: DataFrame) -> DataFrame:
     named = lambda end, name: short.select(F.col("line").alias(name), *(F.col(c).alias(c + end) for c in ("chars", "fp")))
     starred = met.filter(F.col("line") != F.col("hub")).groupBy(F.col("hub").alias("a"), F.col("line").alias("b")).agg(F.count("*").alias("n"))
     starred = starred.join(named("_a", "a"), "a").join(named("_b", "b"), "b").filter(_near("_a", "_b") & ((_bits("_a", "_b") <= CLOSE) | (F.col("n") > 1)))
-    starred = materialize(starred.select("a", "b"), "hub-pairs")
+    best = F.max(F.struct("n", (-_bits("_a", "_b")).alias("bits"), "a")).alias("top")
+    starred = materialize(starred.groupBy("b").agg(best).select("top.a", "b"), "hub-pairs")
     links = verified(texts, starred)
     roots = materialize(connected_components(links, "a", "b").withColumnRenamed("node", "line"), "hub-roots")
     placed = met.select("key", "line").join(short, "line").join(roots, "line", "left").withColumn("root", F.coalesce("root", "line"))
@@ -195,7 +197,7 @@ def line_groups(lines: DataFrame, marks: DataFrame) -> DataFrame:
     one, two = (placed.select("key", *(F.col(c).alias(c + end) for c in ("line", "chars", "fp", "root"))) for end in ("_a", "_b"))
     across = (F.col("root_a") < F.col("root_b")) & _near("_a", "_b")
     rest = one.join(two, "key").filter(across).select(F.least("line_a", "line_b").alias("a"), F.greatest("line_a", "line_b").alias("b"), _bits("_a", "_b").alias("bits"))
-    rest = materialize(_asked(rest).join(starred, ["a", "b"], "left_anti"), "line-pairs")
+    rest = materialize(_asked(rest).join(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "line-pairs")
     more = verified(texts, rest)
     # What the hubs have connected is one node by now.
     ends = more.join(roots.select(F.col("line").alias("a"), F.col("root").alias("root_a")), "a", "left").join(roots.select(F.col("line").alias("b"), F.col("root").alias("root_b")), "b", "left")
