@@ -4,9 +4,11 @@
     bundles:  {target: [[corpus, subset], ...]}
     entity_scopes: {scope: {labels: [...]}}
     annotation_filters: {name: {labels: [...], link_relations: [...], match_types: [...]}}
-    metrics:  [{result: name, metric: name, bundles: [...] | pairs: [[a, b], ...], filter: name}]
+    terminologies: {name: {reader: obo, path: ..., prefix: ..., aliases: [...]}}
+    metrics:  [{result: name, metric: name, bundles: [...] | pairs: [[a, b], ...], filter: name, terminology: name}]
 
-Everything about names is checked before any data is read.  One plan a metric covers all its targets and
+Metrics over articles or terminologies take them from ``Resources`` given to ``run``; terminologies that are
+described above are read where those given lack them.  Everything about names is checked before any data is read.  One plan a metric covers all its targets and
 scopes.
 """
 
@@ -15,13 +17,14 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscope.operators.metrics import METRICS
 from lexiscope.plans.frames import Corpus
+from lexiscope.plans.resources import RESOURCE_METRICS, TERMINOLOGY_READERS, Resources, read_terminology
 from lexiscope.plans.targets import ALL, AnnotationFilter, target_frame
 
 READERS: dict[str, Callable[..., Corpus]] = {}
@@ -76,6 +79,7 @@ class Battery:
     metrics: list[dict]
     scopes: Mapping[str, list[str]] = field(default_factory=dict)
     filters: Mapping[str, AnnotationFilter] = field(default_factory=dict)
+    terminologies: Mapping[str, dict] = field(default_factory=dict)
 
     @classmethod
     def from_yaml(cls, text: str) -> Battery:
@@ -87,7 +91,7 @@ class Battery:
         filters = {k: AnnotationFilter.of(v or {}) for k, v in (raw.get("annotation_filters") or {}).items()}
         filters |= {k: AnnotationFilter(labels=frozenset(v)) for k, v in scopes.items()}
         bundles = {k: [(p[0], p[1] if len(p) > 1 else None) for p in v] for k, v in (raw.get("bundles") or {}).items()}
-        out = cls({k: listed(v) for k, v in (raw.get("corpora") or {}).items()}, bundles, raw.get("metrics") or [], scopes, filters)
+        out = cls({k: listed(v) for k, v in (raw.get("corpora") or {}).items()}, bundles, raw.get("metrics") or [], scopes, filters, raw.get("terminologies") or {})
         out.validate()
         return out
 
@@ -103,10 +107,20 @@ class Battery:
             for source in sources:
                 if source.get("reader") not in READERS:
                     raise ValueError(f"unknown reader {source.get('reader')}")
+        for name, source in self.terminologies.items():
+            if source.get("reader") not in TERMINOLOGY_READERS:
+                raise ValueError(f"{name}: unknown terminology reader {source.get('reader')}")
         for m in self.metrics:
             found = METRICS.get(m.get("metric"))
-            if not found:
+            more = RESOURCE_METRICS.get(m.get("metric"))
+            if not found and not more:
                 raise ValueError(f"unknown metric {m.get('metric')}")
+            if more:
+                if not m.get("bundles") or set(m["bundles"]) - set(self.bundles):
+                    raise ValueError(f"{m['result']}: no or unknown bundles")
+                if m.get("filter") or more.terminology != bool(m.get("terminology")):
+                    raise ValueError(f"{m['result']}: takes {'a' if more.terminology else 'no'} terminology, and no filter")
+                continue
             used = [t for p in m.get("pairs", []) for t in p] if found.kind == "cross" else m.get("bundles", [])
             if not used or set(used) - set(self.bundles):
                 raise ValueError(f"{m['result']}: no or unknown bundles {sorted(set(used) - set(self.bundles))}")
@@ -122,11 +136,18 @@ class Battery:
                 whole = part if whole is None else whole.union(part)
         return whole
 
-    def run(self, spark: SparkSession, corpus: Corpus | None = None) -> dict[str, DataFrame]:
+    def run(self, spark: SparkSession, corpus: Corpus | None = None, resources: Resources | None = None) -> dict[str, DataFrame]:
         """Result name -> frame.  Scopes are left out where a metric has a filter of its own."""
         corpus = corpus or self.load(spark)
+        resources = resources or Resources()
+        read = {k: read_terminology(spark, **v) for k, v in self.terminologies.items() if k not in resources.terminologies}
+        resources = replace(resources, terminologies={**read, **resources.terminologies})
         out = {}
         for m in self.metrics:
+            if more := RESOURCE_METRICS.get(m["metric"]):
+                targets = target_frame(spark, {t: self.bundles[t] for t in m["bundles"]})
+                out[m["result"]] = more.run(corpus, targets, self.scopes if more.scoped else {}, resources, m.get("terminology"))
+                continue
             found = METRICS[m["metric"]]
             where = self.filters.get(m.get("filter"))
             scopes = self.scopes if found.scoped and where is None else {}
@@ -163,6 +184,8 @@ def payload(results: Mapping[str, DataFrame], metrics: Mapping[str, str]) -> dic
 
 
 def _shape(metric: str, rows: list[dict]) -> dict:
+    if "terminology_total" in rows[0]:
+        return {"value": sorted(rows, key=lambda r: r["key"] if "key" in r else r["depth"])}
     if "key" in rows[0]:
         name = (lambda k: f"MatchType.{k.upper()}" if k != "null" else k) if metric == "match_type_distribution" else (lambda k: k)
         return {"value": {name(r["key"]): r["proportion"] for r in rows}, "details": {"counts": {name(r["key"]): r["count"] for r in rows}, "total": sum(r["count"] for r in rows)}}

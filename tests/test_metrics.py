@@ -153,6 +153,33 @@ def test_battery(spark, corpus, tmp_path):
             bt.Battery.from_yaml(bad)
 
 
+TERMS = """
+corpora: {k: [{reader: memory, subset: train}]}
+bundles: {t: [[k]]}
+terminologies: {cells: {reader: obo, path: PATH, prefix: CL, aliases: [CL]}}
+metrics:
+  - {result: tops, metric: high_level_concept_counts, bundles: [t], terminology: cells}
+  - {result: depths, metric: concept_depth_counts, bundles: [t], terminology: cells}
+"""
+
+
+def test_battery_with_terminology(spark, tmp_path):
+    obo = tmp_path / "c.obo"
+    obo.write_text("format-version: 1.2\n\n[Term]\nid: CL:1\nname: root\n\n[Term]\nid: CL:2\nname: child\nis_a: CL:1 ! root\n")
+    leaf = "array<struct<identifier:string,resource:string,match_type:string>>"
+    mentions = spark.createDataFrame([("k", "train", "a", "Cell", [("2", "CL", "exact"), ("X", "Other", "exact")])], f"corpus string, subset string, document_id string, label string, links {leaf}")
+    b = bt.Battery.from_yaml(TERMS.replace("PATH", str(obo)))
+    out = bt.payload(b.run(spark, Corpus(mentions, mentions, mentions)), {m["result"]: m["metric"] for m in b.metrics})
+    got = {x["result_name"]: x["value"] for x in out["t"]}
+    assert [(r["key"], r["terminology_total"], r["terminology_proportion"]) for r in got["tops"]] == [("CL:1", 2.0, 0.5)]
+    assert [(r["depth"], r["count"], r["share"]) for r in got["depths"]] == [(1, 0.0, 0.0), (2, 1.0, 1.0)]
+    for bad in (TERMS.replace("reader: obo", "reader: gone"), TERMS.replace(", terminology: cells}", "}")):
+        with pytest.raises(ValueError):
+            bt.Battery.from_yaml(bad)
+    with pytest.raises(ValueError, match="unknown terminology"):
+        bt.Battery({}, {"t": [("k", None)]}, [{"result": "x", "metric": "concept_depth_counts", "bundles": ["t"], "terminology": "none"}]).run(spark, Corpus(mentions, mentions, mentions))
+
+
 def test_streaming_profile(spark, tmp_path):
     from lexiscope.streaming import refresh
 

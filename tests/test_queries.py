@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 SOME = [
     "m03_sentence_count", "m12_annotations_per_1000_tokens_stats", "m14_unique_identifiers_per_document_stats", "m24_sentence_redundancy_stats", "m29_variation_degree_stats", "m37_identifier_resource_distribution",
-    "m42_article_mesh_topic_distribution", "m44_token_overlap", "m48_high_level_concept_counts_by_topic", "m49_concept_depth_counts", "t06_anchor_weights_by_tree", "a05_article_topic_audit", "d02_corpus_summary", "d10_topic_heat_map",
+    "b01_metadata_battery", "b02_terminology_battery", "m42_article_mesh_topic_distribution", "m44_token_overlap", "m48_high_level_concept_counts_by_topic", "m49_concept_depth_counts", "t06_anchor_weights_by_tree", "a05_article_topic_audit", "d02_corpus_summary", "d10_topic_heat_map",
 ]
 
 
