@@ -140,9 +140,9 @@ def _bits(a: str, b: str) -> Column:
 
 
 def _asked(pairs: DataFrame) -> DataFrame:
-    """The distinct pairs ``(a, b)`` of ``pairs(a, b, bits)``, a row for each bucket, that are to be verified."""
-    met = pairs.groupBy("a", "b").agg(F.min("bits").alias("bits"), F.count("*").alias("n"))
-    return met.filter((F.col("bits") <= CLOSE) | (F.col("n") > 1)).select("a", "b")
+    """The distinct pairs of ``pairs(a, b, bits, root_a, root_b)``, a row for each bucket, that are to be verified."""
+    met = pairs.groupBy("a", "b").agg(*(F.min(c).alias(c) for c in ("bits", "root_a", "root_b")), F.count("*").alias("n"))
+    return met.filter((F.col("bits") <= CLOSE) | (F.col("n") > 1)).drop("n")
 
 
 def edit_similar() -> Column:
@@ -172,7 +172,29 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of lines whose texts are similar, written."""
     left = pairs.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("one")), "a")
     both = left.join(texts.select(F.col("line").alias("b"), F.col("norm").alias("two")), "b")
-    return materialize(both.filter(edit_similar()).select("a", "b"), "line-links")
+    return materialize(both.filter(edit_similar()).select(*pairs.columns), "line-links")
+
+
+def links_across(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` among ``pairs(a, b, bits, root_a, root_b)``, written, that connect all that the similar ones
+    of the pairs connect.
+
+    Each line's nearest pair is verified first.  In a large group of near copies that connects most lines, and of
+    the other pairs only those whose ends are still in different components are verified, all of them.
+    """
+    end = lambda c: F.struct(F.col(c).alias("line"), F.struct("bits", "a", "b", "root_a", "root_b").alias("pair"))
+    ends = pairs.select(F.explode(F.array(end("a"), end("b"))).alias("x")).select("x.*")
+    nearest = materialize(ends.groupBy("line").agg(F.min("pair").alias("pair")).select("pair.*").distinct(), "nearest-pairs")
+    first = verified(texts, nearest)
+    moved = materialize(connected_components(first, "root_a", "root_b"), "moved-roots")
+    to = lambda c: moved.select(F.col("node").alias(c), F.col("root").alias(f"{c}_to"))
+    left = pairs.join(nearest.select("a", "b"), ["a", "b"], "left_anti").join(to("root_a"), "root_a", "left").join(to("root_b"), "root_b", "left")
+    left = left.filter(F.coalesce("root_a_to", "root_a") != F.coalesce("root_b_to", "root_b"))
+    left = materialize(left.select("a", "b"), "pairs-left")
+    second = verified(texts, left)
+    out = materialize(first.select("a", "b").unionByName(second), "links-across")
+    discard(nearest, first, moved, left, second)
+    return out
 
 
 def line_groups(lines: DataFrame, marks: DataFrame) -> DataFrame:
@@ -196,9 +218,13 @@ def line_groups(lines: DataFrame, marks: DataFrame) -> DataFrame:
     placed = materialize(placed, "placed-buckets")
     one, two = (placed.select("key", *(F.col(c).alias(c + end) for c in ("line", "chars", "fp", "root"))) for end in ("_a", "_b"))
     across = (F.col("root_a") < F.col("root_b")) & _near("_a", "_b")
-    rest = one.join(two, "key").filter(across).select(F.least("line_a", "line_b").alias("a"), F.greatest("line_a", "line_b").alias("b"), _bits("_a", "_b").alias("bits"))
+    swapped = F.col("line_a") > F.col("line_b")
+    end = lambda c, a, b: F.when(swapped, F.col(f"{c}_{b}")).otherwise(F.col(f"{c}_{a}"))
+    rest = one.join(two, "key").filter(across).select(
+        end("line", "a", "b").alias("a"), end("line", "b", "a").alias("b"), end("root", "a", "b").alias("root_a"), end("root", "b", "a").alias("root_b"), _bits("_a", "_b").alias("bits")
+    )
     rest = materialize(_asked(rest).join(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "line-pairs")
-    more = verified(texts, rest)
+    more = links_across(texts, rest)
     # What the hubs have connected is one node by now.
     ends = more.join(roots.select(F.col("line").alias("a"), F.col("root").alias("root_a")), "a", "left").join(roots.select(F.col("line").alias("b"), F.col("root").alias("root_b")), "b", "left")
     ends = materialize(ends.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")), "line-ends")
