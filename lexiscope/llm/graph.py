@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from lexiscope.llm.runtime import discard, materialize
 
+#: Tasks of a round at least, and edges a task beyond that.
+LEAST_TASKS, TASK_EDGES = 8, 50_000
+
 
 def _written(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
     """The edges, written, and their count and hashes, observed on the way."""
@@ -32,13 +35,15 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     flat = flat.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     now, stamp = _written(flat.distinct(), "edges")
     while stamp[0]:
+        # Never more rows than edges, which don't grow in number: a small graph takes few tasks, a large one all.
+        few = max(LEAST_TASKS, stamp[0] // TASK_EDGES)
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        low = materialize(both.groupBy("x").agg(F.min("y").alias("lowest")).select(F.col("x").alias("v"), F.least("x", "lowest").alias("m")), "lowest")
-        large = materialize(now.join(low, "v").select("u", F.col("m").alias("v")).distinct(), "large-star")
-        down = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "parents")
+        low = materialize(both.groupBy("x").agg(F.min("y").alias("lowest")).select(F.col("x").alias("v"), F.least("x", "lowest").alias("m")).coalesce(few), "lowest")
+        large = materialize(now.join(low, "v").select("u", F.col("m").alias("v")).distinct().coalesce(few), "large-star")
+        down = materialize(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(few), "parents")
         small = large.join(down, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         before = stamp
-        then, stamp = _written(down.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "edges")
+        then, stamp = _written(down.select("u", F.col("m").alias("v")).unionByName(small).distinct().coalesce(few), "edges")
         discard(now, low, large, down)
         now = then
         if stamp == before:
