@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm import embedding_dedup, hamming_search, line_dedup, mixing, secret_scan
+from lexiscope.llm import byte_bpe_ids, embedding_dedup, hamming_search, line_dedup, mixing, secret_scan
 from lexiscope.llm.html_text import extract_text
 from lexiscope.llm.quality import quality_scores
 from lexiscope.llm.sentencepiece_ids import encode_decode
@@ -60,6 +60,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe_ids.encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_hamming_search": op8_hamming_search,
     "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 #: Brute force over all pairs of a query row and a row.
