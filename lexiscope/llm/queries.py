@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm import byte_bpe_ids, embedding_dedup, hamming_search, line_dedup, mixing, secret_scan
+from lexiscope.llm import byte_bpe_ids, embedding_dedup, hamming_search, line_dedup, mixing, secret_scan, source_divergence
 from lexiscope.llm.html_text import extract_text
 from lexiscope.llm.quality import quality_scores
 from lexiscope.llm.sentencepiece_ids import encode_decode
@@ -60,6 +60,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(_read(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_ids.encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -75,10 +79,11 @@ QUERIES = {
     "op8_hamming_search": op8_hamming_search,
     "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_source_divergence": op11_source_divergence,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
-#: Brute force over all pairs of a query row and a row.
+#: The top-k search as brute force over all pairs of a query row and a row; the divergence as dense vectors joined by term.
 ORACLES: dict[str, str] = {
     "op8_hamming_search": """
         WITH pairs AS (
@@ -91,4 +96,26 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+        langs AS (SELECT lang, count(*) AS v, sum(total) AS size FROM kept GROUP BY lang),
+        c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY t.lang, t.source, t.term),
+        sizes AS (SELECT lang, source, sum(n) AS own FROM c GROUP BY lang, source),
+        groups AS (SELECT g.lang, g.source, coalesce(sizes.own, 0) AS own FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN sizes USING (lang, source)),
+        p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1)) // CAST(g.own + l.v AS HUGEINT) AS p,
+                   1 + (CAST(1000000000 AS HUGEINT) * (k.total + 1)) // CAST(l.size + l.v AS HUGEINT) AS q
+            FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), summed AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+        ), found AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q
+        ), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
 }
