@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm import byte_bpe_ids, embedding_dedup, hamming_search, line_dedup, mixing, secret_scan, source_divergence
+from lexiscope.llm import byte_bpe_ids, collocations, embedding_dedup, hamming_search, line_dedup, mixing, secret_scan, source_divergence
 from lexiscope.llm.html_text import extract_text
 from lexiscope.llm.quality import quality_scores
 from lexiscope.llm.sentencepiece_ids import encode_decode
@@ -64,6 +64,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(_read(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_ids.encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -80,10 +84,12 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_source_divergence": op11_source_divergence,
+    "op12_collocations": op12_collocations,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
-#: The top-k search as brute force over all pairs of a query row and a row; the divergence as dense vectors joined by term.
+#: The top-k search as brute force over all pairs of a query row and a row; the divergence as dense vectors joined by term;
+#: the collocations as n-grams by window functions.
 ORACLES: dict[str, str] = {
     "op8_hamming_search": """
         WITH pairs AS (
@@ -118,4 +124,34 @@ ORACLES: dict[str, str] = {
         ), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
         SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
     """,
+    "op12_collocations": r"""
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        tokens AS (SELECT doc, lang, unnest(x) AS token, generate_subscripts(x, 1) AS i FROM (SELECT doc, lang, regexp_extract_all(text, '[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+') AS x FROM d)),
+        placed AS (SELECT *, regexp_full_match(token, '[.,;:!?\x0A-\x0D]') AS break FROM tokens),
+        nexts AS (
+            SELECT lang, token AS w1, break, lead(token) OVER o AS w2, lead(break) OVER o AS break2, lead(token, 2) OVER o AS w3, lead(break, 2) OVER o AS break3
+            FROM placed WINDOW o AS (PARTITION BY doc ORDER BY i)
+        ),
+        one AS (SELECT lang, w1, count(*) AS a FROM nexts WHERE NOT break GROUP BY lang, w1),
+        two AS (SELECT lang, w1, w2, count(*) AS a FROM nexts WHERE NOT break AND NOT break2 GROUP BY lang, w1, w2),
+        three AS (SELECT lang, w1, w2, w3, count(*) AS a FROM nexts WHERE NOT break AND NOT break2 AND NOT break3 GROUP BY lang, w1, w2, w3),
+        sizes AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM one GROUP BY lang),
+        triples AS (SELECT * FROM three WHERE a >= 10),
+        above AS (
+            SELECT lang, w1, w2, max(a) AS b FROM (SELECT lang, w1, w2, a FROM triples UNION ALL SELECT lang, w2, w3, a FROM triples) GROUP BY lang, w1, w2
+        ), scored AS (
+            SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.a, x.a AS l, y.a AS r, (CAST(1000000 AS HUGEINT) * t.a * t.a) // (CAST(x.a AS HUGEINT) * y.a) AS score
+            FROM two t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1 JOIN one y ON y.lang = t.lang AND y.w1 = t.w2 LEFT JOIN above v ON v.lang = t.lang AND v.w1 = t.w1 AND v.w2 = t.w2
+            WHERE t.a >= 10 AND (v.b IS NULL OR 100 * v.b < 50 * t.a)
+            UNION ALL
+            SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2)
+            FROM (
+                SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.a, x.a AS l1, yz.a AS r1, xy.a AS l2, z.a AS r2,
+                       (CAST(1000000 AS HUGEINT) * t.a * t.a) // (CAST(x.a AS HUGEINT) * yz.a) AS s1, (CAST(1000000 AS HUGEINT) * t.a * t.a) // (CAST(xy.a AS HUGEINT) * z.a) AS s2
+                FROM triples t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1 JOIN one z ON z.lang = t.lang AND z.w1 = t.w3
+                    JOIN two xy ON xy.lang = t.lang AND xy.w1 = t.w1 AND xy.w2 = t.w2 JOIN two yz ON yz.lang = t.lang AND yz.w1 = t.w2 AND yz.w2 = t.w3
+            )
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored)
+        SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+    """,
 }
