@@ -29,7 +29,7 @@ from lexiscope.llm.runtime import by_value, discard, materialize
 by_value(__name__)
 
 #: Bytes of text in a shard, about; hash bits of the broadcast table, at most and for each frequent n-gram; salts tried.
-SHARD, MOST_BITS, BITS_EACH, SALTS = 6_000_000, 1 << 28, 16, 8
+SHARD, MOST_BITS, BITS_EACH, SALTS = 2_000_000, 1 << 28, 16, 8
 _BREAK = b"\xff"  # never in UTF-8
 _CLASSES = bytes(0xFF if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -98,14 +98,14 @@ def word_key(lang: Column, word: Column, salt: int) -> Column:
     return F.xxhash64(F.concat(F.lit(f"{salt}:"), lang), word)
 
 
-def _keys(lang: str, words: list[str], salt: int) -> np.ndarray:
+def _keys(lang: str, words: list[bytes], salt: int) -> np.ndarray:
     """``word_key`` of many words of one language."""
     seed = xxhash.xxh64_intdigest(f"{salt}:{lang}".encode(), 42)
-    return np.array([xxhash.xxh64_intdigest(w.encode(), seed) for w in words], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
 
 
-def _shards(docs: DataFrame) -> DataFrame:
-    """``(lang, words array<string>, counts array<long>, ids binary)`` of ``docs(lang, text)``, written."""
+def _shards(docs: DataFrame, salt: int) -> DataFrame:
+    """``(lang, words array<string>, counts array<long>, keys binary, ids binary)`` of ``docs(lang, text)``, written."""
 
     def run(batches):
         held: dict[str, list[bytes]] = defaultdict(list)
@@ -115,19 +115,22 @@ def _shards(docs: DataFrame) -> DataFrame:
             words, ids = encode(held.pop(lang))
             del sizes[lang]
             counts = np.bincount(ids[ids >= 0], minlength=len(words))
-            columns = [pa.array([lang], pa.string()), pa.array([[w.decode() for w in words]], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([zlib.compress(ids.tobytes(), 1)], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["lang", "words", "counts", "ids"])
+            packed = [pa.array([lang], pa.string()), pa.array([[w.decode() for w in words]], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))]
+            packed += [pa.array([x], pa.binary()) for x in (_keys(lang, words, salt).tobytes(), zlib.compress(ids.tobytes(), 1))]
+            return pa.RecordBatch.from_arrays(packed, ["lang", "words", "counts", "keys", "ids"])
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                held[lang].append(text)
-                sizes[lang] += len(text)
-                if sizes[lang] >= SHARD or sum(sizes.values()) >= 4 * SHARD:
-                    yield shard(max(sizes, key=sizes.get))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    held[lang].append(text)
+                    sizes[lang] += len(text)
+                    if sizes[lang] >= SHARD or sum(sizes.values()) >= 4 * SHARD:
+                        yield shard(max(sizes, key=sizes.get))
         for lang in list(held):
             yield shard(lang)
 
-    return materialize(docs.select("lang", "text").mapInArrow(run, "lang string, words array<string>, counts array<long>, ids binary"), "shards")
+    return materialize(docs.select("lang", "text").mapInArrow(run, "lang string, words array<string>, counts array<long>, keys binary, ids binary"), "shards")
 
 
 def _bits(frequent: DataFrame, n: int) -> np.ndarray:
@@ -149,15 +152,14 @@ def _hits(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[(bit // np.uint64(64)).astype(np.int64)] >> (bit % np.uint64(64))) & np.uint64(1) > 0
 
 
-def _counted(shards: DataFrame, tables: dict, n: int, salt: int) -> DataFrame:
+def _counted(shards: DataFrame, tables: dict, n: int) -> DataFrame:
     """``(w1..wn, a)``: the n-grams of all shards whose parts may be frequent, by the bit ``tables`` of the shorter
     ones, and their counts."""
 
     def run(batches):
         for batch in batches:
             for at in range(batch.num_rows):
-                lang, words, packed = (batch.column(k)[at].as_py() for k in range(3))
-                keys, ids, starts = _keys(lang, words, salt), np.frombuffer(zlib.decompress(packed), np.int32), None
+                keys, ids, starts = np.frombuffer(batch.column(0)[at].as_py(), np.uint64), np.frombuffer(zlib.decompress(batch.column(1)[at].as_py()), np.int32), None
                 ids = np.where(np.append(_hits(tables[1].value, keys), False)[ids], ids, -1)
                 if n > 2:  # an n-gram starts where a frequent (n-1)-gram does, and another one word later
                     places, begins = intervals(ids, n - 1)
@@ -176,7 +178,7 @@ def _counted(shards: DataFrame, tables: dict, n: int, salt: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*_words(1, n), "a"])
 
     kinds = ", ".join(f"{w} long" for w in [*_words(1, n), "a"])
-    return shards.select("lang", "words", "ids").mapInArrow(run, kinds).groupBy(*_words(1, n)).agg(F.sum("a").alias("a"))
+    return shards.select("keys", "ids").mapInArrow(run, kinds).groupBy(*_words(1, n)).agg(F.sum("a").alias("a"))
 
 
 def _words(first: int, last: int) -> list[str]:
@@ -216,21 +218,23 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, most: int =
     if longest < 2:
         raise ValueError("phrases have two words at least")
     spark = docs.sparkSession
-    shards = _shards(docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
-    flat = shards.select("lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("word", "n"))
-    words = materialize(flat.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
+    narrow = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     for salt in range(SALTS):
+        shards = _shards(narrow, salt)
+        flat = shards.select(F.col("lang"), F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("word", "n"))
+        words = materialize(flat.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
         key = word_key(F.col("lang"), F.col("word"), salt)
         shared = words.groupBy(key.alias("w1")).agg(F.count("*").alias("n"), F.max("a").alias("a")).filter((F.col("n") > 1) & (F.col("a") >= least))
         if shared.isEmpty():
             break
+        discard(shards, words)
     else:
         raise ValueError(f"frequent words share 64-bit keys under each of {SALTS} salts")
     grams = {1: materialize(words.filter(F.col("a") >= least).select(key.alias("w1"), "lang", "word", "a"), "grams-1")}
     tables = {}
     for n in range(2, longest + 1):
         tables[n - 1] = spark.sparkContext.broadcast(_bits(grams[n - 1], n - 1))
-        grams[n] = materialize(_counted(shards, tables, n, salt).filter(F.col("a") >= least), f"grams-{n}")
+        grams[n] = materialize(_counted(shards, tables, n).filter(F.col("a") >= least), f"grams-{n}")
     found = None
     for n in range(2, longest + 1):
         scored = _scored(grams, n)

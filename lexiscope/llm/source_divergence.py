@@ -52,18 +52,20 @@ def group_counts(docs: DataFrame) -> DataFrame:
 
         size = 0
         for batch in batches:
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                terms, key = terms_of(text), (lang, source)
-                found = n.setdefault(key, Counter())
-                size -= len(found)
-                found.update(terms)
-                size += len(found)
-                held.setdefault(key, Counter()).update(set(terms))
-                if size > HELD:
-                    yield from told()
-                    n.clear()
-                    held.clear()
-                    size = 0
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for lang, source, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                    terms, key = terms_of(text), (lang, source)
+                    found = n.setdefault(key, Counter())
+                    size -= len(found)
+                    found.update(terms)
+                    size += len(found)
+                    held.setdefault(key, Counter()).update(set(terms))
+                    if size > HELD:
+                        yield from told()
+                        n.clear()
+                        held.clear()
+                        size = 0
         yield from told()
 
     counted = docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n long, docs long")

@@ -67,10 +67,8 @@ def test_full_bit_table_changes_nothing(spark, monkeypatch):
 
 def test_shared_keys_take_another_salt(spark, monkeypatch):
     """Words whose keys collide under the first salts get keys of their own before they are used; else it raises."""
-    real, real_keys = co.word_key, co._keys
+    real = co.word_key
     monkeypatch.setattr(co, "word_key", lambda lang, word, salt: F.length(word).cast("long") if salt < 2 else real(lang, word, salt))
-    seen = []
-    monkeypatch.setattr(co, "_keys", lambda lang, words, salt: seen.append(salt) or real_keys(lang, words, salt))
     rows = made(60, 3)
     df = spark.createDataFrame(rows, "lang string, text string")
     assert sorted(map(tuple, co.collocations(df, 3, 3).collect())) == brute(rows, 3, 3, 2000)
@@ -89,7 +87,7 @@ def test_keys_agree(spark):
     words = ["a", "ça", "中文" * 20, "x" * 100, ""]
     df = spark.createDataFrame([(w,) for w in words], "word string").withColumn("w1", co.word_key(F.lit("en"), F.col("word"), 3)).withColumn("w2", F.lit(7).cast("long") - F.col("w1") % 1000)
     rows = df.withColumn("h", co.folded([F.col("w1"), F.col("w2"), F.col("w1")])).collect()
-    keys = co._keys("en", [r.word for r in rows], 3)
+    keys = co._keys("en", [r.word.encode() for r in rows], 3)
     assert keys.view(np.int64).tolist() == [r.w1 for r in rows]
     two = np.array([r.w2 for r in rows], np.int64).view(np.uint64)
     assert co.folded([keys, two, keys]).view(np.int64).tolist() == [r.h for r in rows]
