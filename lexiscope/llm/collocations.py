@@ -28,8 +28,9 @@ from lexiscope.llm.runtime import by_value, discard, materialize
 
 by_value(__name__)
 
-#: Bytes of text in a shard, about; hash bits of the broadcast table, at most and for each frequent n-gram; salts tried.
-SHARD, MOST_BITS, BITS_EACH, SALTS = 2_000_000, 1 << 28, 16, 8
+#: Bytes of text in a shard, about; hash bits of the broadcast table, at most and for each frequent n-gram; salts tried;
+#: parts in which a language's phrases are ranked first.
+SHARD, MOST_BITS, BITS_EACH, SALTS, PARTS = 2_000_000, 1 << 28, 16, 8, 64
 _BREAK = b"\xff"  # never in UTF-8
 _CLASSES = bytes(0xFF if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -250,6 +251,9 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, most: int =
         found = scored if found is None else found.unionByName(scored)
     sizes = words.groupBy("lang").agg(F.sum("a").alias("n"))
     order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    # The first of a language are among the first of each of its parts, so no task sorts all of them.
+    part = W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(F.desc("score"), F.desc("a"), "phrase")
+    found = found.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= most)
     best = materialize(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"), "collocations")
     discard(shards, words, *grams.values())
     return best
