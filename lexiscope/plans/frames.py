@@ -4,6 +4,9 @@
     passages     corpus, subset, document_id, passage_no, text
     annotations  corpus, subset, document_id, text, spans, label, links, link_key, link_relations, match_types
 
+With a ``sentence_model``, sentences end where it says; without one, at every closing punctuation.  Passages are then
+told apart by all their keys, passage_no included.
+
 ``links`` holds the leaves of a mention's link in order, each (identifier, resource, match_type); a null
 identifier is NIL.  ``link_key`` stands for the whole link and is null for unlinked mentions.
 """
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.functions.text import sentences, tokens
+from lexiscope.operators.sentences import DARK, SentenceModel, segments, split
 
 KEYS = ["corpus", "subset", "document_id"]
 LEAF = "struct<identifier:string,resource:string,match_type:string>"
@@ -26,9 +30,15 @@ class Corpus:
     documents: DataFrame
     passages: DataFrame
     annotations: DataFrame | None = None
+    sentence_model: SentenceModel | None = None
 
     def passage_sizes(self) -> DataFrame:
         """Per passage: characters, sentences and tokens, without the texts."""
+        if self.sentence_model:
+            each = segments(self.passages, [*KEYS, "passage_no"], self.sentence_model)
+            text, ends = F.coalesce("segment", F.lit("")), F.col("ends") & F.col("segment").rlike(DARK)
+            sizes = (F.sum(F.length(text)).alias("chars"), F.count(F.when(ends, 1)).alias("sentences"), F.sum(F.size(tokens(text))).alias("tokens"))
+            return each.groupBy(*KEYS, "passage_no").agg(*sizes).drop("passage_no")
         return self.passages.select(*KEYS, F.length("text").alias("chars"), F.size(sentences(F.col("text"))).alias("sentences"), F.size(tokens(F.col("text"))).alias("tokens"))
 
     def document_sizes(self) -> DataFrame:
@@ -39,6 +49,8 @@ class Corpus:
 
     def exploded(self, what: str) -> DataFrame:
         """One row per sentence or token of the passages, as (corpus, subset, key)."""
+        if what == "sentence" and self.sentence_model:
+            return split(self.passages, [*KEYS, "passage_no"], self.sentence_model).select("corpus", "subset", F.col("sentence").alias("key"))
         units = {"sentence": sentences, "token": tokens}[what]
         return self.passages.select("corpus", "subset", F.explode(units(F.col("text"))).alias("key"))
 
@@ -46,7 +58,7 @@ class Corpus:
         both = None
         if self.annotations is not None and other.annotations is not None:
             both = self.annotations.unionByName(other.annotations)
-        return Corpus(self.documents.unionByName(other.documents), self.passages.unionByName(other.passages), both if both is not None else self.annotations if self.annotations is not None else other.annotations)
+        return Corpus(self.documents.unionByName(other.documents), self.passages.unionByName(other.passages), both if both is not None else self.annotations if self.annotations is not None else other.annotations, self.sentence_model)
 
 
 def save(corpus: Corpus, path: str) -> None:
