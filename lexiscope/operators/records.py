@@ -55,6 +55,17 @@ def _numbered(starts: DataFrame, first: int) -> DataFrame:
     return placed.select("root", (begin + F.col("m").bitwiseAND((1 << 33) - 1)).cast("long").alias("record_id"))
 
 
+def in_order(rows: DataFrame, order: str) -> DataFrame:
+    """Equal rows once, with a column ``order`` that numbers them from 0 by their first identifiers and contents."""
+    text = "_text"
+    while text in rows.columns:
+        text = f"_{text}"
+    once = rows.withColumn(text, _row_text(rows)).dropDuplicates([text])
+    keyed = once.select(F.struct(F.element_at(F.array_sort(F.map_entries("identifiers")), 1), F.col(text)).alias("root"))
+    given = settled(_numbered(keyed, 0).select(F.col(f"root.{text}").alias(text), F.col("record_id").alias(order)))
+    return once.join(given, text).drop(text)
+
+
 def _nodes(store: DataFrame, rows: DataFrame, order: str) -> DataFrame:
     """``(type, value, node)``: records are numbered down from -2, in front of all rows."""
     records = _entries(store, "record_id").select("type", "value", (-1 - F.col("record_id")).cast("long").alias("node"))
@@ -148,9 +159,7 @@ def upsert(store: DataFrame, rows: DataFrame, fields: Mapping[str, str], order:
         at = "_order"
         while at in fields:
             at = f"_{at}"
-        once = rows.withColumn(at, _row_text(rows)).dropDuplicates([at])
-        given = settled(_numbered(once.select(F.struct(F.element_at(F.array_sort(F.map_entries("identifiers")), 1), F.col(at)).alias("root")), 0).select(F.col(f"root.{at}").alias(at), F.col("record_id").alias("n")))
-        rows = once.join(given, at).drop(at).withColumnRenamed("n", at)
+        rows = in_order(rows, at)
     else:
         at = order
     rows = settled(rows)
