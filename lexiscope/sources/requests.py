@@ -74,8 +74,8 @@ def ask(keys: DataFrame, call: Callable[[list[str]], str], size: int = 250, spac
 
 
 def parsed(answers: DataFrame, read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """What ``read(spark, path)``, a reader of payload files, makes of the bodies."""
+    """What ``read(spark, path)``, a reader of payload files, makes of the bodies, each of which is a file."""
     spark = answers.sparkSession
     path = f"{shared_folder(spark)}/answers/{uuid.uuid4().hex}"
-    answers.filter("body IS NOT NULL").select("body").write.text(path)
+    answers.filter("body IS NOT NULL").select("body").write.option("maxRecordsPerFile", 1).text(path)
     return read(spark, path)
