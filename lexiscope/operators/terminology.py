@@ -3,10 +3,16 @@
 A terminology is a frame ``concepts(seq, ui, name, tree_numbers, parent_ids, mapped_ui_ids, alt_ids)``.  All
 walks go level by level over an edge table, one join and one aggregate a level, so the work follows the number
 of edges and not the number of paths.
+
+With a ``home`` folder, what follows from the concepts alone (the id index, depths, top ancestors and weights) is kept
+there under a digest of the concepts and of the configured topics, and read by whoever asks for the same again.  A
+changed concept or topic has another digest; a table that nothing names any more may be deleted at any time.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.functions.text import concept_key, folded, resource_key, tree_prefixes
-from lexiscope.plans.storage import settled
+from lexiscope.plans.storage import content_digest, persisted, settled
 
 DIGITS = 8
 #: Levels after which a graph is taken to have a cycle.
@@ -30,10 +36,25 @@ class Terminology:
     concepts: DataFrame
     prefix: str | None = None
     aliases: tuple[str, ...] = ()
+    home: str | None = None
+
+    @cached_property
+    def _stamp(self) -> str:
+        return content_digest(self.concepts)
+
+    def _kept(self, name: str, build: Callable[[], DataFrame], *given: DataFrame | None) -> DataFrame:
+        """``build()``, or the same from an earlier call over equal concepts, prefix and ``given`` tables."""
+        if self.home is None:
+            return build()
+        told = [str(self.prefix), self._stamp, *("" if df is None else content_digest(df) for df in given)]
+        return persisted(self.concepts.sparkSession, f"{self.home}/{name}-{hashlib.sha256(chr(0).join(told).encode()).hexdigest()[:32]}", build)
 
     @cached_property
     def index(self) -> DataFrame:
         """``(candidate, ui)``: every id and alternative id; where one stands for several concepts, the last."""
+        return self._kept("index", self._index)
+
+    def _index(self) -> DataFrame:
         ids = self.concepts.select("seq", "ui", F.explode(F.concat(F.array("ui"), F.coalesce("alt_ids", F.array().cast("array<string>")))).alias("id"))
         return settled(ids.select(concept_key(F.col("id")).alias("candidate"), "seq", "ui").groupBy("candidate").agg(F.max_by("ui", "seq").alias("ui")))
 
@@ -74,6 +95,9 @@ class Terminology:
     def depths(self) -> DataFrame:
         """``(ui, depth)``: fewest tree-number segments; else one more than the shallowest existing parent; 1
         for concepts with neither, and for those on a cycle that nothing leads out of."""
+        return self._kept("depths", self._depths)
+
+    def _depths(self) -> DataFrame:
         treed = self.trees.groupBy("ui").agg(F.min(F.size(F.split("tree", r"\."))).alias("depth"))
         rest = self.concepts.select("ui").join(treed, "ui", "left_anti")
         open_edges = settled(self.edges.join(rest, "ui", "left_semi"))
@@ -94,6 +118,9 @@ class Terminology:
     def top_ancestors(self) -> DataFrame:
         """``(ui, top)``: for concepts with tree numbers the concepts at the first segments (themselves if there
         are none), for concepts without parents themselves, else the tops of their parents, each once."""
+        return self._kept("top_ancestors", self._top_ancestors)
+
+    def _top_ancestors(self) -> DataFrame:
         first = self.trees.select("ui", F.substring_index("tree", ".", 1).alias("tree")).distinct()
         at = self.trees.select(F.col("ui").alias("top"), "tree")
         heads = first.join(at, "tree", "left").select("ui", F.coalesce("top", "ui").alias("top")).distinct()
@@ -141,11 +168,17 @@ class Terminology:
 
     def branch_weights(self) -> DataFrame:
         """``(ui, key, w)``: each top ancestor of a concept's tree concepts, with equal shares, repeats kept."""
+        return self._kept("branch_weights", self._branch_weights)
+
+    def _branch_weights(self) -> DataFrame:
         keys = self.tree_concepts.join(self.top_ancestors().select(F.col("ui").alias("concept"), F.col("top").alias("key")), "concept")
         return _shared(keys.select("ui", "key"))
 
     def depth_weights(self) -> DataFrame:
         """``(ui, key, w)``: the depths of a concept's tree concepts, with equal shares."""
+        return self._kept("depth_weights", self._depth_weights)
+
+    def _depth_weights(self) -> DataFrame:
         keys = self.tree_concepts.join(self.depths().withColumnRenamed("ui", "concept"), "concept")
         return _shared(keys.select("ui", F.col("depth").alias("key")))
 
@@ -167,6 +200,9 @@ class Terminology:
         without any weight; roots have none.  If nothing is configured, or nothing that is resolves, mass goes to the
         parentless concepts by name, in equal parts over all listed parents, existing or not.
         """
+        return self._kept("anchor_weights", lambda: self._anchor_weights(term_topics, anchors), term_topics, anchors)
+
+    def _anchor_weights(self, term_topics: DataFrame | None, anchors: DataFrame | None) -> DataFrame:
         direct = None
         override = None
         if term_topics is not None:

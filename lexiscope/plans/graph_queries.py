@@ -15,6 +15,7 @@ from lexiscope.functions.journals import class_percentages, classify
 from lexiscope.operators import metadata as md
 from lexiscope.operators import terminology as tm
 from lexiscope.plans.queries import _ORDERS, ORDER_TARGETS, SCOPES
+from lexiscope.plans.storage import terminology_home
 from lexiscope.plans.targets import at_targets, target_frame, with_scopes
 from lexiscope.sources import tables as tb
 
@@ -34,11 +35,11 @@ def query(name: str, sql: str | None = None):
 
 
 def parts(spark: SparkSession, sf_dir: str) -> tm.Terminology:
-    return tm.Terminology(tb.part_concepts(spark, sf_dir), "part", tuple(f"Brand#{i}" for i in range(1, 26)))
+    return tm.Terminology(tb.part_concepts(spark, sf_dir), "part", tuple(f"Brand#{i}" for i in range(1, 26)), terminology_home(spark))
 
 
 def places(spark: SparkSession, sf_dir: str) -> tm.Terminology:
-    return tm.Terminology(tb.place_concepts(spark, sf_dir), "supplier", ("Supplier",))
+    return tm.Terminology(tb.place_concepts(spark, sf_dir), "supplier", ("Supplier",), terminology_home(spark))
 
 
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:

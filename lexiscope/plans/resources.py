@@ -17,6 +17,7 @@ from lexiscope.operators import metadata as md
 from lexiscope.operators import terminology as tm
 from lexiscope.operators.metrics import METRICS
 from lexiscope.plans.frames import Corpus
+from lexiscope.plans.storage import terminology_home
 from lexiscope.plans.targets import at_targets, with_scopes
 
 TERMINOLOGY_READERS: dict[str, Callable[..., DataFrame]] = {}
@@ -49,7 +50,7 @@ def _mesh(spark, **options):
 
 
 def read_terminology(spark: SparkSession, reader: str, prefix: str | None = None, aliases=(), **options) -> tm.Terminology:
-    return tm.Terminology(TERMINOLOGY_READERS[reader](spark, **options), prefix, tuple(aliases))
+    return tm.Terminology(TERMINOLOGY_READERS[reader](spark, **options), prefix, tuple(aliases), terminology_home(spark))
 
 
 @dataclass(frozen=True)

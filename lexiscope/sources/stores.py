@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscope.operators.records import problems
+from lexiscope.plans.storage import content_digest
 
 FORMAT = 1
 
@@ -68,12 +69,8 @@ def current(spark: SparkSession, path: str, version: int | None = None) -> Snaps
 
 def _digest(records: DataFrame) -> tuple[str, int, int]:
     """A digest of the records in any order, with their number and their highest id."""
-    columns = [F.array_sort(F.map_entries("identifiers")), *(F.col(f"`{c}`") for c in sorted(records.columns) if c != "identifiers")]
-    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    sums = [F.sum(F.conv(F.substring(F.sha2(text, 256), 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(4)]
-    row = records.agg(F.count("*").alias("n"), F.max("record_id").alias("top"), *sums).first()
-    names = ",".join(f"{name} {kind}" for name, kind in sorted(records.dtypes))
-    return f"{names};{row['n']};" + ";".join(str(row[f"s{k}"]) for k in range(4)), row["n"], row["top"] or 0
+    row = records.agg(F.count("*").alias("n"), F.max("record_id").alias("top")).first()
+    return content_digest(records), row["n"], row["top"] or 0
 
 
 def stage(records: DataFrame, path: str) -> str:

@@ -121,3 +121,43 @@ def test_topic_maps():
         src.topic_terms("A: [x]\nB: [x]")
     with pytest.raises(ValueError):
         src.name_topics('{"J": []}')
+
+
+def rows_of(frame):
+    return sorted((tuple(r) for r in frame.collect()), key=str)
+
+
+def test_kept_tables_are_read_again_and_follow_changes(spark, tmp_path, monkeypatch):
+    """Equal concepts and topics read what was kept; a changed edge, prefix or topic builds anew; a dead writer leaves nothing."""
+    home, built = f"file://{tmp_path}/home", []
+    for name in ("_index", "_depths", "_top_ancestors", "_branch_weights", "_depth_weights", "_anchor_weights"):
+        real = getattr(tm.Terminology, name)
+        monkeypatch.setattr(tm.Terminology, name, lambda self, *a, real=real, name=name: built.append(name) or real(self, *a))
+    schema = "seq long, ui string, name string, tree_numbers array<string>, parent_ids array<string>, mapped_ui_ids array<string>, alt_ids array<string>"
+    rows = [(1, "A", "a", [], [], [], ["x"]), (2, "B", "b", [], ["A"], [], []), (3, "C", "c", [], ["B", "A"], [], []), (4, "D", "d", ["T1"], [], [], [])]
+    make = lambda rows, **kw: tm.Terminology(spark.createDataFrame(rows, schema), home=home, **kw)
+    topics = spark.createDataFrame([("b", "two")], "term string, topic string")
+    results = lambda t, topics=topics: [rows_of(x) for x in (t.index, t.depths(), t.top_ancestors(), t.branch_weights(), t.depth_weights(), t.anchor_weights(topics))]
+    plain = tm.Terminology(spark.createDataFrame(rows, schema))
+    want = results(plain)
+    built.clear()
+    assert results(make(rows)) == want and sorted(set(built)) == ["_anchor_weights", "_branch_weights", "_depth_weights", "_depths", "_index", "_top_ancestors"]
+    built.clear()
+    assert results(make(rows[::-1])) == want and not built
+    changed = [*rows[:2], (3, "C", "c", [], ["B"], [], []), rows[3]]
+    assert results(make(changed)) == results(tm.Terminology(spark.createDataFrame(changed, schema))) != want and built
+    built.clear()
+    other = spark.createDataFrame([("b", "zwei")], "term string, topic string")
+    assert rows_of(make(rows).anchor_weights(other)) == [(ui, "zwei", w) for ui, _, w in want[5]] and built == ["_anchor_weights"]
+    built.clear()
+    make(rows, prefix="p").depths()
+    assert "_depths" in built
+
+    def die(self):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(tm.Terminology, "_depths", die)
+    with pytest.raises(KeyboardInterrupt):
+        make(rows[:2]).depths()
+    monkeypatch.undo()
+    assert rows_of(make(rows[:2]).depths()) == [("A", 1), ("B", 2)]
