@@ -105,3 +105,20 @@ def entity_profiles(labels: DataFrame) -> DataFrame:
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of two result frames of one schema that are in only one of them, with the side they are on."""
     return old.exceptAll(new).withColumn("side", F.lit("old")).unionByName(new.exceptAll(old).withColumn("side", F.lit("new")))
+
+
+def keyed_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, change, fields)``: rows ``added``, ``removed`` or ``changed`` by key, and the names of the fields that
+    differ.  NaN equals NaN and null equals null; a field that one side lacks, or has in another type, differs in every row
+    of both.  Equal rows are left out.  A key that stands twice on one side is an error."""
+    one, two = dict(old.dtypes), dict(new.dtypes)
+    sides = []
+    for df, mark in ((old, "_a"), (new, "_b")):
+        n = F.count("*").over(W.partitionBy(*keys))
+        once = F.when(n > 1, F.raise_error(F.lit("a key stands twice"))).otherwise(True)
+        sides.append(df.select(*keys, *(F.col(f"`{c}`").alias(f"{mark}_{c}") for c in df.columns if c not in keys), once.cast("boolean").alias(mark)))
+    both = sides[0].join(sides[1], keys, "full")
+    same = lambda c: F.col(f"`_a_{c}`").eqNullSafe(F.col(f"`_b_{c}`")) if one.get(c) == two.get(c) else F.lit(False)
+    fields = F.array_compact(F.array(*(F.when(~same(c), F.lit(c)) for c in sorted((set(one) | set(two)) - set(keys)))))
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.size(fields) > 0, "changed")
+    return both.select(*keys, change.alias("change"), F.when(change == "changed", fields).otherwise(F.array().cast("array<string>")).alias("fields")).filter("change IS NOT NULL")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiscope.functions import text as tx
 from lexiscope.operators import metrics as mt
+from lexiscope.operators import offsets as of
 from lexiscope.operators import records
 from lexiscope.operators import rollups as ru
 from lexiscope.plans import graph_queries as gq
@@ -83,19 +84,44 @@ def cleaned(spark, sf_dir):
     return tb.read(spark, sf_dir, "documents").select("doc_id", tx.clean(F.col("text")).alias("text"))
 
 
-_KINDS = [("pmid", "123"), ("pmid", "PMID:1"), ("pmcid", "77"), ("pmcid", "pmc8"), ("pmcid", "x"), ("doi", "https://doi.org/10.1/AB"), ("doi", "doi: 10.2/c"), ("doi", ""), ("other", "1")]
-
-
-@query("s07_identifier_normal_forms", """SELECT * FROM (VALUES ('pmid', '123', '123'), ('pmid', 'PMID:1', NULL), ('pmcid', '77', 'PMC77'), ('pmcid', 'pmc8', 'PMC8'), ('pmcid', 'x', NULL),
-    ('doi', 'https://doi.org/10.1/AB', '10.1/ab'), ('doi', 'doi: 10.2/c', '10.2/c'), ('doi', '', NULL), ('other', '1', NULL)) v(kind, given, normal)""")
+@query("s07_identifier_normal_forms", """WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_orderkey AS VARCHAR) AS t, o_orderkey % 9 AS m FROM orders)
+    SELECT k, CASE WHEN m < 2 THEN 'pmid' WHEN m < 5 THEN 'pmcid' WHEN m < 8 THEN 'doi' ELSE 'other' END AS kind,
+        CASE m WHEN 0 THEN t WHEN 2 THEN 'PMC' || t WHEN 3 THEN 'PMC' || t WHEN 5 THEN '10.1/ab' || t WHEN 6 THEN '10.2/c' || t END AS normal FROM o""")
 def identifier_forms(spark, sf_dir):
-    rows = tb.constant(spark, _KINDS, "kind string, given string")
-    return rows.select("kind", "given", tx.normal_identifier(F.col("kind"), F.col("given")).alias("normal"))
+    """Order keys written as identifiers are found in the wild, by nine patterns."""
+    k, m = F.col("k").cast("string"), F.col("k") % 9
+    kind = F.when(m < 2, "pmid").when(m < 5, "pmcid").when(m < 8, "doi").otherwise("other")
+    forms = {0: F.concat(F.lit(" "), k), 1: F.concat(F.lit("PMID:"), k), 2: k, 3: F.concat(F.lit("pmc"), k), 4: F.concat(F.lit("x"), k), 5: F.concat(F.lit("https://doi.org/10.1/AB"), k), 6: F.concat(F.lit("doi: 10.2/C"), k), 7: F.lit(""), 8: k}
+    given = F.coalesce(*(F.when(m == n, form) for n, form in forms.items()))
+    return tb.read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k")).select("k", kind.alias("kind"), tx.normal_identifier(kind, given).alias("normal"))
 
 
-@query("j14_corpus_keys", "SELECT * FROM (VALUES ('BC5_corpus', 'bc5'), ('My-Set_train_test', 'mysettrain'), ('X dev', 'xdev')) v(name, key)")
+@query("j14_corpus_keys", """SELECT n.source || n.suffix AS name, n.source AS key, CASE WHEN CAST(substring(n.source, 4) AS INTEGER) % 2 = 0 THEN upper(n.source) || '-_train' END AS result
+    FROM (SELECT DISTINCT source, CASE doc_id % 5 WHEN 0 THEN '_corpus' WHEN 1 THEN '_train' WHEN 2 THEN '_test' WHEN 3 THEN '_dev' ELSE '' END AS suffix FROM documents) n""")
 def corpus_keys(spark, sf_dir):
-    return tb.constant(spark, [("BC5_corpus",), ("My-Set_train_test",), ("X dev",)], "name string").select("name", tx.corpus_key(F.col("name")).alias("key"))
+    """Sources with the suffixes of their splits, and the results that stand under another spelling of every second one."""
+    docs = tb.read(spark, sf_dir, "documents")
+    m = F.col("doc_id") % 5
+    suffix = F.when(m == 0, "_corpus").when(m == 1, "_train").when(m == 2, "_test").when(m == 3, "_dev").otherwise("")
+    names = docs.select(F.concat("source", suffix).alias("name")).distinct().withColumn("key", tx.corpus_key(F.col("name")))
+    results = docs.filter(F.substring("source", 4, 9).cast("int") % 2 == 0).select(F.concat(F.upper("source"), F.lit("-_train")).alias("result")).distinct().withColumn("key", tx.corpus_key(F.col("result")))
+    return names.join(results, "key", "left").select("name", "key", "result")
+
+
+_SPANS = """spans AS (SELECT doc_id, k, 37 * k AS s, least(37 * k + 1 + (7 * k) % 90, n) AS e FROM (SELECT doc_id, n, unnest(range(CAST(ceil(n / 37.0) AS BIGINT))) AS k FROM (SELECT doc_id, length(text) AS n FROM documents)))"""
+
+
+@query("j13_spans_by_offset", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
+    p AS (SELECT doc_id, no, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM l), {_SPANS}
+    SELECT CAST(s.doc_id AS BIGINT) AS doc_id, s.k, CAST(a.no AS INTEGER) AS passage_no, CAST(b.no AS INTEGER) AS last_passage_no, CAST(s.s - a.o AS BIGINT) AS inner_start FROM spans s
+    LEFT JOIN p a ON a.doc_id = s.doc_id AND s.s >= a.o AND s.s < a.o + length(a.line) LEFT JOIN p b ON b.doc_id = s.doc_id AND s.e - 1 >= b.o AND s.e - 1 < b.o + length(b.line)""")
+def spans_by_offset(spark, sf_dir):
+    """A span every 37 characters of each document, of 1 to 90 characters, and the lines that it begins and ends in."""
+    docs = tb.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = F.length("text")
+    ks = docs.filter(n > 0).select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n / 37) - 1)).alias("k"))
+    spans = ks.select("doc_id", "k", (F.col("k") * 37).alias("start"), F.least(F.col("k") * 37 + 1 + F.col("k") * 7 % 90, F.col("n")).alias("end"))
+    return of.located(spans, of.line_offsets(docs, ["doc_id"]), ["doc_id"]).select("doc_id", "k", "passage_no", "last_passage_no", "inner_start")
 
 
 @query("j08_tree_prefixes", "SELECT 'R' || n_regionkey || '.N' || n_nationkey AS tree, unnest(['R' || n_regionkey || '.N' || n_nationkey, 'R' || n_regionkey]) AS prefix FROM nation")
@@ -210,6 +236,17 @@ def result_changes(spark, sf_dir):
     return ru.changes(new.filter("scope != 'open'"), new)
 
 
+@query("d14_keyed_changes", f"""WITH m AS {_of('m36_label_distribution')}, a AS (SELECT * FROM m WHERE target = 'train' AND scope <> 'open'), b AS (SELECT * FROM m WHERE target = 'test' AND scope <> 'returned')
+    SELECT coalesce(a.scope, b.scope) AS scope, coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'changed' END AS change,
+        CASE WHEN a.key IS NULL OR b.key IS NULL THEN CAST([] AS VARCHAR[]) ELSE list_filter([CASE WHEN a.count <> b.count THEN 'count' END, CASE WHEN a.proportion <> b.proportion THEN 'proportion' END], lambda x: x IS NOT NULL) END AS fields
+    FROM a FULL JOIN b ON a.scope = b.scope AND a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR a.count <> b.count OR a.proportion <> b.proportion""")
+def keyed_changes(spark, sf_dir):
+    """From the labels of one subset to those of another, each without one scope."""
+    rows = _run("m36_label_distribution", spark, sf_dir)
+    old, new = rows.filter("target = 'train' AND scope <> 'open'").drop("target"), rows.filter("target = 'test' AND scope <> 'returned'").drop("target")
+    return ru.keyed_changes(old, new, ["scope", "key"])
+
+
 # --- streaming and windows --------------------------------------------------------------------------------
 
 
