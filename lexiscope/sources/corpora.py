@@ -84,10 +84,15 @@ def map_labels(rows: DataFrame, label_map: dict | None, drop: bool) -> DataFrame
     return rows.withColumn("label", F.when(known, F.try_element_at(table, F.col("label"))).otherwise(F.col("label")))
 
 
-def read_pubtator(spark: SparkSession, path: str, corpus: str, subset: str = "all", label_map: dict | None = None, grammar: Grammar | None = None) -> Corpus:
+def read_pubtator(spark: SparkSession, path: str, corpus: str, subset: str = "all", label_map: dict | None = None, grammar: Grammar | None = None, separator: str = "\n\n") -> Corpus:
     """PubTator: blocks between blank lines with ``id|t|title``, ``id|a|abstract`` and tab-separated mentions;
-    the abstract starts one past the title, and a mention belongs to the title if it starts before that."""
-    blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.regexp_replace("value", "\r\n", "\n"), r"\n\s*\n")).alias("block")).filter("trim(block) != ''")
+    the abstract starts one past the title, and a mention belongs to the title if it starts before that.
+
+    Files are cut at ``separator``, so that several tasks share a large one, and what is between at blank lines of any
+    kind; a file that doesn't hold it (as one with carriage returns) is one task's work."""
+    records = spark.read.text(path, lineSep=separator)
+    blocks = records.select(F.explode(F.split(F.regexp_replace("value", "\r\n", "\n"), r"\n\s*\n")).alias("block")).filter("trim(block) != ''")
+    blocks = blocks.select(F.regexp_replace("block", r"^(\s*\n)+", "").alias("block"))
     title = F.regexp_extract("block", r"(?m)^([^|\n]+)\|t\|(.*)$", 2)
     docs = blocks.select(
         F.lit(corpus).alias("corpus"), F.lit(subset).alias("subset"), F.trim(F.regexp_extract("block", r"(?m)^\s*([^|\n]+)\|t\|", 1)).alias("document_id"),

@@ -13,7 +13,7 @@ EMPTY = "array<string>"
 
 
 def _all(block: Column, pattern: str) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(block, F.lit(pattern), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(block, F.lit(pattern), F.lit(1)), lambda x: F.trim(x)))
 
 
 def read_obo(spark: SparkSession, path: str, include_obsolete: bool = False) -> DataFrame:

@@ -1,4 +1,5 @@
 from lexiscope.sources import corpora as c
+from lexiscope.sources import terminologies as t
 from lexiscope.sources.links import Grammar, leaves, relations
 from pyspark.sql import functions as F
 
@@ -86,3 +87,26 @@ def test_resplit(spark):
         with pytest.raises(ValueError):
             c.resplit(corpus, splits(bad))
     assert c.resplit(corpus, splits([("a", "x"), ("c", "x")]), require_all=False, allow_unknown=True).documents.count() == 1
+
+
+def test_obo_ids_keep_their_zeros(spark, tmp_path):
+    (tmp_path / "z.obo").write_text("[Term]\nid: GO:10\nname: ten\nalt_id: GO:100\nis_a: GO:0 ! root\nis_a: GO:110\nsynonym: \"0 1\" EXACT []\n")
+    (row,) = t.read_obo(spark, str(tmp_path / "z.obo")).collect()
+    assert (row.ui, row.alt_ids, row.parent_ids, row.synonyms) == ("GO:10", ["GO:100"], ["GO:0", "GO:110"], ["0 1"])
+
+
+def test_pubtator_is_cut_at_blank_lines(spark, tmp_path):
+    """The same records whatever the line ends and blank lines, and many tasks for one large file."""
+    block = lambda i: f"{i}|t|Title {i}\n{i}|a|Abstract\n{i}\t0\t5\tTitle\tK\tX:{i}\n"
+    whole = "\n".join(block(i) for i in range(4000))
+    for name, text in (("plain", whole), ("odd", "\n\n" + whole.replace("\n\n", "\n \t\n\n\n") + "\n\n\n"), ("cr", whole.replace("\n", "\r\n"))):
+        (tmp_path / name).write_bytes(text.encode())
+        got = c.read_pubtator(spark, str(tmp_path / name), "k")
+        assert {r.document_id for r in got.documents.collect()} == set(map(str, range(4000)))
+        assert sorted(map(tuple, got.annotations.select("document_id", "mention_id", "passage_no", "text").collect())) == sorted((str(i), f"{i}_2", 0, "Title") for i in range(4000))
+        assert got.passages.count() == 8000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        assert c.read_pubtator(spark, str(tmp_path / "plain"), "k").documents.rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
