@@ -15,6 +15,7 @@ CONTRACT = {
     "op6_embedding_dedup": ("embeddings", ["vec_id", "n_links", "component_id", "kept"]),
     "op9_quality": ("documents", ["doc_id", "held_out", "score", "predicted"]),
     "op10_sentencepiece": ("documents", ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]),
+    "op13_byte_bpe": ("documents", ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]),
 }
 
 
@@ -32,6 +33,9 @@ def test_contract(spark, name):
     if name == "op10_sentencepiece":
         text = {r.doc_id: r.text for r in whole}
         assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in rows if "▁" not in text[r.doc_id])
+    if name == "op13_byte_bpe":
+        text = {r.doc_id: r.text for r in whole}
+        assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in rows)
     if name == "op1_mixing":
         assert sum(r.taken for r in rows) == pytest.approx(sum(r["size"] for r in rows), rel=0.02)
 
