@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexiscope.functions.text import tokens
 from lexiscope.operators import statistics as st
+from lexiscope.operators.summaries import Summary
 from lexiscope.plans.frames import KEYS, Corpus
 from lexiscope.plans.targets import ALL, AnnotationFilter, at_targets, every_pair, with_scopes
 
@@ -51,7 +52,7 @@ def _mentions(corpus: Corpus, where: AnnotationFilter | None) -> DataFrame:
 
 def _scalar(rows: DataFrame, targets: DataFrame, value) -> DataFrame:
     """Sum of ``value`` per target; summed per subset first, as sums can be joined to targets afterwards."""
-    by_subset = rows.groupBy("corpus", "subset").agg(F.sum(value).alias("value"))
+    by_subset = rows.groupBy("corpus", "subset").agg(st.weighted_sum(rows, value).alias("value"))
     got = at_targets(by_subset, targets).groupBy("target").agg(F.sum("value").alias("value"))
     names = targets.select("target").distinct()
     return names.join(got, "target", "left").select("target", F.lit(ALL).alias("scope"), F.coalesce("value", F.lit(0)).cast("long").alias("value"))
@@ -60,7 +61,7 @@ def _scalar(rows: DataFrame, targets: DataFrame, value) -> DataFrame:
 def _stats(rows: DataFrame, targets: DataFrame, scopes=None, scoped: bool = False) -> DataFrame:
     """Statistics of the column value: counted per subset, then by target."""
     keys = ["scope"] if scoped else []
-    counted = rows.groupBy("corpus", "subset", *keys, F.col("value").cast("double").alias("value")).agg(F.count("*").alias("n"))
+    counted = rows.groupBy("corpus", "subset", *keys, F.col("value").cast("double").alias("value")).agg(st.occurrences(rows).alias("n"))
     there = at_targets(counted, targets)
     if not scoped:
         there = there.withColumn("scope", F.lit(ALL))
@@ -81,8 +82,12 @@ def _distinct(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return names.join(got, "target", "left").select("target", F.lit(ALL).alias("scope"), F.coalesce("value", F.lit(0)).cast("long").alias("value"))
 
 
-def _per_document(corpus: Corpus, where, scopes, value) -> DataFrame:
+def _per_document(corpus: Corpus, where, scopes, value, what: str) -> DataFrame:
     """``(corpus, subset, scope, value)`` per document, documents without mentions included as 0."""
+    if isinstance(corpus, Summary):
+        if where:
+            raise ValueError("a summary has no filtered annotations of documents")
+        return corpus.per_document(what, scopes)
     tagged = with_scopes(_mentions(corpus, where).select(*KEYS, "text", "label", "links"), scopes)
     counted = tagged.groupBy(*KEYS, "scope").agg(value.alias("value"))
     names = [ALL, *(n for n, labels in (scopes or {}).items() if labels)]
@@ -91,11 +96,11 @@ def _per_document(corpus: Corpus, where, scopes, value) -> DataFrame:
 
 
 def _leaves(mentions: DataFrame, *columns: str) -> DataFrame:
-    return mentions.select("corpus", "subset", *columns, F.explode("links").alias("leaf"))
+    return mentions.select("corpus", "subset", *columns, *st.carried(mentions), F.explode("links").alias("leaf"))
 
 
 def _mention_tokens(mentions: DataFrame, *columns: str) -> DataFrame:
-    return mentions.select("corpus", "subset", *columns, F.explode(tokens(F.col("text"))).alias("key"))
+    return mentions.select("corpus", "subset", *columns, *st.carried(mentions), F.explode(tokens(F.col("text"))).alias("key"))
 
 
 # --- counts -----------------------------------------------------------------------------------------------
@@ -108,7 +113,7 @@ def document_count(corpus, targets, scopes=None, where=None):
 
 @metric("passage_count")
 def passage_count(corpus, targets, scopes=None, where=None):
-    return _scalar(corpus.passages.select("corpus", "subset"), targets, F.lit(1))
+    return _scalar(corpus.passages.select("corpus", "subset", *st.carried(corpus.passages)), targets, F.lit(1))
 
 
 @metric("sentence_count")
@@ -152,27 +157,31 @@ for _name, _column in (("passages_per_document_stats", "passages"), ("sentences_
 
 @metric("annotations_per_document_stats", scoped=True, filtered=True)
 def annotations_per_document_stats(corpus, targets, scopes=None, where=None):
-    return _stats(_per_document(corpus, where, scopes, F.count("*")), targets, scopes, True)
+    return _stats(_per_document(corpus, where, scopes, F.count("*"), "annotations"), targets, scopes, True)
 
 
 @metric("annotations_per_1000_tokens_stats", scoped=True, filtered=True)
 def annotations_per_1000_tokens_stats(corpus, targets, scopes=None, where=None):
-    counts = _per_document(corpus, where, scopes, F.count("*")).join(corpus.document_sizes().select(*KEYS, "tokens"), KEYS)
+    counts = _per_document(corpus, where, scopes, F.count("*"), "annotations")
+    if not isinstance(corpus, Summary):
+        counts = counts.join(corpus.document_sizes().select(*KEYS, "tokens"), KEYS)
     rate = F.when(F.col("tokens") > 0, F.col("value") / F.col("tokens") * 1000).otherwise(0.0)
     return _stats(counts.withColumn("value", rate), targets, scopes, True)
 
 
 @metric("unique_mentions_per_document_stats", scoped=True, filtered=True)
 def unique_mentions_per_document_stats(corpus, targets, scopes=None, where=None):
-    return _stats(_per_document(corpus, where, scopes, F.count_distinct("text")), targets, scopes, True)
+    return _stats(_per_document(corpus, where, scopes, F.count_distinct("text"), "mentions"), targets, scopes, True)
 
 
 @metric("unique_identifiers_per_document_stats", scoped=True, filtered=True)
 def unique_identifiers_per_document_stats(corpus, targets, scopes=None, where=None):
+    if isinstance(corpus, Summary):
+        return _stats(_per_document(corpus, where, scopes, None, "identifiers"), targets, scopes, True)
     mentions = _mentions(corpus, where).select(*KEYS, "label", "text", F.explode("links").alias("leaf"))
     leaves = mentions.select(*KEYS, "label", "text", F.col("leaf.identifier").alias("links"))
     wanted = F.count_distinct("links") + F.max(F.col("links").isNull().cast("int"))  # NIL is one value
-    return _stats(_per_document(Corpus(corpus.documents, corpus.passages, leaves), None, scopes, wanted), targets, scopes, True)
+    return _stats(_per_document(Corpus(corpus.documents, corpus.passages, leaves), None, scopes, wanted, "identifiers"), targets, scopes, True)
 
 
 @metric("spans_per_annotation_stats", filtered=True)
@@ -187,7 +196,7 @@ def identifiers_per_annotation_stats(corpus, targets, scopes=None, where=None):
 
 @metric("passage_length_stats")
 def passage_length_stats(corpus, targets, scopes=None, where=None):
-    return _stats(corpus.passages.select("corpus", "subset", F.length("text").alias("value")), targets)
+    return _stats(corpus.passages.select("corpus", "subset", *st.carried(corpus.passages), F.length("text").alias("value")), targets)
 
 
 def _unit_length_stats(unit: str):
@@ -216,7 +225,7 @@ def mention_token_length_stats(corpus, targets, scopes=None, where=None):
 
 @metric("passage_redundancy_stats")
 def passage_redundancy_stats(corpus, targets, scopes=None, where=None):
-    return _multiplicities(corpus.passages.select("corpus", "subset", F.col("text").alias("key")), targets)
+    return _multiplicities(corpus.passages.select("corpus", "subset", *st.carried(corpus.passages), F.col("text").alias("key")), targets)
 
 
 def _unit_redundancy(unit: str):
@@ -298,7 +307,7 @@ def unique_identifiers(corpus, targets, scopes=None, where=None):
 
 
 def _shared(rows: DataFrame, targets: DataFrame, key) -> DataFrame:
-    counted = rows.groupBy("corpus", "subset", "scope", F.coalesce(key.cast("string"), F.lit("null")).alias("key")).agg(F.count("*").alias("n"))
+    counted = rows.groupBy("corpus", "subset", "scope", F.coalesce(key.cast("string"), F.lit("null")).alias("key")).agg(st.occurrences(rows).alias("n"))
     there = at_targets(counted, targets).groupBy(*BY, "key").agg(F.sum("n").alias("count"))
     return st.shares(there, BY)
 

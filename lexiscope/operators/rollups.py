@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiscope.operators.metrics import METRICS
+from lexiscope.plans.frames import Corpus
+from lexiscope.plans.targets import ALL
+
 UNKNOWN = "Unknown"
 BY = ["target", "scope"]
 
@@ -36,6 +42,25 @@ def corpus_summary(counts: DataFrame, labels: DataFrame, per_document: DataFrame
     return out.withColumn("n_mentions", filled).withColumn("status", F.coalesce("status", F.lit("none"))).withColumn("n_labels", F.coalesce("n_labels", F.lit(0)))
 
 
+def scope_summary(summary: Corpus, targets: DataFrame, scopes: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row per target and scope, all figures recomputed from a summary: entity types, annotations, their label
+    entropy; annotations per document and per 1000 tokens, distinct mentions and identifiers per document (two
+    digits); ambiguity (three digits); variation where there are identifiers; identifier status.  A scope without
+    annotations has no row, the scope ``all`` always has one."""
+    get = lambda name: METRICS[name].run(summary, targets, scopes)
+    mean = lambda name, digits, to: get(name).select(*BY, (F.round("mean", digits) if digits else F.col("mean")).alias(to))
+    labels = get("label_distribution")
+    out = get("annotations_per_document_stats").select(*BY, F.round("mean", 2).alias("annotations_per_document"))
+    for name, digits, to in (("annotations_per_1000_tokens_stats", 2, "annotations_per_1000_tokens"), ("unique_mentions_per_document_stats", 2, "mentions_per_document"),
+                             ("unique_identifiers_per_document_stats", 2, "identifiers_per_document"), ("ambiguity_degree_stats", 3, "ambiguity"), ("variation_degree_stats", None, "variation")):
+        out = out.join(mean(name, digits, to), BY, "left")
+    counts = labels.groupBy(*BY).agg(F.count("*").alias("n_types"), F.sum("count").alias("n_annotations"))
+    out = out.join(counts, BY, "left").join(entropy(labels, BY), BY, "left").join(identifier_status(get("identifier_resource_distribution")), BY, "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_types", "n_annotations")}
+    out = out.withColumns(zero).withColumn("status", F.coalesce("status", F.lit("none"))).withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
+    return out.withColumn("variation", F.when(F.col("status") != "none", F.col("variation"))).filter((F.col("scope") == ALL) | (F.col("n_annotations") > 0))
+
+
 def overlap_summary(overlaps: DataFrame) -> DataFrame:
     """``overlaps(metric, target1, target2, scope, n1, n2, ..., jaccard)``: one row per pair with a column of
     percentages per metric; the split sizes are those of the token vocabularies."""

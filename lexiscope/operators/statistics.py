@@ -10,6 +10,22 @@ DIGITS = 8
 STATS = ("mean", "stdev", "min", "median", "max", "count")
 
 
+#: Rows of a summary stand for so many rows; rows without this column for one each.
+WEIGHT = "_n"
+
+
+def carried(rows: DataFrame) -> list[str]:
+    return [WEIGHT] if WEIGHT in rows.columns else []
+
+
+def occurrences(rows: DataFrame) -> Column:
+    return F.sum(WEIGHT) if carried(rows) else F.count("*")
+
+
+def weighted_sum(rows: DataFrame, value) -> Column:
+    return F.sum(value * F.col(WEIGHT)) if carried(rows) else F.sum(value)
+
+
 def describe(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Mean, sample deviation, minimum, median, maximum and count per key, rounded to eight digits.
 
@@ -55,7 +71,7 @@ def distribution(rows: DataFrame, keys: list[str], key: Column) -> DataFrame:
 
 def vocabulary(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, key, n)``: how often each key occurs; null is a value like any other."""
-    return rows.groupBy(*keys, "key").agg(F.count("*").alias("n"))
+    return rows.groupBy(*keys, "key").agg(occurrences(rows).alias("n"))
 
 
 def overlap(vocab: DataFrame, pairs: DataFrame) -> DataFrame:

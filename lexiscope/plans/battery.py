@@ -9,7 +9,7 @@
 
 Metrics over articles or terminologies take them from ``Resources`` given to ``run``; terminologies that are
 described above are read where those given lack them.  Everything about names is checked before any data is read.  One plan a metric covers all its targets and
-scopes.
+scopes; metrics that take counts of the same things can share one reading (``Battery.summary``).
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscope.operators.metrics import METRICS
+from lexiscope.operators.summaries import NEEDS, Summary, summary_for
 from lexiscope.plans.frames import Corpus
 from lexiscope.plans.resources import RESOURCE_METRICS, TERMINOLOGY_READERS, Resources, read_terminology
 from lexiscope.plans.targets import ALL, AnnotationFilter, target_frame
@@ -136,11 +137,23 @@ class Battery:
                 whole = part if whole is None else whole.union(part)
         return whole
 
-    def run(self, spark: SparkSession, corpus: Corpus | None = None, resources: Resources | None = None) -> dict[str, DataFrame]:
-        """Result name -> frame.  Scopes are left out where a metric has a filter of its own."""
+    def _summed(self, m: dict) -> bool:
+        """Whether a metric can be taken from a summary."""
+        need = NEEDS.get(m["metric"])
+        return need is not None and (need.filtered or not m.get("filter"))
+
+    def summary(self, corpus: Corpus) -> Summary | None:
+        """One reading of ``corpus`` for all metrics that can share it; None if that isn't more than one."""
+        shared = [m["metric"] for m in self.metrics if self._summed(m)]
+        return summary_for(corpus, shared, self.scopes) if len(shared) > 1 else None
+
+    def run(self, spark: SparkSession, corpus: Corpus | None = None, resources: Resources | None = None, summary: Summary | None = None) -> dict[str, DataFrame]:
+        """Result name -> frame.  Scopes are left out where a metric has a filter of its own.  With a ``summary`` the
+        metrics that can be taken from it are; the others read the corpus."""
         corpus = corpus or self.load(spark)
         resources = resources or Resources()
-        read = {k: read_terminology(spark, **v) for k, v in self.terminologies.items() if k not in resources.terminologies}
+        used = {m.get("terminology") for m in self.metrics}
+        read = {k: read_terminology(spark, **v) for k, v in self.terminologies.items() if k in used and k not in resources.terminologies}
         resources = replace(resources, terminologies={**read, **resources.terminologies})
         out = {}
         for m in self.metrics:
@@ -149,15 +162,16 @@ class Battery:
                 out[m["result"]] = more.run(corpus, targets, self.scopes if more.scoped else {}, resources, m.get("terminology"))
                 continue
             found = METRICS[m["metric"]]
+            source = summary if summary is not None and self._summed(m) else corpus
             where = self.filters.get(m.get("filter"))
             scopes = self.scopes if found.scoped and where is None else {}
             if found.kind == "cross":
                 pairs = [F.struct(F.lit(a).alias("target1"), F.lit(b).alias("target2")) for a, b in m["pairs"]]
                 pairs = spark.range(1).select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
                 targets = target_frame(spark, {t: self.bundles[t] for p in m["pairs"] for t in p})
-                out[m["result"]] = found.run(corpus, targets, pairs, scopes, where)
+                out[m["result"]] = found.run(source, targets, pairs, scopes, where)
             else:
-                out[m["result"]] = found.run(corpus, target_frame(spark, {t: self.bundles[t] for t in m["bundles"]}), scopes, where)
+                out[m["result"]] = found.run(source, target_frame(spark, {t: self.bundles[t] for t in m["bundles"]}), scopes, where)
         return out
 
 

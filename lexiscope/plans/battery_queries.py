@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.plans import graph_queries as gq
+from lexiscope.plans import queries as mq
 from lexiscope.plans.battery import Battery
 from lexiscope.plans.queries import ORDER_TARGETS, SCOPES
 from lexiscope.plans.resources import Resources
@@ -64,3 +65,36 @@ def terminology_battery(spark, sf_dir):
     topics = topics.withColumn("result", F.lit("topics")).withColumn("share", F.col("annotation_proportion"))
     depths = depths.withColumn("result", F.lit("depths")).withColumn("key", F.col("depth").cast("string")).withColumn("annotation_count", F.lit(None).cast("double"))
     return topics.select(*shared).unionByName(depths.select(*shared))
+
+
+_SHARED_SCALARS = {"mention_count": "m05_mention_count", "identifier_count": "m07_identifier_count", "unique_mentions": "m33_unique_mentions", "unique_identifiers": "m35_unique_identifiers"}
+_SHARED_STATS = {
+    "annotations_per_document_stats": "m11_annotations_per_document_stats", "unique_mentions_per_document_stats": "m13_unique_mentions_per_document_stats", "mention_length_stats": "m21_mention_length_stats",
+    "mention_redundancy_stats": "m26_mention_redundancy_stats", "variation_degree_stats": "m29_variation_degree_stats", "ambiguity_degree_stats": "m30_ambiguity_degree_stats",
+}
+_SHARED_SHARES = {"label_distribution": "m36_label_distribution", "identifier_resource_distribution": "m37_identifier_resource_distribution", "match_type_distribution": "m38_match_type_distribution"}
+_TEXT_SHARED = {"token_length_stats": "m20_token_length_stats", "sentence_length_stats": "m19_sentence_length_stats", "passage_length_stats": "m18_passage_length_stats", "token_redundancy_stats": "m25_token_redundancy_stats", "sentence_redundancy_stats": "m24_sentence_redundancy_stats"}
+
+
+def _plain(names: dict[str, str]) -> str:
+    return " UNION ALL BY NAME ".join(f"SELECT *, '{metric}' AS result FROM ({mq.ORACLES[name]})" for metric, name in names.items())
+
+
+def _sharing(spark, corpus, targets: dict, scopes: dict, metrics) -> DataFrame:
+    battery = Battery({c: [] for parts in targets.values() for c, _ in parts}, targets, [{"bundles": list(targets), "result": m, "metric": m} for m in metrics], scopes)
+    battery.validate()
+    return _together(battery.run(spark, corpus, summary=battery.summary(corpus)))
+
+
+def _shared_orders(metrics: dict[str, str]):
+    scopes = {k: v for k, v in SCOPES.items() if v}
+    return lambda spark, sf_dir: _sharing(spark, tb.order_corpus(spark, sf_dir), ORDER_TARGETS, scopes, metrics)
+
+
+for _name, _metrics in (("b03_shared_counts", _SHARED_SCALARS), ("b03_shared_statistics", _SHARED_STATS), ("b03_shared_distributions", _SHARED_SHARES)):
+    query(_name, _plain(_metrics))(_shared_orders(_metrics))
+
+
+@query("b04_shared_text_statistics", _plain(_TEXT_SHARED))
+def shared_text_statistics(spark, sf_dir):
+    return _sharing(spark, tb.text_corpus(spark, sf_dir), mq.TEXT_TARGETS, {}, _TEXT_SHARED)

@@ -12,8 +12,10 @@ from lexiscope.operators import metrics as mt
 from lexiscope.operators import offsets as of
 from lexiscope.operators import records
 from lexiscope.operators import rollups as ru
+from lexiscope.operators import summaries as sm
 from lexiscope.plans import graph_queries as gq
 from lexiscope.plans import queries as mq
+from lexiscope.plans.frames import Corpus
 from lexiscope.plans.targets import AnnotationFilter, target_frame
 from lexiscope.sources import tables as tb
 from lexiscope.streaming import refresh
@@ -212,6 +214,27 @@ def terminology_summary(spark, sf_dir):
     return ru.coverage_summary(get("m48_high_level_concept_counts"), get("m49_concept_depth_counts"), get("d07_coverage_summary"))
 
 
+@query("d08_scope_summary", f"""WITH lab AS (SELECT target, scope, count(*) AS n_types, CAST(sum(count) AS BIGINT) AS n_annotations FROM {_of('m36_label_distribution')} GROUP BY ALL)
+    SELECT a.target, a.scope, lab.n_types, lab.n_annotations, e.entropy, round(a.mean, 2) AS annotations_per_document, round(k.mean, 2) AS annotations_per_1000_tokens, round(m.mean, 2) AS mentions_per_document,
+        round(i.mean, 2) AS identifiers_per_document, round(b.mean, 3) AS ambiguity, CASE WHEN s.status <> 'none' THEN v.mean END AS variation, s.status
+    FROM {_of('m11_annotations_per_document_stats')} a JOIN {_of('m12_annotations_per_1000_tokens_stats')} k USING (target, scope) JOIN {_of('m13_unique_mentions_per_document_stats')} m USING (target, scope)
+    JOIN {_of('m14_unique_identifiers_per_document_stats')} i USING (target, scope) JOIN {_of('m30_ambiguity_degree_stats')} b USING (target, scope) JOIN {_of('m29_variation_degree_stats')} v USING (target, scope)
+    JOIN lab USING (target, scope) JOIN ({_ENTROPY}) e USING (target, scope) JOIN ({_STATUS}) s USING (target, scope)""")
+def scope_summary(spark, sf_dir):
+    """Every figure from one summary of the corpus, whose tables are read instead of it."""
+    summary = sm.summarised(tb.order_corpus(spark, sf_dir), mq.SCOPES, ("profiles", "mentions"))
+    return ru.scope_summary(summary, target_frame(spark, mq.ORDER_TARGETS), mq.SCOPES)
+
+
+@query("d08_merged_statistics", f"SELECT * FROM {_of('m11_annotations_per_document_stats')}")
+def merged_statistics(spark, sf_dir):
+    """Annotations per document by scope, from the added summaries of three parts of the corpus."""
+    whole = tb.order_corpus(spark, sf_dir)
+    part = lambda k: (F.pmod(F.xxhash64("document_id"), F.lit(3)) == k)
+    parts = [sm.summarised(Corpus(whole.documents.filter(part(k)), whole.passages.filter(part(k)), whole.annotations.filter(part(k))), None, ("profiles",)) for k in range(3)]
+    return mt.annotations_per_document_stats(parts[0].union(parts[1]).union(parts[2]), target_frame(spark, mq.ORDER_TARGETS), mq.SCOPES)
+
+
 @query("d09_entity_profiles", f"""SELECT target, scope, key AS label, count, CAST(row_number() OVER w AS INT) AS place, round(proportion * 100, 1) AS percent, round(sum(proportion) OVER (PARTITION BY target, scope ORDER BY count DESC, key ROWS UNBOUNDED PRECEDING) * 100, 1) AS running
     FROM {_of('m36_label_distribution')} WINDOW w AS (PARTITION BY target, scope ORDER BY count DESC, key)""")
 def entity_profiles(spark, sf_dir):

@@ -33,6 +33,23 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back, so that readers prune columns and know its size."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_path = path
+    return back
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "_written_path", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def content_digest(df: DataFrame) -> str:
     """A digest of a table's columns and rows, whatever their order: sums of the SHA-256 of all rows."""
     kinds = dict(df.dtypes)
