@@ -24,10 +24,11 @@ rows that no candidate needs are dropped before the shuffle by a bitmap of fixed
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiscope.llm.graph import connected_components
-from lexiscope.llm.runtime import discard, materialize, unused
+from lexiscope.llm.runtime import discard, hashes, materialize, own, unused
 
 #: Unrelated lines' SimHashes differ in 28 +- 4 bits, those of lines with a fifth of their characters changed in 13 +- 4.
 SIMILARITY, CLOSE, DISTANCE = 0.8, 17, 23
@@ -37,6 +38,8 @@ SHORT, LONG = 64, 200
 CHUNK, CHUNK_SPACE = 6, 7
 #: Minima of a line, and the places that make up a band (counted from its own), of words and of trigrams.
 MINIMA, BANDS = 20, ((0, 1, 4, 6), (0, 1, 4, 6, 11))
+#: Numbers of equal rows that are told off at a time.
+RUN = 65536
 #: A bitmap: so many parts of 32,768 bits (4 KB) each, 4 MB in all.
 BITMAP_PARTS = 1024
 
@@ -236,7 +239,8 @@ def line_groups(lines: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def row_decisions(docs: DataFrame) -> DataFrame:
-    """``line_decisions`` with the row's key, ``row``."""
+    """``line_decisions`` with the row's key, ``row``, and ``twin``: true on rows of groups whose first occurrence
+    stands in a row that is repeated."""
     lines = materialize(line_table(docs), "lines")
     marks = materialize(signatures(lines), "line-signatures")
     roots = line_groups(lines, marks)
@@ -250,9 +254,23 @@ def row_decisions(docs: DataFrame) -> DataFrame:
     several = tagged.filter("root is not null").select(*at, F.col("root").alias("line_group"))
     place = F.struct("doc_id", "line_no", "row")
     # Written, so that the join reads two plain tables and a line with very many copies can be split.
-    firsts = materialize(several.groupBy("line_group").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "line-firsts")
-    out = several.join(firsts, "line_group")
-    return alone.unionByName(out.select(*at, "line_group", "copies", place.eqNullSafe(F.col("first")).alias("kept")))
+    firsts = several.groupBy("line_group").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    again = repeated_rows(docs)
+    same = F.col("first.doc_id").eqNullSafe(F.col("_again_id")) & (F.col("first.row") == F.col("_again_row"))
+    firsts = materialize(firsts.join(again, same, "left").select("line_group", "first", "copies", F.col("_times").alias("times")), "line-firsts")
+    out = several.join(firsts, "line_group").withColumn("kept", place.eqNullSafe(F.col("first"))).filter("not (kept and times is not null)")
+    # Of equal rows that hold a group's first occurrence, one keeps it: as many rows as they are, told off in runs.
+    told = firsts.filter("times is not null").select("first.*", "line_group", "copies", "times", F.explode(F.expr(f"sequence(0L, (times - 1) div {RUN})")).alias("run"))
+    told = told.withColumn("at", F.explode(F.expr(f"sequence(run * {RUN}, least(times, (run + 1) * {RUN}) - 1)")))
+    no, yes = F.lit(False).alias("twin"), F.lit(True).alias("twin")
+    columns = (*at, "line_group", "copies", "kept")
+    return alone.select(*columns, no).unionByName(out.select(*columns, F.col("times").isNotNull().alias("twin"))).unionByName(told.withColumn("kept", F.col("at") == 0).select(*columns, yes))
+
+
+def repeated_rows(docs: DataFrame) -> DataFrame:
+    """``(_again_id, _again_row, _times)``: ids and row keys that more than one row has, written."""
+    keys = docs.select(F.col("doc_id").cast("long").alias("_again_id"), row_key().alias("_again_row"))
+    return materialize(keys.groupBy("_again_id", "_again_row").agg(F.count("*").alias("_times")).filter("_times > 1"), "repeated-rows")
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:
@@ -262,23 +280,43 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     ``line_group`` is the hash of the group's representative text, ``copies`` the group's number of
     occurrences; ``kept`` marks the occurrence with the smallest (doc_id, line_no).  A null id comes before all
     others.  Null, empty and blank texts have no such lines.  Different texts that share an id, or have none, are
-    different documents, of which the smaller text hash comes first; rows with the same id and the same text are
-    one document, so their lines are kept or dropped alike.  An empty table gives no rows.  Other columns are not
-    read.
+    different documents, of which the smaller text hash comes first; of rows with the same id and the same text
+    just one keeps what is kept.  An empty table gives no rows.  Other columns are not read.
     """
-    return row_decisions(docs).drop("row")
+    return row_decisions(docs).drop("row", "twin")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that ``line_decisions`` drops; columns as they came, ``n_chars`` (if there)
-    brought up to date.  Rows stay even if no line does; blank lines stay; null texts stay null."""
-    ident, row, gone = unused(docs, "_id", "_row", "_dropped")
-    dropped = row_decisions(docs).filter(~F.col("kept")).groupBy(F.col("doc_id").alias(ident), F.col("row").alias(row)).agg(F.collect_set("line_no").alias(gone))
+    brought up to date.  Rows stay even if no line does; blank lines stay; null texts stay null.  Of rows with one id
+    (or none) and one text, the one whose other columns have the smallest hash keeps the lines that are kept."""
+    decided = materialize(row_decisions(docs).filter("not kept or twin").select("doc_id", "row", "line_no", "kept"), "line-decisions")
+    again = repeated_rows(docs)
+    ident = F.col("doc_id").cast("long")
+    repeated = ident.eqNullSafe(again["_again_id"]) & (row_key() == again["_again_row"])
+    dropped = decided.filter("not kept")
+    once = _without(docs.join(again, repeated, "left_anti"), dropped, F.lit(False))
+    # Rows that are repeated are numbered; their copies lose all lines.
+    (number,) = unused(docs, "_number")
+    order = hashes(own(docs), [kind for _, kind in docs.dtypes])
+    twins = docs.join(again, repeated, "left_semi").withColumn(number, F.row_number().over(W.partitionBy(ident, row_key()).orderBy(*order)))
+    held = decided.groupBy("doc_id", "row", "line_no").agg(F.max("kept").alias("held"), F.min("kept").alias("kept")).filter("not kept")
+    several = _without(twins, held, F.col(number) == 1)
+    return once.select(*own(docs)).unionByName(several.select(*own(docs)))
+
+
+def _without(docs: DataFrame, dropped: DataFrame, first: Column) -> DataFrame:
+    """``docs`` without the lines ``dropped(doc_id, row, line_no)``; where ``first`` is true, lines that are ``held``
+    there stay."""
+    ident, row, gone, held = unused(docs, "_id", "_row", "_gone", "_held")
+    marks = F.collect_set(F.when(F.col("held"), F.col("line_no"))) if "held" in dropped.columns else F.array().cast("array<int>")
+    sets = dropped.groupBy(F.col("doc_id").alias(ident), F.col("row").alias(row)).agg(F.collect_set("line_no").alias(gone), marks.alias(held))
     lines = F.split(F.col("text"), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    lost = F.when(first, F.array_except(gone, held)).otherwise(F.col(gone))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
     rest = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    out = docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (row_key() == F.col(row)), "left")
+    out = docs.join(sets, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (row_key() == F.col(row)), "left")
     out = out.withColumn("text", F.when(F.col(gone).isNull() | F.col("text").isNull(), F.col("text")).otherwise(rest))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out

@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiscope.llm.runtime import materialize
+from lexiscope.llm.runtime import hashes, materialize, own, unused
 
 BLOCK_WORDS, SHARD_SLOTS, WEIGHTS, MOST_PASSES, SEED = 64, 1024, (5, 2, 1), 3, 20240607
 MOST_SOURCES = 100_000
+#: What a row of the mix is found again by.
+ROW = ("doc_id", "source", "text")
 #: Slots of the plan that one task makes, about.
 SLOTS_A_TASK = 1 << 16
 #: Cells of the unit interval, through which a uniform draw finds its source by equality.
@@ -149,13 +151,18 @@ def pieces(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def _sized(docs: DataFrame) -> DataFrame:
     """Narrow rows: id, source, size, and two hashes of the whole row by which it is found again."""
-    every = [F.col(c) for c in ("doc_id", "source", "text")]
+    k1, k2 = _row_keys(docs)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"),
-        F.xxhash64(*every).alias("k1"), F.xxhash64(F.lit(SEED), *every).alias("k2"),
+        k1.alias("k1"), k2.alias("k2"),
     )
 
 
+def _row_keys(docs: DataFrame) -> tuple[Column, Column]:
+    kinds = dict(docs.dtypes)
+    return hashes([F.col(c) for c in ROW], [kinds[c] for c in ROW])
+
+
 def _placed(docs: DataFrame, weights, block_words: int) -> tuple[DataFrame, DataFrame]:
     sized = materialize(_sized(docs), "mix-sizes")
     sources = materialize(source_table(sized, weights, MOST_PASSES, block_words), "mix-sources")
@@ -184,20 +191,22 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_W
     takes words of it; ``text`` holds just the words taken in that pass, with the white space behind each
     (the whole text if all are taken), and ``n_chars``, where it is a column, is its length.
 
-    Rows without words are in no mix.  Nulls, repeats and empty tables as in ``mix_report``.
+    Rows without words are in no mix.  Nulls, repeats and empty tables as in ``mix_report``; rows with one id, source and
+    text take their other columns from any of them.  Other columns come through, whatever they are called.
     """
     placed, sources = _placed(docs, weights, block_words)
     taken = pieces(placed, block_words).join(plan(sources, shard_slots).select("rank", "block", "pass").hint("merge"), ["rank", "block"])
     rows = taken.groupBy("rank", "start", "k1", "k2", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("parts"), F.sum("words").alias("taken"))
-    every = [F.col(c) for c in ("doc_id", "source", "text")]
-    rows = rows.select(*(F.col(c).alias(f"_mix_{c}") for c in ("k1", "k2", "size", "parts", "taken")))
-    texts = docs.withColumn("_mix_k1", F.xxhash64(*every)).withColumn("_mix_k2", F.xxhash64(F.lit(SEED), *every)).dropDuplicates(["_mix_k1", "_mix_k2"])
-    joined = texts.join(rows, ["_mix_k1", "_mix_k2"])
+    k1, k2, size, parts, took = unused(docs, "_k1", "_k2", "_size", "_parts", "_taken")
+    rows = rows.select(*(F.col(c).alias(name) for c, name in (("k1", k1), ("k2", k2), ("size", size), ("parts", parts), ("taken", took))))
+    first, second = _row_keys(docs)
+    texts = docs.withColumns({k1: first, k2: second}).dropDuplicates([k1, k2])
+    joined = texts.join(rows, [k1, k2])
     words = F.regexp_extract_all(F.col("text"), F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
     # Bound to a variable, so that a text is cut into words once and not for each of its parts.
-    joined_parts = lambda w: F.array_join(F.flatten(F.transform("_mix_parts", lambda p: F.slice(w, p["skip"] + 1, p["words"]))), "")
+    joined_parts = lambda w: F.array_join(F.flatten(F.transform(parts, lambda p: F.slice(w, p["skip"] + 1, p["words"]))), "")
     some = F.get(F.transform(F.array(words), joined_parts), F.lit(0))
-    out = joined.withColumn("text", F.when(F.col("_mix_taken") == F.col("_mix_size"), F.col("text")).otherwise(some))
+    out = joined.withColumn("text", F.when(F.col(took) == F.col(size), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*own(docs))

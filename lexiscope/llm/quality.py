@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexiscope.llm.runtime import by_value, unused
+from lexiscope.llm.runtime import by_value, own, unused
 
 by_value(__name__)
 
@@ -193,11 +194,11 @@ def _scored(docs: DataFrame, labels: DataFrame, threshold: float, keep: tuple[st
                 at = to
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*batch.schema.names[1:], score])
 
-    kept = docs.select(*(F.col(c) for c in keep)) if keep else None
+    kept = docs.select(*keep) if keep else None
     data, ident, held, score, predicted = unused(kept, "_bytes", "_id", "held_out", "score", "predicted") if keep else ["_bytes", "doc_id", "held_out", "score", "predicted"]
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    narrow = docs.select(text.alias(data), F.col("doc_id").cast("long").alias(ident), held_out("doc_id").alias(held), *(F.col(c) for c in keep))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:]) + f", `{score}` double"
+    narrow = docs.select(text.alias(data), F.col("doc_id").cast("long").alias(ident), held_out("doc_id").alias(held), *keep)
+    schema = StructType([*narrow.schema.fields[1:], StructField(score, DoubleType())])
     scored = narrow.mapInArrow(run, schema).withColumn(predicted, (F.col(score) >= threshold).cast("int"))
     return scored, [ident, held, score, predicted]
 
@@ -214,5 +215,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier predicts 1, with their columns, whatever those are called."""
-    scored, names = _scored(docs, labels, threshold, tuple(docs.columns))
-    return scored.filter(F.col(names[-1]) == 1).select(*docs.columns)
+    scored, names = _scored(docs, labels, threshold, own(docs))
+    return scored.filter(F.col(names[-1]) == 1).select(*own(docs))

@@ -9,7 +9,8 @@ import tempfile
 import uuid
 
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def by_value(module_name: str) -> None:
@@ -62,3 +63,16 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         found.append(name)
     return found
+
+
+def own(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` as they came, whatever characters are in their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def hashes(values: list[Column], kinds: list[str]) -> tuple[Column, Column]:
+    """Two 64-bit hashes of the values together, which differ for null at one place and at another; ``kinds`` are their
+    types, as maps have no hash and go in as JSON."""
+    plain = [F.to_json(F.struct(v.alias("v"))) if "map<" in k else v for v, k in zip(values, kinds)]
+    gaps = [v.isNull() for v in values]
+    return F.xxhash64(*plain, *gaps), F.xxhash64(F.lit(0x5DEECE66D), *plain, *gaps)

@@ -20,11 +20,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.llm.graph import connected_components
-from lexiscope.llm.runtime import by_value, materialize, unused
+from lexiscope.llm.runtime import by_value, discard, hashes, materialize, own, unused
 
 by_value(__name__)
 
@@ -57,16 +57,17 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(values), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` for every row; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
+    """``(doc_id, fp)`` for every row, and the long columns ``more``; ``fp`` is the fingerprint as a signed long."""
+    names = ["doc_id", *(more or {}), "fp"]
 
     def run(batches):
         for batch in batches:
-            fps = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter(map(fingerprint, batch.column(batch.num_columns - 1).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names)
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(c.alias(name) for name, c in (more or {}).items()), F.col(text_col).cast("string").alias("text"))
+    return narrow.mapInArrow(run, ", ".join(f"{name} long" for name in names))
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -213,16 +214,15 @@ def fingerprint_groups(marked: DataFrame, threshold: int = 2) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2) -> DataFrame:
     """One row of ``docs`` for each group of near copies: the one with the smallest id, among those with that id
-    the one with the smallest hash.  A null id comes after all others.  Rows that share an id, or have none, are
-    told apart by a hash of the whole row, so texts that don't link all stay."""
-    row = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
-    (mine,) = unused(docs, "_row")
-    keyed = docs.withColumn(mine, row)
-    # The kernel passes one column through: the number of the row, here its hash.
-    fps = fingerprints(keyed, mine, text_col).withColumnRenamed("doc_id", "_row").distinct()
-    ids = keyed.select(F.col(mine).alias("_row"), F.col(id_col).cast("long").alias("doc_id")).distinct()
-    marked = materialize(fps.join(ids, "_row"), "row-fingerprints")
+    the one with the smallest hashes.  A null id comes after all others.  Rows that share an id, or have none, are
+    told apart by two hashes of the whole row, so texts that don't link all stay.  Of rows equal in all columns one
+    stays.  Other columns come through, whatever they are called; an empty table gives no rows."""
+    first, second = hashes(own(docs), [kind for _, kind in docs.dtypes])
+    k1, k2 = unused(docs, "_k1", "_k2")
+    marked = fingerprints(docs, id_col, text_col, {"_k1": first, "_k2": second}).distinct()
+    marked = materialize(marked, "row-fingerprints")
     grouped = marked.join(fingerprint_groups(marked, threshold).select("fp", "root"), "fp")
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
-    kept = materialize(first.select(F.col("first._row").alias(mine)), "kept-rows")
-    return keyed.join(kept, mine, "left_semi").dropDuplicates([mine]).select(*docs.columns)
+    lowest = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).alias("first"))
+    kept = materialize(lowest.select(F.col("first._k1").alias(k1), F.col("first._k2").alias(k2)), "kept-rows")
+    discard(marked)
+    return docs.withColumns({k1: first, k2: second}).join(kept, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*own(docs))
