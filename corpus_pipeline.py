@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexiscope.llm import line_dedup, mixing, simhash_dedup
 from lexiscope.llm.quality import accepted
-from lexiscope.llm.runtime import materialize
+from lexiscope.llm.runtime import discard, materialize
 from lexiscope.llm.sentencepiece_ids import encode_decode
 
 
@@ -50,5 +50,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
