@@ -12,13 +12,15 @@ whole texts of every row, in pieces of bounded size.  Labels, language, source a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexiscope.llm.runtime import by_value, own, unused
+from lexiscope.llm.runtime import by_value, own
 
 by_value(__name__)
 
@@ -173,9 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
     return ByteConvNet().fit([r["text"].encode("utf-8") for r in rows], np.array([r["quality"] for r in rows], np.float32))
 
 
-def _scored(docs: DataFrame, labels: DataFrame, threshold: float, keep: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
-    """The columns in ``keep`` with id, held_out, score and predicted, and the names of those four, which no column
-    in ``keep`` has."""
+def _scored(docs: DataFrame, labels: DataFrame, threshold: float, keep: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+    """The columns ``keep`` as ``_keep0``, ``_keep1`` and so on, with id, held_out, score and predicted, and the names
+    of those four."""
     net = docs.sparkSession.sparkContext.broadcast(vars(train(docs, labels)))
 
     def run(batches):
@@ -194,10 +196,11 @@ def _scored(docs: DataFrame, labels: DataFrame, threshold: float, keep: tuple[st
                 at = to
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*batch.schema.names[1:], score])
 
-    kept = docs.select(*keep) if keep else None
-    data, ident, held, score, predicted = unused(kept, "_bytes", "_id", "held_out", "score", "predicted") if keep else ["_bytes", "doc_id", "held_out", "score", "predicted"]
+    # Arrow batches take plain names only, so a caller's columns go by number.
+    kept = [c.alias(f"_keep{i}") for i, c in enumerate(keep)]
+    data, ident, held, score, predicted = "_bytes", "doc_id", "held_out", "score", "predicted"
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    narrow = docs.select(text.alias(data), F.col("doc_id").cast("long").alias(ident), held_out("doc_id").alias(held), *keep)
+    narrow = docs.select(text.alias(data), F.col("doc_id").cast("long").alias(ident), held_out("doc_id").alias(held), *kept)
     schema = StructType([*narrow.schema.fields[1:], StructField(score, DoubleType())])
     scored = narrow.mapInArrow(run, schema).withColumn(predicted, (F.col(score) >= threshold).cast("int"))
     return scored, [ident, held, score, predicted]
@@ -216,4 +219,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier predicts 1, with their columns, whatever those are called."""
     scored, names = _scored(docs, labels, threshold, own(docs))
-    return scored.filter(F.col(names[-1]) == 1).select(*own(docs))
+    return scored.filter(F.col(names[-1]) == 1).select(*(F.col(f"_keep{i}").alias(c) for i, c in enumerate(docs.columns)))
