@@ -11,6 +11,9 @@ doesn't begin a sentence.  One aggregation counts every word together with what
 
 A model is two tables.  Texts are cut at every possible boundary into segments; the distinct pairs of words around
 them are decided by joins with the model, and the few pairs that don't end a sentence are joined back.
+
+Expressions that look into a word run on distinct words only: texts are counted as pairs of chunks between spaces, of
+which the first is kept only if it may end a sentence.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiscope.plans.storage import settled
+from lexiscope.plans.storage import removed, settled, written
 
 SPACE = r"[ \t\n\x0B\f\r]"
 DARK = r"[^ \t\n\x0B\f\r]"
@@ -30,6 +33,10 @@ OPENING = r"""^["'(\[{«“‘*]+"""
 CLOSING = r"""["')\]}»”’*]"""
 #: Marks a cut; it is no character, and a text that holds it loses it.
 CUT = "\uffff"
+#: A chunk with nothing between its quotes, brackets and commas, and one that may end a sentence.
+EMPTY, CLOSED = r"""^["'(\[{«“‘*]*["')\]}»”’*,;:]*\z""", r"""[.!?]["')\]}»”’*,;:]*$"""
+#: A chunk whose full stop may not end a sentence.
+DOUBTFUL = r"""\.["')\]}»”’*]*$"""
 NUMBER = "##number##"
 #: Thresholds of the published method: score of abbreviations, log-likelihoods of collocations and starters, and the
 #: least times that a pair and a starter are seen.
@@ -80,14 +87,17 @@ def stop(chunk: Column, core: Column) -> Column:
 def context_counts(text: DataFrame, column: str = "text") -> DataFrame:
     """``(before, word, period, case, n)``: how often each word stands with and without a stop behind it, in capitals or
     not, behind what (empty at the beginning of a text; else the stop of the chunk before it)."""
-    chunks = F.transform(F.split(F.coalesce(column, F.lit("")), f"{SPACE}+"), lambda c: F.struct(c.alias("chunk"), core(c).alias("core")))
-    listed = text.select(F.filter(chunks, lambda c: c.core != "").alias("c"))
-    none = F.array(F.lit(None).cast("struct<chunk:string,core:string>"))
-    pair = lambda x, y: F.struct(F.coalesce(stop(y.chunk, y.core), F.lit("")).alias("y"), x.core.alias("core"), y.isNull().alias("first"))
-    rows = listed.select(F.explode(F.zip_with("c", F.concat(none, "c"), pair)).alias("x")).filter("x.core IS NOT NULL")
-    x = F.col("x.core")
-    before = F.when(F.col("x.first"), "").otherwise(F.col("x.y"))
-    return rows.select(before.alias("before"), word(x).alias("word"), x.rlike(r"\.$").alias("period"), case(x).alias("case")).groupBy("before", "word", "period", "case").agg(F.count("*").alias("n"))
+    spaced = F.translate(F.coalesce(column, F.lit("")), "\t\n\x0B\f\r", " " * 5)
+    chunks = F.filter(F.split(spaced, " "), lambda c: c.between("a", "z~") | ~c.rlike(EMPTY))
+    listed = text.select(chunks.alias("c"))
+    rows = listed.select(F.explode(F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), "c").alias("y"), F.col("c").alias("chunk"))).alias("x")).select("x.*").filter("chunk IS NOT NULL")
+    y = F.col("y")
+    closed = (y.contains(".") | y.contains("!") | y.contains("?")) & y.rlike(CLOSED)
+    pairs = rows.groupBy(F.when(y.isNull() | closed, y).otherwise("-").alias("y"), "chunk").agg(F.count("*").alias("n"))
+    pairs = pairs.select("y", core(y).alias("y_core"), core(F.col("chunk")).alias("core"), "n")
+    x = F.col("core")
+    before = F.when(y.isNull(), "").otherwise(stop(y, F.col("y_core")))
+    return pairs.select(before.alias("before"), word(x).alias("word"), x.rlike(r"\.$").alias("period"), case(x).alias("case"), "n").groupBy("before", "word", "period", "case").agg(F.sum("n").alias("n"))
 
 
 # --- statistics -------------------------------------------------------------------------------------------
@@ -160,12 +170,15 @@ def learn(text: DataFrame, column: str = "text") -> SentenceModel:
 
 def _cut(text: Column) -> Column:
     """The segments of a text: it is cut behind every stop and the spaces after it."""
-    marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), CUT, ""), f"([.!?]{CLOSING}*{SPACE}+)", f"$1{CUT}")
+    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), CUT, ""), f"([.!?]{CLOSING}*{SPACE}+)", f"$1{CUT}")
     return F.filter(F.split(marked, CUT), lambda s: s != "")
 
 
 def _last(segment: Column) -> Column:
-    return F.regexp_extract(segment, f"({DARK}+){SPACE}*$", 1)
+    """The last chunk.  The expression sees only what stands behind the last blank, and starts at the beginning of a chunk
+    and never goes back in it, so it is linear."""
+    piece = F.substring_index(F.rtrim(segment, F.lit(" \t\n\x0B\f\r")), " ", -1)
+    return F.regexp_extract(piece, f"(?<!{DARK})({DARK}++)$", 1)
 
 
 def _first(segment: Column) -> Column:
@@ -192,19 +205,25 @@ def undecided(model: SentenceModel, around: DataFrame) -> DataFrame:
     return rows.filter(~ends).select("before", "word", "case")
 
 
-def segments(passages: DataFrame, keys: Sequence[str], model: SentenceModel, column: str = "text") -> DataFrame:
+def segments(passages: DataFrame, keys: Sequence[str], model: SentenceModel, column: str = "text", **measures: Column) -> DataFrame:
     """``(*keys, at, segment, ends)``: texts cut at every possible boundary, and whether a sentence ends there.  ``keys``
-    name one row.  The last segment of a text ends; empty and null texts have one row with a null segment."""
+    name one row.  The last segment of a text ends; empty and null texts have one row with a null segment.  With
+    ``measures``, columns of ``segment``, these stand in its place, so that no join carries the texts."""
     listed = passages.select(*keys, _cut(F.col(column)).alias("s"))
     each = listed.select(*keys, F.posexplode_outer(F.arrays_zip(F.col("s").alias("segment"), F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))).alias("then"))).alias("at", "x"))
-    first = core(_first(F.col("x.then")))
-    rows = each.select(
-        *keys, "at", F.col("x.segment").alias("segment"),
-        F.when(F.col("x.then").isNull(), "").otherwise(stop(_last(F.col("x.segment")), core(_last(F.col("x.segment"))))).alias("before"), F.coalesce(word(first), F.lit("")).alias("word"), F.coalesce(case(first), F.lit("-")).alias("case"),
-    )
-    around = rows.select("before", "word", "case").filter("before <> ''").distinct()
-    kept = settled(undecided(model, around)).withColumn("goes_on", F.lit(True))
-    return rows.join(kept, ["before", "word", "case"], "left").select(*keys, "at", "segment", F.col("goes_on").isNull().alias("ends"))
+    each = each.select(*keys, "at", F.col("x.segment").alias("segment"), F.col("x.then").alias("then"))
+    # Only the chunks on both sides of a boundary; one that surely ends is a boundary without the chunk after it.
+    last = each.withColumn("last", F.when(F.col("then").isNotNull(), _last(F.col("segment"))))
+    around = last.select(*keys, "at", *([c.alias(n) for n, c in measures.items()] or ["segment"]), "last", F.when(F.col("last").rlike(DOUBTFUL), _first(F.col("then"))).alias("first"))
+    distinct = around.filter("first IS NOT NULL").select("last", "first").distinct()
+    cored = distinct.select("last", "first", core(F.col("last")).alias("last_core"), core(F.col("first")).alias("core"))
+    judged = written(cored.select("last", "first", stop(F.col("last"), F.col("last_core")).alias("before"), word(F.col("core")).alias("word"), case(F.col("core")).alias("case")), "boundaries")
+    going = undecided(model, judged.select("before", "word", "case").distinct())
+    # Rows without such a boundary meet nothing; a hash instead of null spreads them if the join is shuffled.
+    spread = F.when(F.col("first").isNull(), F.xxhash64(*keys, "at").cast("string")).otherwise(F.col("last"))
+    kept = written(judged.join(going, ["before", "word", "case"]).select("last", "first"), "undecided").withColumn("goes_on", F.lit(True))
+    removed(judged)
+    return around.withColumn("last", spread).join(kept, ["last", "first"], "left").withColumn("ends", F.col("goes_on").isNull()).drop("last", "first", "goes_on")
 
 
 def split(passages: DataFrame, keys: Sequence[str], model: SentenceModel, column: str = "text") -> DataFrame:

@@ -35,9 +35,9 @@ class Corpus:
     def passage_sizes(self) -> DataFrame:
         """Per passage: characters, sentences and tokens, without the texts."""
         if self.sentence_model:
-            each = segments(self.passages, [*KEYS, "passage_no"], self.sentence_model)
-            text, ends = F.coalesce("segment", F.lit("")), F.col("ends") & F.col("segment").rlike(DARK)
-            sizes = (F.sum(F.length(text)).alias("chars"), F.count(F.when(ends, 1)).alias("sentences"), F.sum(F.size(tokens(text))).alias("tokens"))
+            text = F.coalesce("segment", F.lit(""))
+            each = segments(self.passages, [*KEYS, "passage_no"], self.sentence_model, chars=F.length(text), dark=text.rlike(DARK), tokens=F.size(tokens(text)))
+            sizes = (F.sum("chars").alias("chars"), F.count(F.when(F.col("ends") & F.col("dark"), 1)).alias("sentences"), F.sum("tokens").alias("tokens"))
             return each.groupBy(*KEYS, "passage_no").agg(*sizes).drop("passage_no")
         return self.passages.select(*KEYS, F.length("text").alias("chars"), F.size(sentences(F.col("text"))).alias("sentences"), F.size(tokens(F.col("text"))).alias("tokens"))
 

@@ -189,3 +189,28 @@ def test_sql(spark, name):
     plain = lambda v: round(v, 6) if isinstance(v, float) else v
     got = sorted((tuple(plain(r[c]) for c in columns) for r in frame.collect()), key=str)
     assert got == sorted((tuple(map(plain, r)) for r in con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()), key=str)
+
+
+def test_last_chunks_take_time_in_proportion(spark):
+    import time
+
+    long = "x" * 150_000
+    df = spark.createDataFrame([(1, f"{long} b. One {long}.\t“ ”Two.) \u2028 Dr.\r\n C. and"), (2, "* ' \"; Dr. ** Smith\tcame.;) \x0b(x.) Y")], "id int, text string")
+    start = time.time()
+    got = {(r.id, r.at): r.chunk for r in df.select("id", st.F.posexplode(st._cut(st.F.col("text"))).alias("at", "s")).select("id", "at", st._last(st.F.col("s")).alias("chunk")).collect()}
+    assert time.time() - start < 20
+    assert got == {(1, 0): "b.", (1, 1): f"{long}.", (1, 2): "”Two.)", (1, 3): "Dr.", (1, 4): "C.", (1, 5): "and", (2, 0): "Dr.", (2, 1): "(x.)", (2, 2): "Y"}
+    brute = Counter()
+    for r in df.collect():
+        chunks = chunks_of(r.text)
+        for before, chunk in zip([None, *chunks], chunks, strict=False):
+            brute[stop(before) if before else "", word(core(chunk)), core(chunk).endswith("."), case(core(chunk))] += 1
+    assert {(r.before, r.word, r.period, r.case): r.n for r in st.context_counts(df).collect()} == brute
+
+
+def test_no_shuffle_carries_the_texts(spark):
+    passages = spark.createDataFrame([("c", "s", "d", i, t) for i, t in enumerate(made(60, 4))], "corpus string, subset string, document_id string, passage_no int, text string")
+    sizes = replace(Corpus(passages.select("corpus", "subset", "document_id").distinct(), passages), sentence_model=st.learn(passages)).passage_sizes()
+    plan = sizes._jdf.queryExecution().optimizedPlan().toString()
+    joins = plan.count("Join LeftOuter")
+    assert joins == 1 and "segment" not in plan.split("Join LeftOuter")[0]
