@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.functions.text import concept_key, folded, resource_key, tree_prefixes
-from lexiscope.plans.storage import content_digest, persisted, settled
+from lexiscope.plans.storage import content_digest, persisted, removed, settled, written
 
 DIGITS = 8
 #: Levels after which a graph is taken to have a cycle.
@@ -185,10 +185,11 @@ class Terminology:
     def named(self, rows: DataFrame, column: str) -> DataFrame:
         """``rows`` joined to the concepts that have the preferred name in ``column`` (case and white space
         aside), and ``share``, one over their number."""
-        names = self.concepts.select(folded(F.col("name")).alias("_name"), F.col("ui"))
-        counted = names.groupBy("_name").agg(F.collect_set("ui").alias("_uis"))
-        found = rows.join(counted, folded(F.col(column)) == F.col("_name")).withColumn("share", 1.0 / F.size("_uis"))
-        return found.withColumn("ui", F.explode("_uis")).drop("_name", "_uis")
+        asked = rows.withColumn("_name", folded(F.col(column)))
+        # Only concepts that are asked for, one a row, as very many may have one name.
+        held = self.concepts.select(folded(F.col("name")).alias("_name"), "ui").filter("ui is not null").join(asked.select("_name").distinct(), "_name", "left_semi").distinct()
+        shares = held.groupBy("_name").agg((1.0 / F.count("*")).alias("share"))
+        return asked.join(shares, "_name").join(held, "_name").drop("_name")
 
     def anchor_weights(self, term_topics: DataFrame | None = None, anchors: DataFrame | None = None) -> DataFrame:
         """``(ui, key, w)``: how a concept's unit of mass falls on topics.
@@ -244,9 +245,12 @@ class Terminology:
         return self._walk(sinks, True, steps).withColumnRenamed("top", "key")
 
     def topic_weights(self, terms: DataFrame, column: str, weights: DataFrame) -> DataFrame:
-        """``(term, key, w)`` for the distinct terms in ``column``: the mean over the concepts of that name."""
-        wanted = terms.select(F.col(column).alias("term")).distinct()
-        return self.named(wanted, "term").join(weights, "ui").groupBy("term", "key").agg(F.sum(F.col("share") * F.col("w")).alias("w"))
+        """``(term, key, w)`` for the distinct terms in ``column``: the mean over the concepts of that name.  Terms and
+        result are written, so that the terms are found once and the result is broadcast if it is small."""
+        wanted = written(terms.select(F.col(column).alias("term")).distinct(), "terms")
+        found = written(self.named(wanted, "term").join(weights, "ui").groupBy("term", "key").agg(F.sum(F.col("share") * F.col("w")).alias("w")), "term-weights")
+        removed(wanted)
+        return found
 
     def labels(self) -> DataFrame:
         """``(key, label)``: a concept's name, else the first concept's with that tree number."""

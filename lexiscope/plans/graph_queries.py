@@ -239,10 +239,13 @@ def coverage_summary(spark, sf_dir):
 # --- metadata ---------------------------------------------------------------------------------------------
 
 
-def _frames(spark, sf_dir):
+def _frames(spark, sf_dir, of_articles: bool = True):
+    """Articles, targets, journals, topics of their terms (of the journals' only, unless ``of_articles``), and name topics."""
     parts_ = parts(spark, sf_dir)
     articles = tb.order_articles(spark, sf_dir)
-    terms = articles.select(F.explode("mesh_topics").alias("term")).distinct().unionByName(tb.journals(spark).select(F.explode("mesh_topics").alias("term")))
+    terms = tb.journals(spark).select(F.explode("mesh_topics").alias("term"))
+    if of_articles:
+        terms = terms.unionByName(articles.select(F.explode("mesh_topics").alias("term")))
     weights = parts_.topic_weights(terms, "term", part_anchor_weights(spark, sf_dir, parts_))
     return articles, target_frame(spark, ORDER_TARGETS), tb.journals(spark), weights, tb.name_topics(spark)
 
@@ -269,7 +272,7 @@ def journal_topic_distribution(spark, sf_dir):
 
 @query("m41_journal_mesh_topic_distribution", _shared("SELECT subset, coalesce(key, 'Unknown') AS key, coalesce(w, 1) AS w FROM articles LEFT JOIN strict USING (journal_id)"))
 def journal_mesh_topic_distribution(spark, sf_dir):
-    articles, targets, journals, weights, names = _frames(spark, sf_dir)
+    articles, targets, journals, weights, names = _frames(spark, sf_dir, False)
     return md.journal_topic_distribution(articles, targets, md.journal_profile(journals, weights, names, False))
 
 
@@ -292,14 +295,14 @@ def terminology_mapping_audit(spark, sf_dir):
 @query("a02_journal_topic_audit", f"""{_WITH_ARTICLES}, x AS (SELECT journal_id, string_agg(key || '=' || round(CAST(w AS DOUBLE), 4), ';' ORDER BY key) AS weights FROM strict GROUP BY journal_id)
     SELECT j.journal_id, j.journal_id AS name, count(o_orderkey) AS usage, CAST(len(any_value(j.terms)) AS INT) AS n_topics, 'Other' AS journal_class, any_value(x.weights) AS weights FROM journals j LEFT JOIN articles USING (journal_id) LEFT JOIN x USING (journal_id) GROUP BY j.journal_id""")
 def journal_topic_audit(spark, sf_dir):
-    articles, _, journals, weights, names = _frames(spark, sf_dir)
+    articles, _, journals, weights, names = _frames(spark, sf_dir, False)
     out = md.journal_audit(articles, journals, md.journal_profile(journals, weights, names, False))
     return out.withColumn("weights", F.array_join(F.transform(F.map_entries("weights"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";"))
 
 
 @query("a03_journal_totals", f"{_WITH_ARTICLES} SELECT key, round(CAST(sum(w) AS DOUBLE), 4) AS total FROM articles JOIN strict USING (journal_id) GROUP BY key")
 def journal_totals(spark, sf_dir):
-    articles, _, journals, weights, names = _frames(spark, sf_dir)
+    articles, _, journals, weights, names = _frames(spark, sf_dir, False)
     return md.journal_totals(articles, journals, md.journal_profile(journals, weights, names, False))
 
 

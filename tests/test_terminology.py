@@ -161,3 +161,15 @@ def test_kept_tables_are_read_again_and_follow_changes(spark, tmp_path, monkeypa
         make(rows[:2]).depths()
     monkeypatch.undo()
     assert rows_of(make(rows[:2]).depths()) == [("A", 1), ("B", 2)]
+
+
+def test_a_name_of_many_concepts_is_never_one_row(spark):
+    t = terms(spark, [(f"C{i}", "  Same  name" if i % 2 else "same Name", [], [], [], []) for i in range(40)] + [("C1", "same name", [], [], [], []), ("D", "other", [], [], [], []), (None, "other", [], [], [], []), ("E", None, [], [], [], [])])
+    rows = spark.createDataFrame([("SAME NAME", 1), ("Other", 2), ("none", 3), (None, 4), ("SAME NAME", 5)], "term string, n int")
+    found = t.named(rows, "term")
+    assert found.columns == ["term", "n", "share", "ui"]
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = [("SAME NAME", n, 1 / 40, f"C{i}") for n in (1, 5) for i in range(40)] + [("Other", 2, 1.0, "D")]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    weights = spark.createDataFrame([(f"C{i}", "k", 0.5) for i in range(40)] + [("D", "z", 1.0)], "ui string, key string, w double")
+    assert sorted((r.term, r.key, round(r.w, 9)) for r in t.topic_weights(rows, "term", weights).collect()) == [("Other", "z", 1.0), ("SAME NAME", "k", 0.5)]
