@@ -9,23 +9,25 @@ doesn't begin a sentence.  One aggregation counts every word together with what
     starters        words that begin sentences more often than chance
     case            whether a word is seen in capitals or not, at the beginning and in the middle of sentences
 
-A model is two tables.  Texts are cut at every possible boundary into segments; the distinct pairs of words around
-them are decided by joins with the model, and the few pairs that don't end a sentence are joined back.
+A model is two tables.  A sentence ends at every possible boundary but those behind an ellipsis, an initial, a number or
+an abbreviation that the model decides otherwise; only these few are joined with it, and back to their texts.
 
-Expressions that look into a word run on distinct words only: texts are counted as pairs of chunks between spaces, of
-which the first is kept only if it may end a sentence.
+Tasks look for chunks and boundaries (``functions/chunks.py``) and count pairs of chunks between spaces, of which the
+first is kept only if it may end a sentence; expressions that look into a word run on distinct words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexiscope.plans.storage import removed, settled, written
+from lexiscope.functions import chunks
+from lexiscope.plans.storage import removed, written
 
 SPACE = r"[ \t\n\x0B\f\r]"
 DARK = r"[^ \t\n\x0B\f\r]"
@@ -33,10 +35,6 @@ OPENING = r"""^["'(\[{«“‘*]+"""
 CLOSING = r"""["')\]}»”’*]"""
 #: Marks a cut; it is no character, and a text that holds it loses it.
 CUT = "\uffff"
-#: A chunk with nothing between its quotes, brackets and commas, and one that may end a sentence.
-EMPTY, CLOSED = r"""^["'(\[{«“‘*]*["')\]}»”’*,;:]*\z""", r"""[.!?]["')\]}»”’*,;:]*$"""
-#: A chunk whose full stop may not end a sentence.
-DOUBTFUL = r"""\.["')\]}»”’*]*$"""
 NUMBER = "##number##"
 #: Thresholds of the published method: score of abbreviations, log-likelihoods of collocations and starters, and the
 #: least times that a pair and a starter are seen.
@@ -75,7 +73,8 @@ def word(core: Column) -> Column:
 
 def case(core: Column) -> Column:
     """U or L by the first character, - if it has no case."""
-    return F.when(core.rlike(r"^\p{Lu}"), "U").when(core.rlike(r"^\p{Ll}"), "L").otherwise("-")
+    first = F.substring(core, 1, 1)
+    return F.when(first.between("a", "z"), "L").when(first.between("A", "Z"), "U").when(core.rlike(r"^\p{Lu}"), "U").when(core.rlike(r"^\p{Ll}"), "L").otherwise("-")
 
 
 def stop(chunk: Column, core: Column) -> Column:
@@ -87,17 +86,17 @@ def stop(chunk: Column, core: Column) -> Column:
 def context_counts(text: DataFrame, column: str = "text") -> DataFrame:
     """``(before, word, period, case, n)``: how often each word stands with and without a stop behind it, in capitals or
     not, behind what (empty at the beginning of a text; else the stop of the chunk before it)."""
-    spaced = F.translate(F.coalesce(column, F.lit("")), "\t\n\x0B\f\r", " " * 5)
-    chunks = F.filter(F.split(spaced, " "), lambda c: c.between("a", "z~") | ~c.rlike(EMPTY))
-    listed = text.select(chunks.alias("c"))
-    rows = listed.select(F.explode(F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), "c").alias("y"), F.col("c").alias("chunk"))).alias("x")).select("x.*").filter("chunk IS NOT NULL")
-    y = F.col("y")
-    closed = (y.contains(".") | y.contains("!") | y.contains("?")) & y.rlike(CLOSED)
-    pairs = rows.groupBy(F.when(y.isNull() | closed, y).otherwise("-").alias("y"), "chunk").agg(F.count("*").alias("n"))
-    pairs = pairs.select("y", core(y).alias("y_core"), core(F.col("chunk")).alias("core"), "n")
+    rows = text.select(F.col(column).cast("string").cast("binary").alias("text")).mapInArrow(chunks.pair_counts, "y binary, chunk binary, n bigint")
+    pairs = rows.select(F.col("y").cast("string").alias("y"), F.col("chunk").cast("string").alias("chunk"), "n").groupBy("y", "chunk").agg(F.sum("n").alias("n"))
+    # Letters with at most a stop or comma behind them, which most chunks are, need no stripping.
+    y, plain = F.col("y"), F.col("plain")
+    pairs = pairs.withColumn("plain", F.col("chunk").rlike(r"^\p{L}+[.,]?\z")).withColumn("y_plain", F.coalesce(y.rlike(r"^\p{L}+\.\z"), F.lit(True)) | (y == "-"))
+    pairs = pairs.select("y", "y_plain", F.when(~F.col("y_plain"), core(y)).alias("y_core"), "plain", F.when(plain, F.col("chunk")).otherwise(core(F.col("chunk"))).alias("core"), "n")
     x = F.col("core")
-    before = F.when(y.isNull(), "").otherwise(stop(y, F.col("y_core")))
-    return pairs.select(before.alias("before"), word(x).alias("word"), x.rlike(r"\.$").alias("period"), case(x).alias("case"), "n").groupBy("before", "word", "period", "case").agg(F.sum("n").alias("n"))
+    before = F.when(y.isNull(), "").when(y == "-", "-").when(F.col("y_plain"), F.concat(F.lit("."), F.lower(F.rtrim(y, F.lit("."))))).otherwise(stop(y, F.col("y_core")))
+    told = F.when(plain, F.lower(F.rtrim(x, F.lit(".,")))).otherwise(word(x))
+    period = F.when(plain, x.endswith(".")).otherwise(x.rlike(r"\.$"))
+    return pairs.select(before.alias("before"), told.alias("word"), period.alias("period"), case(x).alias("case"), "n").groupBy("before", "word", "period", "case").agg(F.sum("n").alias("n"))
 
 
 # --- statistics -------------------------------------------------------------------------------------------
@@ -130,39 +129,50 @@ def pair_likelihood(a: Column, b: Column, both: Column, total: Column) -> Column
 
 def _special(word: Column) -> Column:
     """Initials and numbers."""
-    return word.rlike(r"^\p{L}$") | (word == NUMBER)
+    return ((F.length(word) <= 2) & word.rlike(r"^\p{L}$")) | (word == NUMBER)
+
+
+def _lettered() -> Column:
+    return F.col("word").rlike(r"\p{L}") & (F.col("word") != NUMBER)
 
 
 def learn(text: DataFrame, column: str = "text") -> SentenceModel:
     """The model of all texts of a column.  Null and empty texts say nothing; no texts give empty tables."""
-    counts = settled(context_counts(text, column))
+    counts = written(context_counts(text, column), "context-counts")
     n = lambda where: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0))
-    by_word = counts.groupBy("word").agg(n(F.col("period")).alias("with_stop"), n(~F.col("period")).alias("without"))
+    stopped = n(F.col("period")).alias("with_stop"), n(~F.col("period")).alias("without")
     sizes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), n(F.col("period")).alias("stops")).first()
     total = F.lit(sizes["total"])
-    scored = by_word.withColumn("score", abbreviation_score(F.col("with_stop"), F.col("without"), F.lit(sizes["stops"]), total, F.col("word")))
-    lettered = F.col("word").rlike(r"\p{L}") & (F.col("word") != NUMBER)
-    words = settled(scored.select("word", (F.col("with_stop") + F.col("without")).alias("seen"), (lettered & (F.col("with_stop") > 0) & (F.col("score") >= ABBREVIATION)).alias("abbreviation")))
+    score = abbreviation_score(F.col("with_stop"), F.col("without"), F.lit(sizes["stops"]), total, F.col("word"))
+    abbreviation = (F.col("with_stop") > 0) & _lettered() & (score >= ABBREVIATION)
+    short = written(counts.groupBy("word").agg(*stopped).filter(abbreviation).select(F.col("word").alias("left")), "abbreviations")
 
     # What stands before a word, now that abbreviations are known: a boundary, maybe one, or none.
     left = F.when(F.substring("before", 1, 1) == ".", F.expr("substring(before, 2)"))
-    held = words.select(F.col("word").alias("left"), F.col("abbreviation"), F.col("seen").alias("left_seen"))
-    placed = counts.withColumn("left", left).join(held, "left", "left")
-    doubtful = F.col("abbreviation") | _special(F.col("left"))
+    # No word holds a space, so rows without a word before the stop meet nothing, and are spread if the join is shuffled.
+    met = counts.withColumn("left", left).withColumn("_at", F.coalesce("left", F.concat(F.lit(" "), F.col("word"))))
+    placed = met.join(short.select(F.col("left").alias("_at"), F.lit(True).alias("known")), "_at", "left").drop("_at")
+    doubtful = F.col("known") | _special(F.col("left"))
     place = F.when(F.col("before") == "-", "middle").when((F.col("before") == "e") | F.coalesce(doubtful, F.lit(False)), "unknown").otherwise("begin")
-    placed = settled(placed.withColumn("place", place).select("left", "left_seen", "before", "word", "case", "place", "n"))
+    placed = placed.withColumn("place", place)
     upper, lower = F.col("case") == "U", F.col("case") == "L"
     after_stop = (F.col("place") == "begin") & (F.col("before") != "")
-    cases = placed.groupBy("word").agg(
-        F.max(upper & (F.col("place") == "middle")).alias("upper_middle"), F.max(upper).alias("upper"), F.max(lower).alias("lower"), F.max(lower & (F.col("place") == "begin")).alias("lower_begin"), n(after_stop).alias("begins")
+    stats = placed.groupBy("word").agg(
+        *stopped, F.sum("n").alias("seen"), F.max(upper & (F.col("place") == "middle")).alias("upper_middle"), F.max(upper).alias("upper"), F.max(lower).alias("lower"),
+        F.max(lower & (F.col("place") == "begin")).alias("lower_begin"), n(after_stop).alias("begins"),
     )
-    breaks = F.lit(placed.agg(n(after_stop).alias("breaks")).first()["breaks"])
-    starter = lettered & (F.col("begins") >= LEAST_STARTER) & (total * F.col("begins") > F.col("seen") * breaks) & (pair_likelihood(breaks, F.col("seen"), F.col("begins"), total) >= STARTER)
-    model = words.join(cases, "word").select("word", "abbreviation", F.coalesce(starter, F.lit(False)).alias("starter"), "upper_middle", "upper", "lower", "lower_begin")
-    over = placed.filter((F.col("place") == "unknown") & F.col("left").isNotNull()).filter(lettered).groupBy("left", "left_seen", "word").agg(F.sum("n").alias("both"))
-    joined = over.join(words.select("word", "seen"), "word")
-    bound = (F.col("both") >= LEAST_PAIR) & (total * F.col("both") > F.col("left_seen") * F.col("seen")) & (pair_likelihood(F.col("left_seen"), F.col("seen"), F.col("both"), total) >= COLLOCATION)
-    return SentenceModel(settled(model), settled(joined.filter(bound).select(F.col("left").alias("word"), F.col("word").alias("next"))))
+    stats = written(stats, "word-counts")
+    breaks = F.lit(stats.agg(F.sum("begins").alias("breaks")).first()["breaks"] or 0)
+    starter = (F.col("begins") >= LEAST_STARTER) & _lettered() & (total * F.col("begins") > F.col("seen") * breaks) & (pair_likelihood(breaks, F.col("seen"), F.col("begins"), total) >= STARTER)
+    model = stats.select("word", abbreviation.alias("abbreviation"), F.coalesce(starter, F.lit(False)).alias("starter"), "upper_middle", "upper", "lower", "lower_begin")
+    model = written(model, "sentence-words")
+    over = counts.filter(F.col("before").startswith(".")).withColumn("left", left).join(short.withColumn("known", F.lit(True)), "left", "left").filter(F.col("known") | _special(F.col("left"))).filter(_lettered()).groupBy("left", "word").agg(F.sum("n").alias("both"))
+    over = written(over.filter(F.col("both") >= LEAST_PAIR), "pairs-over-stops")
+    joined = over.join(stats.select("word", "seen"), "word").join(stats.select(F.col("word").alias("left"), F.col("seen").alias("left_seen")), "left")
+    bound = (total * F.col("both") > F.col("left_seen") * F.col("seen")) & (pair_likelihood(F.col("left_seen"), F.col("seen"), F.col("both"), total) >= COLLOCATION)
+    pairs = written(joined.filter(bound).select(F.col("left").alias("word"), F.col("word").alias("next")), "word-pairs")
+    removed(counts, short, over, stats)
+    return SentenceModel(model, pairs)
 
 
 # --- decisions --------------------------------------------------------------------------------------------
@@ -181,17 +191,15 @@ def _last(segment: Column) -> Column:
     return F.regexp_extract(piece, f"(?<!{DARK})({DARK}++)$", 1)
 
 
-def _first(segment: Column) -> Column:
-    return F.regexp_extract(segment, f"^{SPACE}*({DARK}+)", 1)
-
-
 def undecided(model: SentenceModel, around: DataFrame) -> DataFrame:
     """Those of the pairs ``(before, word, case)`` that don't end a sentence."""
     left = F.when(F.substring("before", 1, 1) == ".", F.expr("substring(before, 2)"))
+    wanted = around.select(F.explode(F.array("word", left)).alias("word")).filter("word IS NOT NULL").distinct()
+    words = written(model.words.join(wanted, "word", "left_semi"), "words-asked")
     flags = ("starter", "upper_middle", "upper", "lower", "lower_begin")
-    known = model.words.select("word", *flags)
+    known = words.select("word", *flags)
     rows = around.filter("before NOT IN ('!', '-')").withColumn("left", left).join(known, "word", "left").na.fill(False, list(flags))
-    rows = rows.join(model.words.select(F.col("word").alias("left"), "abbreviation"), "left", "left").na.fill(False, ["abbreviation"])
+    rows = rows.join(words.select(F.col("word").alias("left"), "abbreviation"), "left", "left").na.fill(False, ["abbreviation"])
     rows = rows.join(model.pairs.select(F.col("word").alias("left"), F.col("next").alias("word"), F.lit(True).alias("pair")), ["left", "word"], "left").na.fill(False, ["pair"])
     initial, number = F.col("left").rlike(r"^\p{L}$"), F.col("left") == NUMBER
     upper, lower = F.col("case") == "U", F.col("case") == "L"
@@ -205,31 +213,57 @@ def undecided(model: SentenceModel, around: DataFrame) -> DataFrame:
     return rows.filter(~ends).select("before", "word", "case")
 
 
-def segments(passages: DataFrame, keys: Sequence[str], model: SentenceModel, column: str = "text", **measures: Column) -> DataFrame:
-    """``(*keys, at, segment, ends)``: texts cut at every possible boundary, and whether a sentence ends there.  ``keys``
-    name one row.  The last segment of a text ends; empty and null texts have one row with a null segment.  With
-    ``measures``, columns of ``segment``, these stand in its place, so that no join carries the texts."""
-    listed = passages.select(*keys, _cut(F.col(column)).alias("s"))
-    each = listed.select(*keys, F.posexplode_outer(F.arrays_zip(F.col("s").alias("segment"), F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))).alias("then"))).alias("at", "x"))
-    each = each.select(*keys, "at", F.col("x.segment").alias("segment"), F.col("x.then").alias("then"))
-    # Only the chunks on both sides of a boundary; one that surely ends is a boundary without the chunk after it.
-    last = each.withColumn("last", F.when(F.col("then").isNotNull(), _last(F.col("segment"))))
-    around = last.select(*keys, "at", *([c.alias(n) for n, c in measures.items()] or ["segment"]), "last", F.when(F.col("last").rlike(DOUBTFUL), _first(F.col("then"))).alias("first"))
-    distinct = around.filter("first IS NOT NULL").select("last", "first").distinct()
-    cored = distinct.select("last", "first", core(F.col("last")).alias("last_core"), core(F.col("first")).alias("core"))
-    judged = written(cored.select("last", "first", stop(F.col("last"), F.col("last_core")).alias("before"), word(F.col("core")).alias("word"), case(F.col("core")).alias("case")), "boundaries")
+def going_on(passages: DataFrame, keys: Sequence[str], model: SentenceModel, column: str = "text") -> DataFrame:
+    """``(*keys, _text, at)``, written: the possible boundaries, numbered from 0 in each text, at which no sentence ends.
+    ``_text`` is a hash of the text, so that rows of the same keys stay apart."""
+    named = [*keys, "_text"]
+    rows = passages.select(*keys, _text_hash(column).alias("_text"), F.col(column).cast("string").cast("binary").alias("_bytes"))
+    schema = T.StructType([*rows.select(*named).schema.fields, T.StructField("at", T.IntegerType()), T.StructField("last", T.BinaryType()), T.StructField("first", T.BinaryType())])
+    around = rows.mapInArrow(chunks.doubtful_boundaries(named), schema).select(*named, "at", *(F.col(c).cast("string").alias(c) for c in ("last", "first")))
+    # A sentence goes on only behind an ellipsis, an initial, a number or an abbreviation; so few boundaries are looked at.
+    simple = F.col("last").rlike(r"^[A-Za-z]+\.\z")
+    around = around.withColumn("last_core", F.when(~simple, core(F.col("last"))))
+    before = F.when(simple, F.lower(F.concat(F.lit("."), F.expr("substring(last, 1, length(last) - 1)")))).otherwise(stop(F.col("last"), F.col("last_core")))
+    around = around.select(*named, "at", "first", before.alias("before"))
+    around = around.withColumn("left", F.when(F.substring("before", 1, 1) == ".", F.expr("substring(before, 2)")))
+    short = written(model.words.filter("abbreviation").select(F.col("word").alias("left"), F.lit(True).alias("known")), "abbreviations")
+    around = around.join(short, "left", "left").filter((F.col("before") == "e") | F.col("known") | _special(F.col("left")))
+    around = around.select(*named, "at", "before", core(F.col("first")).alias("core"))
+    judged = written(around.select(*named, "at", "before", word(F.col("core")).alias("word"), case(F.col("core")).alias("case")), "boundaries")
     going = undecided(model, judged.select("before", "word", "case").distinct())
-    # Rows without such a boundary meet nothing; a hash instead of null spreads them if the join is shuffled.
-    spread = F.when(F.col("first").isNull(), F.xxhash64(*keys, "at").cast("string")).otherwise(F.col("last"))
-    kept = written(judged.join(going, ["before", "word", "case"]).select("last", "first"), "undecided").withColumn("goes_on", F.lit(True))
-    removed(judged)
-    return around.withColumn("last", spread).join(kept, ["last", "first"], "left").withColumn("ends", F.col("goes_on").isNull()).drop("last", "first", "goes_on")
+    kept = written(judged.join(going, ["before", "word", "case"]).select(*named, "at").distinct(), "undecided")
+    removed(short, judged)
+    return kept
+
+
+def _text_hash(column: str) -> Column:
+    return F.xxhash64(F.col(column).cast("string"))
+
+
+def _met(keys: Sequence[str], going: DataFrame, found: Column, name: str):
+    """``going`` by row under other names, and the condition that joins it, null keys included."""
+    named = [*keys, "_text"]
+    by_row = going.groupBy(*named).agg(found.alias(name)).select(*(F.col(k).alias(f"_of_{i}") for i, k in enumerate(named)), name)
+    return by_row, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(named)))
+
+
+def sentence_counts(passages: DataFrame, keys: Sequence[str], model: SentenceModel, column: str = "text", **measures: Column) -> DataFrame:
+    """``(*keys, *measures, sentences)``: the number of sentences of each row, without the texts, beside other expressions of it."""
+    going = going_on(passages, keys, model, column)
+    text = F.replace(F.coalesce(column, F.lit("")), F.lit(CUT), F.lit(""))
+    boundary = f"[.!?]{CLOSING}*{SPACE}+"
+    closed = F.substring(text, -1, 1).isin(*" \t\n\x0b\f\r") & F.rtrim(text, F.lit(" \t\n\x0b\f\r")).rlike(f"[.!?]{CLOSING}*\\z")
+    most = F.when(text.rlike(DARK), F.regexp_count(text, F.lit(boundary)) + F.when(closed, 0).otherwise(1)).otherwise(0)
+    sizes = passages.select(*keys, _text_hash(column).alias("_text"), *(c.alias(n) for n, c in measures.items()), most.alias("_most"))
+    on, same = _met(keys, going, F.count("*"), "_on")
+    return sizes.join(on, same, "left").select(*keys, *measures, (F.col("_most") - F.coalesce("_on", F.lit(0))).alias("sentences"))
 
 
 def split(passages: DataFrame, keys: Sequence[str], model: SentenceModel, column: str = "text") -> DataFrame:
     """``(*keys, sentence_no, sentence)``: the sentences of each text in order, from 0, trimmed; blank ones are left out."""
-    order = W.partitionBy(*keys).orderBy("at")
-    numbered = segments(passages, keys, model, column).withColumn("sentence_no", F.coalesce(F.sum(F.col("ends").cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    whole = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("at", "segment"))), lambda x: x.segment))
-    trimmed = F.regexp_replace(whole, f"^{SPACE}+|{SPACE}+$", "")
-    return numbered.groupBy(*keys, "sentence_no").agg(trimmed.alias("sentence")).filter("sentence <> ''")
+    going = going_on(passages, keys, model, column)
+    rows = passages.select(*keys, _text_hash(column).alias("_text"), F.col(column).cast("string").cast("binary").alias("_bytes"))
+    on, same = _met(keys, going, F.collect_list("at"), "_on")
+    rows = rows.join(on, same, "left").select(*keys, "_bytes", "_on")
+    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("sentence_no", T.IntegerType()), T.StructField("sentence", T.BinaryType())])
+    return rows.mapInArrow(chunks.split_sentences(list(keys)), schema).withColumn("sentence", F.col("sentence").cast("string"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.functions.text import sentences, tokens
-from lexiscope.operators.sentences import DARK, SentenceModel, segments, split
+from lexiscope.operators.sentences import CUT, SentenceModel, sentence_counts, split
 
 KEYS = ["corpus", "subset", "document_id"]
 LEAF = "struct<identifier:string,resource:string,match_type:string>"
@@ -35,10 +35,8 @@ class Corpus:
     def passage_sizes(self) -> DataFrame:
         """Per passage: characters, sentences and tokens, without the texts."""
         if self.sentence_model:
-            text = F.coalesce("segment", F.lit(""))
-            each = segments(self.passages, [*KEYS, "passage_no"], self.sentence_model, chars=F.length(text), dark=text.rlike(DARK), tokens=F.size(tokens(text)))
-            sizes = (F.sum("chars").alias("chars"), F.count(F.when(F.col("ends") & F.col("dark"), 1)).alias("sentences"), F.sum("tokens").alias("tokens"))
-            return each.groupBy(*KEYS, "passage_no").agg(*sizes).drop("passage_no")
+            text = F.replace(F.coalesce("text", F.lit("")), F.lit(CUT), F.lit(""))
+            return sentence_counts(self.passages, [*KEYS, "passage_no"], self.sentence_model, chars=F.length(text), tokens=F.size(tokens(text))).drop("passage_no")
         return self.passages.select(*KEYS, F.length("text").alias("chars"), F.size(sentences(F.col("text"))).alias("sentences"), F.size(tokens(F.col("text"))).alias("tokens"))
 
     def document_sizes(self) -> DataFrame:
