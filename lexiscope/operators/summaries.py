@@ -101,15 +101,19 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def _figures(annotations: DataFrame, scopes: Mapping[str, Sequence[str]]) -> DataFrame:
-    """``(KEYS, figures)``: what is distinct in a document is found by grouping, so that a document with very many
-    annotations is spread and no set of its texts is held in memory; its row has one entry a label and scope."""
+    """``(KEYS, figures)``: annotations are shuffled once, by document, and what is distinct in a document is found there by
+    grouping, which spills, so that no set of its texts is held in memory; its row has one entry a label and scope."""
     named = [F.when(F.col("label").isin(*labels), F.lit(name)) for name, labels in scopes.items() if labels]
     every = F.array_compact(F.array(F.lit(ALL), *named))
-    row = lambda kind, scope, value: F.struct(F.lit(kind).alias("kind"), scope.cast("string").alias("scope"), value.cast("string").alias("value"))
-    mentions = F.transform(every, lambda s: row("mentions", s, F.col("text")))
-    identifiers = F.flatten(F.transform(every, lambda s: F.transform("links", lambda x: row("identifiers", s, x["identifier"]))))
-    rows = annotations.select(*KEYS, F.explode(F.concat(F.array(row("annotations", F.lit(None), F.col("label"))), mentions, identifiers)).alias("x")).select(*KEYS, "x.*")
-    told = rows.groupBy(*KEYS, "kind", "scope", "value").agg(F.count("*").alias("n"))
+    row = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    identifiers = F.transform("identifiers", lambda x: row("identifiers", x))
+    dealt = annotations.select(*KEYS, "label", "text", F.transform("links", lambda x: x["identifier"]).alias("identifiers")).repartition(*KEYS)
+    rows = dealt.select(*KEYS, "label", F.explode(F.concat(F.array(row("annotations", F.col("label")), row("mentions", F.col("text"))), identifiers)).alias("x"))
+    # Scopes follow from labels, so a value comes once for each of its labels here and once for each scope below.
+    told = rows.groupBy(*KEYS, "label", "x").agg(F.count("*").alias("n"))
+    counted = F.col("x.kind") == "annotations"
+    scoped = told.select(*KEYS, F.explode(F.when(counted, F.array(F.lit(None).cast("string"))).otherwise(every)).alias("scope"), "x.*", "n")
+    told = scoped.groupBy(*KEYS, "kind", "scope", "value").agg(F.sum("n").alias("n"))
     label = F.when(F.col("kind") == "annotations", F.col("value"))
     # A missing text is no mention; a missing identifier is one value, NIL.
     n = F.when(F.col("kind") == "annotations", F.col("n")).when((F.col("kind") == "mentions") & F.col("value").isNull(), 0).otherwise(1)
