@@ -12,7 +12,7 @@ changed concept or topic has another digest; a table that nothing names any more
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lexiscope.functions.text import concept_key, folded, resource_key, tree_prefixes
 from lexiscope.plans.storage import content_digest, persisted, removed, settled, written
+from lexiscope.plans.targets import at_targets, with_scopes
 
 DIGITS = 8
 #: Levels after which a graph is taken to have a cycle.
@@ -293,6 +294,20 @@ def accepted_ids(leaves: DataFrame, terminology: Terminology) -> DataFrame:
     return kept.groupBy(*BY, F.col("identifier").alias("id")).agg(F.count("*").alias("n"))
 
 
+def counted_leaves(annotations: DataFrame) -> DataFrame:
+    """``(corpus, subset, label, id, resource, n)``: how often each identifier is linked, written.  Annotations are read
+    once for all terminologies, and counted before targets and scopes multiply them or resources are looked at."""
+    flat = annotations.select("corpus", "subset", "label", F.explode("links").alias("leaf")).filter("leaf.identifier is not null")
+    counted = flat.groupBy("corpus", "subset", "label", F.col("leaf.identifier").alias("id"), F.col("leaf.resource").alias("resource")).agg(F.count("*").alias("n"))
+    return written(counted, "leaves")
+
+
+def linked_ids(counted: DataFrame, targets: DataFrame, scopes: Mapping[str, Sequence[str]] | None, terminology: Terminology) -> DataFrame:
+    """``(target, scope, id, n)``: the identifiers of the terminology's resources in ``counted_leaves``."""
+    kept = with_scopes(counted.filter(terminology.accepts(F.col("resource"))), scopes)
+    return at_targets(kept, targets).groupBy(*BY, "id").agg(F.sum("n").alias("n"))
+
+
 def branch_coverage(ids: DataFrame, terminology: Terminology, weights: DataFrame, topics: DataFrame | None = None) -> DataFrame:
     """Per target, scope and branch (or topic): mass of unique concepts, of mentions, and of the terminology,
     and the two proportions.  ``topics(key)`` are listed even without any mass; then so is every key of the
@@ -318,7 +333,7 @@ def branch_coverage(ids: DataFrame, terminology: Terminology, weights: DataFrame
 
 def depth_coverage(ids: DataFrame, terminology: Terminology) -> DataFrame:
     """Per target, scope and depth: mass of all mentions, of the terminology, and the share of the mentions'."""
-    weights = settled(terminology.depth_weights())
+    weights, ids = settled(terminology.depth_weights()), settled(ids)
     mass = terminology.resolved(ids, "id").filter("ui is not null").join(weights, "ui").groupBy(*BY, F.col("key").alias("depth")).agg(F.sum(F.col("w") * F.col("n")).alias("count"))
     whole = terminology.totals(weights).select(F.col("key").alias("depth"), "total")
     every = _for_each_target(whole, ids)

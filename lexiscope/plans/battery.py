@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from lexiscope.operators.metrics import METRICS
 from lexiscope.operators.summaries import NEEDS, Summary, summary_for
+from lexiscope.operators.terminology import counted_leaves
 from lexiscope.plans.frames import Corpus
 from lexiscope.plans.resources import RESOURCE_METRICS, TERMINOLOGY_READERS, Resources, read_terminology
 from lexiscope.plans.targets import ALL, AnnotationFilter, target_frame
@@ -155,6 +156,9 @@ class Battery:
         used = {m.get("terminology") for m in self.metrics}
         read = {k: read_terminology(spark, **v) for k, v in self.terminologies.items() if k in used and k not in resources.terminologies}
         resources = replace(resources, terminologies={**read, **resources.terminologies})
+        linked = [m for m in self.metrics if m["metric"] in RESOURCE_METRICS and RESOURCE_METRICS[m["metric"]].scoped]
+        if len(linked) > 1 and resources.leaves is None:
+            resources = replace(resources, leaves=counted_leaves(corpus.annotations))
         out = {}
         for m in self.metrics:
             if more := RESOURCE_METRICS.get(m["metric"]):

@@ -16,7 +16,7 @@ from lexiscope.operators import metadata as md
 from lexiscope.operators import terminology as tm
 from lexiscope.plans.queries import _ORDERS, ORDER_TARGETS, SCOPES
 from lexiscope.plans.storage import terminology_home
-from lexiscope.plans.targets import at_targets, target_frame, with_scopes
+from lexiscope.plans.targets import target_frame
 from lexiscope.sources import tables as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,15 +43,12 @@ def places(spark: SparkSession, sf_dir: str) -> tm.Terminology:
 
 
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mentions = with_scopes(tb.order_corpus(spark, sf_dir).annotations, SCOPES)
-    rows = mentions.select("corpus", "subset", "scope", F.explode("links").alias("leaf")).groupBy("corpus", "subset", "scope", "leaf.identifier", "leaf.resource").agg(F.count("*").alias("n"))
-    return at_targets(rows, target_frame(spark, ORDER_TARGETS))
+    return tm.counted_leaves(tb.order_corpus(spark, sf_dir).annotations)
 
 
-def ids(spark: SparkSession, sf_dir: str, terminology: tm.Terminology) -> DataFrame:
-    """``(target, scope, id, n)`` from leaves counted per subset."""
-    kept = leaves(spark, sf_dir).filter(F.col("identifier").isNotNull() & terminology.accepts(F.col("resource")))
-    return kept.groupBy("target", "scope", F.col("identifier").alias("id")).agg(F.sum("n").alias("n"))
+def ids(spark: SparkSession, sf_dir: str, terminology: tm.Terminology, counted: DataFrame | None = None) -> DataFrame:
+    """``(target, scope, id, n)`` from ``counted`` leaves, or those of the orders."""
+    return tm.linked_ids(leaves(spark, sf_dir) if counted is None else counted, target_frame(spark, ORDER_TARGETS), SCOPES, terminology)
 
 
 def part_anchor_weights(spark: SparkSession, sf_dir: str, terminology: tm.Terminology | None = None) -> DataFrame:
@@ -202,9 +199,9 @@ def resolve_identifiers(spark, sf_dir):
 
 
 @query("m48_high_level_concept_counts", _coverage("branch"))
-def high_level_concept_counts(spark, sf_dir):
+def high_level_concept_counts(spark, sf_dir, found=None):
     parts_ = parts(spark, sf_dir)
-    return tm.branch_coverage(ids(spark, sf_dir, parts_), parts_, parts_.branch_weights())
+    return tm.branch_coverage(ids(spark, sf_dir, parts_) if found is None else found, parts_, parts_.branch_weights())
 
 
 @query("m48_high_level_concept_counts_by_topic", _coverage("anchored", "SELECT key FROM anchored UNION SELECT topic FROM topics"))
@@ -217,9 +214,9 @@ def concept_counts_by_topic(spark, sf_dir):
 @query("m49_concept_depth_counts", f"""{_ORDERS}, {_SUPP_IDS}, total AS (SELECT target, scope, CAST(sum(n) AS DOUBLE) AS c FROM ids GROUP BY ALL),
     whole(depth, t) AS (SELECT 1, (SELECT count(*) FROM region) UNION ALL SELECT 2, (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier))
     SELECT target, scope, depth, CASE WHEN depth = 2 THEN c ELSE 0 END AS count, CAST(t AS DOUBLE) AS terminology_total, CASE WHEN depth = 2 THEN 1.0::DOUBLE ELSE 0 END AS share FROM total, whole""")
-def concept_depth_counts(spark, sf_dir):
+def concept_depth_counts(spark, sf_dir, found=None):
     places_ = places(spark, sf_dir)
-    return tm.depth_coverage(ids(spark, sf_dir, places_), places_)
+    return tm.depth_coverage(ids(spark, sf_dir, places_) if found is None else found, places_)
 
 
 @query("j05_missing_identifiers", f"{_ORDERS}, {_PART_IDS} SELECT DISTINCT target, scope, id FROM ids WHERE CAST(id AS BIGINT) % 7 = 0")
@@ -230,10 +227,10 @@ def missing_identifiers(spark, sf_dir):
 
 
 @query("d07_coverage_summary", f"""{_ORDERS}, {_PART_IDS} SELECT target, scope, CAST(sum(n) AS BIGINT) AS n_input_ids, count(*) AS n_unique_ids, count(*) FILTER (CAST(id AS BIGINT) % 7 = 0) AS n_missing_ids FROM ids GROUP BY target, scope""")
-def coverage_summary(spark, sf_dir):
+def coverage_summary(spark, sf_dir, found=None):
     whole = tb.part_concepts(spark, sf_dir).filter("not (ui like 'part:%' and seq % 7 = 0)")
     some = tm.Terminology(whole, "part", tuple(f"Brand#{i}" for i in range(1, 26)))
-    return tm.coverage_summary(ids(spark, sf_dir, some), some)
+    return tm.coverage_summary(ids(spark, sf_dir, some) if found is None else found, some)
 
 
 # --- metadata ---------------------------------------------------------------------------------------------

@@ -18,7 +18,6 @@ from lexiscope.operators import terminology as tm
 from lexiscope.operators.metrics import METRICS
 from lexiscope.plans.frames import Corpus
 from lexiscope.plans.storage import terminology_home
-from lexiscope.plans.targets import at_targets, with_scopes
 
 TERMINOLOGY_READERS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -57,7 +56,8 @@ def read_terminology(spark: SparkSession, reader: str, prefix: str | None = None
 class Resources:
     """``articles(corpus, subset, document_id, journal, journal_id, pub_year, mesh_topics)``, ``journals(journal_id,
     name, mesh_topics)``, terminologies by name, ``term_topics(term, topic)``, ``anchors(id, label)`` and
-    ``name_topics(name, topics)``; a metric says which of them it lacks."""
+    ``name_topics(name, topics)``; a metric says which of them it lacks.  ``leaves`` are the corpus's, counted for all
+    metrics that look identifiers up; where there are none, each counts them."""
 
     articles: DataFrame | None = None
     journals: DataFrame | None = None
@@ -65,6 +65,7 @@ class Resources:
     term_topics: DataFrame | None = None
     anchors: DataFrame | None = None
     name_topics: DataFrame | None = None
+    leaves: DataFrame | None = None
 
     def need(self, name: str) -> DataFrame:
         found = getattr(self, name)
@@ -148,12 +149,10 @@ def article_mesh_topic_distribution(corpus, targets, scopes, resources, name):
     return md.article_topic_distribution(resources.need("articles"), targets, weights, resources.profile(weights, True))
 
 
-def linked_ids(corpus: Corpus, targets: DataFrame, scopes, found: tm.Terminology) -> DataFrame:
-    """``(target, scope, id, n)``: identifiers of the terminology's resources, counted per subset before targets."""
-    mentions = with_scopes(corpus.annotations, scopes).select("corpus", "subset", "scope", F.explode("links").alias("leaf"))
-    kept = mentions.filter(F.col("leaf.identifier").isNotNull() & found.accepts(F.col("leaf.resource")))
-    counted = kept.groupBy("corpus", "subset", "scope", F.col("leaf.identifier").alias("id")).agg(F.count("*").alias("n"))
-    return at_targets(counted, targets).groupBy("target", "scope", "id").agg(F.sum("n").alias("n"))
+def linked_ids(corpus: Corpus, targets: DataFrame, scopes, resources: Resources, found: tm.Terminology) -> DataFrame:
+    """``(target, scope, id, n)``: identifiers of the terminology's resources."""
+    counted = tm.counted_leaves(corpus.annotations) if resources.leaves is None else resources.leaves
+    return tm.linked_ids(counted, targets, scopes, found)
 
 
 @resource_metric("high_level_concept_counts", scoped=True, terminology=True)
@@ -161,10 +160,10 @@ def high_level_concept_counts(corpus, targets, scopes, resources, name):
     found = resources.terminology(name)
     topics = resources.term_topics
     listed = topics if topics is None else topics.select(F.col("topic").alias("key")).distinct()
-    return tm.branch_coverage(linked_ids(corpus, targets, scopes, found), found, resources.weights(name), listed)
+    return tm.branch_coverage(linked_ids(corpus, targets, scopes, resources, found), found, resources.weights(name), listed)
 
 
 @resource_metric("concept_depth_counts", scoped=True, terminology=True)
 def concept_depth_counts(corpus, targets, scopes, resources, name):
     found = resources.terminology(name)
-    return tm.depth_coverage(linked_ids(corpus, targets, scopes, found), found)
+    return tm.depth_coverage(linked_ids(corpus, targets, scopes, resources, found), found)

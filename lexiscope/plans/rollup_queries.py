@@ -16,6 +16,7 @@ from lexiscope.operators import summaries as sm
 from lexiscope.plans import graph_queries as gq
 from lexiscope.plans import queries as mq
 from lexiscope.plans.frames import Corpus
+from lexiscope.plans.storage import written
 from lexiscope.plans.targets import AnnotationFilter, target_frame
 from lexiscope.sources import tables as tb
 from lexiscope.streaming import refresh
@@ -210,8 +211,11 @@ def decade_shares(spark, sf_dir):
     JOIN (SELECT target, scope, round(sum(count) / sum(terminology_total) * 100, 2) AS coverage FROM {_of('m48_high_level_concept_counts')} GROUP BY ALL) USING (target, scope)
     JOIN (SELECT target, scope, round(sum(depth * count) / sum(count), 2) AS mean_depth FROM {_of('m49_concept_depth_counts')} GROUP BY ALL) USING (target, scope)""")
 def terminology_summary(spark, sf_dir):
-    get = lambda n: _run(n, spark, sf_dir)
-    return ru.coverage_summary(get("m48_high_level_concept_counts"), get("m49_concept_depth_counts"), get("d07_coverage_summary"))
+    """All three parts from leaves that are counted once; two of them from the same ids."""
+    counted = gq.leaves(spark, sf_dir)
+    of_parts = written(gq.ids(spark, sf_dir, gq.parts(spark, sf_dir), counted), "part-ids")
+    of_places = gq.ids(spark, sf_dir, gq.places(spark, sf_dir), counted)
+    return ru.coverage_summary(gq.high_level_concept_counts(spark, sf_dir, of_parts), gq.concept_depth_counts(spark, sf_dir, of_places), gq.coverage_summary(spark, sf_dir, of_parts))
 
 
 @query("d08_scope_summary", f"""WITH lab AS (SELECT target, scope, count(*) AS n_types, CAST(sum(count) AS BIGINT) AS n_annotations FROM {_of('m36_label_distribution')} GROUP BY ALL)
