@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexiscope.functions.text import journal_key
 from lexiscope.operators.statistics import DIGITS, shares
+from lexiscope.plans.storage import written
 from lexiscope.plans.targets import ALL, at_targets
 
 UNKNOWN = "Unknown"
@@ -76,13 +77,22 @@ def treetop_distribution(articles: DataFrame, targets: DataFrame, journals: Data
     return _weighted(rows.select("corpus", "subset", F.coalesce("key", F.lit(UNKNOWN)).alias("key"), F.col("n").cast("double").alias("w")), targets)
 
 
+def _listed(articles: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, journal_id, size, term)``: an article's topics and their number; one row with a null term where there are none."""
+    size = F.coalesce(F.size("mesh_topics"), F.lit(0))
+    return articles.select(*keys, "journal_id", F.when(size > 0, size).otherwise(1).alias("size"), F.explode_outer(F.when(size > 0, F.col("mesh_topics"))).alias("term"))
+
+
 def article_parts(articles: DataFrame, topic_weights: DataFrame, profile: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, own, key, w)``: an article's topics in equal parts, each term brought to sum 1; a term that
     doesn't map, and an article without terms, takes the journal's profile or else Unknown.  ``own`` says that
     the weight came from the article's terms."""
+    return _placed(_listed(articles, keys).withColumn("part", 1.0 / F.col("size")), topic_weights, profile, keys)
+
+
+def _placed(terms: DataFrame, topic_weights: DataFrame, profile: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, own, key, w)`` of ``terms(keys, journal_id, part, term)``."""
     weights = normalised(topic_weights, ["term"])
-    size = F.coalesce(F.size("mesh_topics"), F.lit(0))
-    terms = articles.select(*keys, "journal_id", F.when(size > 0, 1.0 / size).otherwise(1.0).alias("part"), F.explode_outer(F.when(size > 0, F.col("mesh_topics"))).alias("term"))
     mapped = terms.join(weights, "term").select(*keys, F.lit(True).alias("own"), "key", (F.col("part") * F.col("w")).alias("w"))
     rest = terms.join(weights.select("term").distinct(), "term", "left_anti").groupBy(*keys, "journal_id").agg(F.sum("part").alias("part"))
     rest = rest.join(profile.select("journal_id", "key", "w"), "journal_id", "left")
@@ -90,9 +100,17 @@ def article_parts(articles: DataFrame, topic_weights: DataFrame, profile: DataFr
     return mapped.unionByName(filled).groupBy(*keys, "own", "key").agg(F.sum("w").alias("w"))
 
 
-def article_topic_distribution(articles: DataFrame, targets: DataFrame, topic_weights: DataFrame, profile: DataFrame) -> DataFrame:
-    keys = ["corpus", "subset", "document_id"]
-    return _weighted(article_parts(articles, topic_weights, profile, keys).select("corpus", "subset", "key", "w"), targets)
+def article_terms(articles: DataFrame) -> DataFrame:
+    """``(corpus, subset, journal_id, size, term, n)``: how many articles with ``size`` topics list a topic, written.  The
+    articles are read once for the topics that are to be looked up and for their distribution."""
+    keys = ["corpus", "subset"]
+    return written(_listed(articles, keys).groupBy(*keys, "journal_id", "size", "term").agg(F.count("*").alias("n")), "article-terms")
+
+
+def article_topic_distribution(terms: DataFrame, targets: DataFrame, topic_weights: DataFrame, profile: DataFrame) -> DataFrame:
+    """Topic mass of the articles' topics, ``terms`` from ``article_terms``; what doesn't map falls as in ``article_parts``."""
+    parts = terms.withColumn("part", F.col("n") / F.col("size"))
+    return _weighted(_placed(parts, topic_weights, profile, ["corpus", "subset"]).select("corpus", "subset", "key", "w"), targets)
 
 
 # --- audits -----------------------------------------------------------------------------------------------

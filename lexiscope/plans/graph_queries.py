@@ -275,8 +275,11 @@ def journal_mesh_topic_distribution(spark, sf_dir):
 
 @query("m42_article_mesh_topic_distribution", _shared("SELECT subset, key, w FROM parts", ", " + _PARTS))
 def article_mesh_topic_distribution(spark, sf_dir):
-    articles, targets, journals, weights, names = _frames(spark, sf_dir)
-    return md.article_topic_distribution(articles, targets, weights, md.journal_profile(journals, weights, names, True))
+    parts_, journals = parts(spark, sf_dir), tb.journals(spark)
+    listed = md.article_terms(tb.order_articles(spark, sf_dir))
+    terms = journals.select(F.explode("mesh_topics").alias("term")).unionByName(listed.select("term").filter("term is not null"))
+    weights = parts_.topic_weights(terms, "term", part_anchor_weights(spark, sf_dir, parts_))
+    return md.article_topic_distribution(listed, target_frame(spark, ORDER_TARGETS), weights, md.journal_profile(journals, weights, tb.name_topics(spark), True))
 
 
 @query("a01_terminology_mapping_audit", f"""WITH {_CONCEPTS}, {_TOPICS} SELECT c.ui, c.name, coalesce(string_agg(a.key || '=' || round(CAST(a.w AS DOUBLE), 4), ';' ORDER BY a.key), '') AS weights, coalesce(round(sum(CAST(a.w AS DOUBLE)), 8), 0) AS weight_sum

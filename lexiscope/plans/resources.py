@@ -85,11 +85,11 @@ class Resources:
             return found.branch_weights()
         return found.anchor_weights(self.term_topics, self.anchors) if self.anchors is not None else found.anchor_weights(self.term_topics)
 
-    def term_weights(self, name: str, own: bool) -> DataFrame:
-        """``(term, key, w)`` of the journals' terms, and of the articles' with ``own``."""
+    def term_weights(self, name: str, listed: DataFrame | None = None) -> DataFrame:
+        """``(term, key, w)`` of the journals' terms, and of those ``listed`` by articles."""
         terms = self.need("journals").select(F.explode("mesh_topics").alias("term"))
-        if own:
-            terms = terms.unionByName(self.need("articles").select(F.explode("mesh_topics").alias("term")))
+        if listed is not None:
+            terms = terms.unionByName(listed.select("term").filter("term is not null"))
         return self.terminology(name).topic_weights(terms.distinct(), "term", self.weights(name))
 
     def profile(self, weights: DataFrame, unmapped_too: bool) -> DataFrame:
@@ -139,14 +139,15 @@ def journal_topic_distribution(corpus, targets, scopes, resources, name):
 
 @resource_metric("journal_MeSH_topic_distribution", terminology=True)
 def journal_mesh_topic_distribution(corpus, targets, scopes, resources, name):
-    weights = resources.term_weights(name, own=False)
+    weights = resources.term_weights(name)
     return md.journal_topic_distribution(resources.need("articles"), targets, resources.profile(weights, False))
 
 
 @resource_metric("article_MeSH_topic_distribution", terminology=True)
 def article_mesh_topic_distribution(corpus, targets, scopes, resources, name):
-    weights = resources.term_weights(name, own=True)
-    return md.article_topic_distribution(resources.need("articles"), targets, weights, resources.profile(weights, True))
+    listed = md.article_terms(resources.need("articles"))
+    weights = resources.term_weights(name, listed)
+    return md.article_topic_distribution(listed, targets, weights, resources.profile(weights, True))
 
 
 def linked_ids(corpus: Corpus, targets: DataFrame, scopes, resources: Resources, found: tm.Terminology) -> DataFrame:

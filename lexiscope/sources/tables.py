@@ -103,9 +103,9 @@ def order_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as articles: the customer's market segment is the journal, the order's year the year, and the
     distinct types and brands of the parts in it the topics."""
     orders = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    part = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.array("p_type", "p_brand")).alias("term"))
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
     items = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    topics = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("term")).alias("mesh_topics"))
+    topics = items.groupBy("l_orderkey").agg(F.sort_array(F.array_union(F.collect_set("p_type"), F.collect_set("p_brand"))).alias("mesh_topics"))
     rows = orders.join(topics, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     key = F.col("o_orderkey")
     return rows.select(
