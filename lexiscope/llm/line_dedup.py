@@ -13,9 +13,11 @@ SimHash can't do this: the blocks that two lines at similarity 0.8 share are far
 README has the figures.)  The SimHash of a candidate's words then keeps unrelated lines from verification: a pair
 of lines that aren't short may differ in CLOSE of its 64 bits, or in DISTANCE if it meets in several buckets.
 
-A bucket with many variants of one line must not yield all its pairs: each line is first compared with one
-of its buckets' hubs (a bucket's smallest line), the one that it meets most often, and only pairs that are still in
-different components after that are looked at.
+A bucket with many variants of one line must not yield all its pairs.  A line's buckets' sizes tell how many variants
+it is near to: the original more than copies with changes at different places.  Each line is first compared with the
+most central line of one of its buckets, the one that it meets most often; then with up to HUBS central lines of each of
+its buckets, as far as it isn't connected with them; and only pairs that are still in different components after that
+are looked at, all of them.  Two short lines are compared where they meet, as their buckets tell little.
 Buckets are found by counting, so a crowded one is combined before it is shuffled, and joins on buckets, lines and
 groups have a plain exchange on both sides, so that adaptive execution can split a crowded key.  Texts and bucket
 rows that no candidate needs are dropped before the shuffle by a bitmap of fixed size.
@@ -38,6 +40,8 @@ SHORT, LONG = 64, 200
 CHUNK, CHUNK_SPACE = 6, 7
 #: Minima of a line, and the places that make up a band (counted from its own), of words and of trigrams.
 MINIMA, BANDS = 20, ((0, 1, 4, 6), (0, 1, 4, 6, 11))
+#: Hubs of a bucket.
+HUBS = 8
 #: Numbers of equal rows that are told off at a time.
 RUN = 65536
 #: A bitmap: so many parts of 32,768 bits (4 KB) each, 4 MB in all.
@@ -205,37 +209,77 @@ def line_groups(lines: DataFrame, marks: DataFrame) -> DataFrame:
     ``marks`` from ``signatures``, both written."""
     grams = materialize(trigram_signatures(lines), "line-trigrams")
     keyed = _banded(marks, 0).unionByName(_banded(grams, 1))
-    crowded = keyed.groupBy("key").agg(F.min("line").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
-    crowded = materialize(crowded, "line-buckets")
-    met = materialize(filtered(keyed, "key", crowded.select("key")).join(crowded, "key"), "line-hubs")
+    crowded = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "line-buckets")
+    met = materialize(filtered(keyed, "key", crowded.select("key")).join(crowded, "key"), "line-meetings")
     texts = candidate_texts(lines, met.select("line").distinct())
-    short = texts.select("line", "chars", "fp")
-    named = lambda end, name: short.select(F.col("line").alias(name), *(F.col(c).alias(c + end) for c in ("chars", "fp")))
-    starred = met.filter(F.col("line") != F.col("hub")).groupBy(F.col("hub").alias("a"), F.col("line").alias("b")).agg(F.count("*").alias("n"))
-    starred = starred.join(named("_a", "a"), "a").join(named("_b", "b"), "b").filter(_near("_a", "_b") & ((_bits("_a", "_b") <= CLOSE) | (F.col("n") > 1)))
-    best = F.max(F.struct("n", (-_bits("_a", "_b")).alias("bits"), "a")).alias("top")
-    starred = materialize(starred.groupBy("b").agg(best).select("top.a", "b"), "hub-pairs")
+    brief = F.when(F.col("chars") <= SHORT, F.col("norm")).alias("brief")
+    central = materialize(met.groupBy("line").agg(F.sum("n").alias("central")), "line-centres")
+    spots = materialize(met.select("key", "line").join(texts.select("line", "chars", "fp", brief).join(central, "line"), "line"), "line-spots")
+    # Each line and the hub that it meets most often.
+    ends = lambda end: [F.col(c).alias(c + end) for c in ("line", "chars", "fp", "brief")]
+    middle = spots.groupBy("key").agg(F.max(F.struct("central", "line", "chars", "fp", "brief")).alias("hub")).select("key", "hub.*").select("key", *ends("_a"))
+    starred = spots.select("key", *ends("_b")).join(middle, "key").filter((F.col("line_a") != F.col("line_b")) & _near("_a", "_b"))
+    starred = starred.groupBy(F.col("line_a").alias("a"), F.col("line_b").alias("b")).agg(F.min(_bits("_a", "_b")).alias("bits"), F.count("*").alias("n"))
+    best = F.max(F.struct("n", (-F.col("bits")).alias("bits"), "a")).alias("top")
+    starred = starred.filter((F.col("bits") <= CLOSE) | (F.col("n") > 1)).groupBy("b").agg(best).select("top.a", "b")
+    starred = materialize(starred, "hub-pairs")
     links = verified(texts, starred)
+    # Each line and the hubs of its buckets that it isn't connected with yet.
+    placed = _placed(spots, links)
+    leading = F.max(F.struct("central", "line", "chars", "fp", "brief", "root")).alias("hub")
+    hubs = materialize(placed.groupBy("key", "slot").agg(leading).select("key", "slot", "hub.*").drop("central"), "bucket-hubs")
+    spoke = placed.join(hubs.select("key", "slot", F.col("line").alias("first")), ["key", "slot"]).withColumn("leads", F.col("line") == F.col("first"))
+    spoke = materialize(spoke.select("key", "line", "leads", "chars", "fp", "brief", "root"), "placed-buckets")
+    rooted = lambda end: [*ends(end), F.col("root").alias(f"root{end}")]
+    once = ~F.col("leads") | (F.col("line_b") < F.col("line_a"))
+    apart = F.col("root_a") != F.col("root_b")
+    around = spoke.select("key", "leads", *rooted("_b")).join(hubs.select("key", *rooted("_a")), "key").filter(apart & once & _worth("_a", "_b"))
+    around = materialize(_asked(_unasked(around, starred)), "star-pairs")
+    more = links_across(texts, around)
+    # All other pairs that are still apart, each in the first bucket where it meets: of lines that both lead nothing,
+    # or whose nearness the number of their buckets decides.
+    links_so_far = materialize(links.select("a", "b").unionByName(more), "links-so-far")
+    again = _placed(spoke.drop("root"), links_so_far)
+    several = again.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    several = materialize(several, "open-buckets")
+    keys = met.groupBy("line").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    opened = materialize(again.join(several, "key").join(keys, "line"), "open-lines")
+    rooted = lambda end: [*ends(end), *(F.col(c).alias(c + end) for c in ("root", "leads", "keys"))]
+    one, two = opened.select("key", *rooted("_a")), opened.select("key", *rooted("_b"))
+    shared = F.array_intersect("keys_a", "keys_b")
+    first = (F.array_min(shared) == F.col("key")) & F.when(_bits("_a", "_b") <= CLOSE, ~(F.col("leads_a") | F.col("leads_b"))).otherwise(F.size(shared) > 1)
+    rest = one.join(two, "key").filter((F.col("root_a") < F.col("root_b")) & _worth("_a", "_b") & first)
+    rest = materialize(_unasked(rest, starred.unionByName(around.select("a", "b"))), "line-pairs")
+    last = links_across(texts, rest)
+    out = materialize(connected_components(links_so_far.unionByName(last), "a", "b").withColumnRenamed("node", "line"), "line-roots")
+    discard(grams, crowded, met, texts, central, spots, starred, links, placed, hubs, spoke, around, more, links_so_far, again, several, opened, rest, last)
+    return out
+
+
+def _placed(spots: DataFrame, links: DataFrame) -> DataFrame:
+    """``spots`` with ``root``, the component of each line, and ``slot``, by which a bucket's lines are dealt out, written."""
     roots = materialize(connected_components(links, "a", "b").withColumnRenamed("node", "line"), "hub-roots")
-    placed = met.select("key", "line").join(short, "line").join(roots, "line", "left").withColumn("root", F.coalesce("root", "line"))
-    placed = materialize(placed, "placed-buckets")
-    one, two = (placed.select("key", *(F.col(c).alias(c + end) for c in ("line", "chars", "fp", "root"))) for end in ("_a", "_b"))
-    across = (F.col("root_a") < F.col("root_b")) & _near("_a", "_b")
+    placed = spots.join(roots, "line", "left").withColumn("root", F.coalesce("root", "line")).withColumn("slot", F.pmod(F.xxhash64("line"), F.lit(HUBS)))
+    out = materialize(placed, "placed-lines")
+    discard(roots)
+    return out
+
+
+def _worth(a: str, b: str) -> Column:
+    """Near lines; of two short ones, which have no fingerprints, only similar ones, as their texts are at hand."""
+    longer = F.greatest(f"chars{a}", f"chars{b}")
+    alike = F.expr(f"levenshtein(brief{a}, brief{b}, cast(floor(greatest(chars{a}, chars{b}) * {1 - SIMILARITY:.6f}D + 1e-9D) as int)) >= 0")
+    return _near(a, b) & F.when(longer <= SHORT, alike).otherwise(True)
+
+
+def _unasked(met: DataFrame, asked: DataFrame) -> DataFrame:
+    """The pairs ``(a, b, bits, root_a, root_b)`` that are to be verified, of pairs in buckets, without those ``asked(a, b)``."""
     swapped = F.col("line_a") > F.col("line_b")
-    end = lambda c, a, b: F.when(swapped, F.col(f"{c}_{b}")).otherwise(F.col(f"{c}_{a}"))
-    rest = one.join(two, "key").filter(across).select(
+    end = lambda c, x, y: F.when(swapped, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}"))
+    pairs = met.select(
         end("line", "a", "b").alias("a"), end("line", "b", "a").alias("b"), end("root", "a", "b").alias("root_a"), end("root", "b", "a").alias("root_b"), _bits("_a", "_b").alias("bits")
     )
-    rest = materialize(_asked(rest).join(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "line-pairs")
-    more = links_across(texts, rest)
-    # What the hubs have connected is one node by now.
-    ends = more.join(roots.select(F.col("line").alias("a"), F.col("root").alias("root_a")), "a", "left").join(roots.select(F.col("line").alias("b"), F.col("root").alias("root_b")), "b", "left")
-    ends = materialize(ends.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")), "line-ends")
-    onward = connected_components(ends, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("last"))
-    known = roots.unionByName(ends.select(F.col("a").alias("line"), F.col("root_a").alias("root"))).unionByName(ends.select(F.col("b").alias("line"), F.col("root_b").alias("root"))).distinct()
-    out = materialize(known.join(onward, "root", "left").select("line", F.coalesce("last", "root").alias("root")), "line-roots")
-    discard(grams, crowded, met, texts, starred, links, roots, placed, rest, more, ends)
-    return out
+    return pairs.join(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def row_decisions(docs: DataFrame) -> DataFrame:
