@@ -207,14 +207,27 @@ def links_across(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 def line_groups(lines: DataFrame, marks: DataFrame) -> DataFrame:
     """``(line, root)`` for every line that is linked with another text, written; ``lines`` from ``line_table`` and
     ``marks`` from ``signatures``, both written."""
+    met = line_meetings(lines, marks)
+    return linked_groups(met, candidate_texts(lines, met.select("line").distinct()))
+
+
+def line_meetings(lines: DataFrame, marks: DataFrame) -> DataFrame:
+    """``(key, line, n)`` for each bucket of several lines and each line in it, written."""
     grams = materialize(trigram_signatures(lines), "line-trigrams")
     keyed = _banded(marks, 0).unionByName(_banded(grams, 1))
     crowded = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "line-buckets")
     met = materialize(filtered(keyed, "key", crowded.select("key")).join(crowded, "key"), "line-meetings")
-    texts = candidate_texts(lines, met.select("line").distinct())
+    discard(grams, crowded)
+    return met
+
+
+def linked_groups(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(line, root)`` for every line that is linked with another text, written; ``met`` from ``line_meetings`` and
+    ``texts`` from ``candidate_texts``, both deleted."""
     brief = F.when(F.col("chars") <= SHORT, F.col("norm")).alias("brief")
     central = materialize(met.groupBy("line").agg(F.sum("n").alias("central")), "line-centres")
     spots = materialize(met.select("key", "line").join(texts.select("line", "chars", "fp", brief).join(central, "line"), "line"), "line-spots")
+    discard(central)
     # Each line and the hub that it meets most often.
     ends = lambda end: [F.col(c).alias(c + end) for c in ("line", "chars", "fp", "brief")]
     middle = spots.groupBy("key").agg(F.max(F.struct("central", "line", "chars", "fp", "brief")).alias("hub")).select("key", "hub.*").select("key", *ends("_a"))
@@ -230,20 +243,24 @@ def line_groups(lines: DataFrame, marks: DataFrame) -> DataFrame:
     hubs = materialize(placed.groupBy("key", "slot").agg(leading).select("key", "slot", "hub.*").drop("central"), "bucket-hubs")
     spoke = placed.join(hubs.select("key", "slot", F.col("line").alias("first")), ["key", "slot"]).withColumn("leads", F.col("line") == F.col("first"))
     spoke = materialize(spoke.select("key", "line", "leads", "chars", "fp", "brief", "root"), "placed-buckets")
+    discard(spots, placed)
     rooted = lambda end: [*ends(end), F.col("root").alias(f"root{end}")]
     once = ~F.col("leads") | (F.col("line_b") < F.col("line_a"))
     apart = F.col("root_a") != F.col("root_b")
     around = spoke.select("key", "leads", *rooted("_b")).join(hubs.select("key", *rooted("_a")), "key").filter(apart & once & _worth("_a", "_b"))
     around = materialize(_asked(_unasked(around, starred)), "star-pairs")
+    discard(hubs)
     more = links_across(texts, around)
     # All other pairs that are still apart, each in the first bucket where it meets: of lines that both lead nothing,
     # or whose nearness the number of their buckets decides.
     links_so_far = materialize(links.select("a", "b").unionByName(more), "links-so-far")
     again = _placed(spoke.drop("root"), links_so_far)
+    discard(spoke)
     several = again.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     several = materialize(several, "open-buckets")
     keys = met.groupBy("line").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     opened = materialize(again.join(several, "key").join(keys, "line"), "open-lines")
+    discard(met, again, several)
     rooted = lambda end: [*ends(end), *(F.col(c).alias(c + end) for c in ("root", "leads", "keys"))]
     one, two = opened.select("key", *rooted("_a")), opened.select("key", *rooted("_b"))
     shared = F.array_intersect("keys_a", "keys_b")
@@ -252,7 +269,7 @@ def line_groups(lines: DataFrame, marks: DataFrame) -> DataFrame:
     rest = materialize(_unasked(rest, starred.unionByName(around.select("a", "b"))), "line-pairs")
     last = links_across(texts, rest)
     out = materialize(connected_components(links_so_far.unionByName(last), "a", "b").withColumnRenamed("node", "line"), "line-roots")
-    discard(grams, crowded, met, texts, central, spots, starred, links, placed, hubs, spoke, around, more, links_so_far, again, several, opened, rest, last)
+    discard(texts, starred, links, around, more, links_so_far, opened, rest, last)
     return out
 
 
@@ -287,12 +304,19 @@ def row_decisions(docs: DataFrame) -> DataFrame:
     stands in a row that is repeated."""
     lines = materialize(line_table(docs), "lines")
     marks = materialize(signatures(lines), "line-signatures")
-    roots = line_groups(lines, marks)
+    met = line_meetings(lines, marks)
+    copied = materialize(marks.filter("copies > 1").select("line"), "copied-lines")
+    discard(marks)
+    # Texts and minima are most of what is on disk, so they go as soon as they have been read.
+    texts = candidate_texts(lines, met.select("line").distinct())
+    places = materialize(lines.select("doc_id", "row", "line_no", "line"), "line-places")
+    discard(lines)
+    roots = linked_groups(met, texts)
     # Lines that occur once and are linked with nothing are kept; only the others are grouped.
-    repeated = marks.filter("copies > 1").select("line").join(roots, "line", "full").select("line", F.coalesce("root", "line").alias("root"))
+    repeated = copied.join(roots, "line", "full").select("line", F.coalesce("root", "line").alias("root"))
     repeated = materialize(repeated, "line-groups")
-    tagged = materialize(lines.select("doc_id", "row", "line_no", "line").join(repeated, "line", "left"), "tagged-lines")
-    discard(lines, marks, roots, repeated)
+    tagged = materialize(places.join(repeated, "line", "left"), "tagged-lines")
+    discard(places, copied, roots, repeated)
     at = ("doc_id", "row", "line_no")
     alone = tagged.filter("root is null").select(*at, F.col("line").alias("line_group"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("kept"))
     several = tagged.filter("root is not null").select(*at, F.col("root").alias("line_group"))
