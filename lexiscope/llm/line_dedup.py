@@ -38,6 +38,8 @@ SIMILARITY, CLOSE, DISTANCE = 0.8, 17, 23
 SHORT, LONG = 64, 200
 #: Characters of a chunk of a long line, without and with the space behind it.
 CHUNK, CHUNK_SPACE = 6, 7
+#: Share of the longer line that is compared on its own, from either end; unrelated texts of that length already differ by too much.
+WINDOW = 0.3
 #: Minima of a line, and the places that make up a band (counted from its own), of words and of trigrams.
 MINIMA, BANDS = 20, ((0, 1, 4, 6), (0, 1, 4, 6, 11))
 #: Hubs of a bucket.
@@ -152,12 +154,14 @@ def _asked(pairs: DataFrame) -> DataFrame:
     return met.filter((F.col("bits") <= CLOSE) | (F.col("n") > 1)).drop("n")
 
 
-def edit_similar() -> Column:
+def edit_similar(likely: bool = True) -> Column:
     """Whether 1 - distance / longer length of the columns ``one`` and ``two`` is at least SIMILARITY, at any length.
 
-    Two upper bounds of the distance are tried first, as they cost much less: words set against each other by
-    position; and the edit distance of long lines cut into chunks, of which an edit costs CHUNK_SPACE characters at
-    most.  Beyond them the exact distance decides.
+    Two upper bounds of the distance are tried, as they cost much less: words set against each other by position; and
+    the edit distance of long lines cut into chunks, of which an edit costs CHUNK_SPACE characters at most.  So are two
+    lower bounds, the distances of what is left of both texts without equally many of their last, or first, characters
+    (they never exceed that of the texts): lines that share a long passage mostly differ by too much on one side of it.
+    Beyond them the exact distance decides.  Lower bounds come first unless pairs are ``likely`` to be similar.
     """
     allowed = f"cast(floor(greatest(length(one), length(two)) * {1 - SIMILARITY:.6f}D + 1e-9D) as int)"
     words = "split(one, ' ')", "split(two, ' ')"
@@ -168,18 +172,19 @@ def edit_similar() -> Column:
     as_text = lambda x: f"decode(unhex(array_join(transform(w.{x}, v -> lpad(hex({place} + if({place} >= 55296, 2048, 0)), 4, '0')), '')), 'utf-16be')"
     bound = f"transform(array(struct({cut('one')} as x, {cut('two')} as y)), c -> struct(c.x as x, c.y as y, array_distinct(concat(c.x, c.y)) as z))"
     by_chunk = f"get(transform({bound}, w -> size(w.z) < 60000 and levenshtein({as_text('x')}, {as_text('y')}, cast(floor({allowed} / {CHUNK_SPACE}) as int)) >= 0), 0)"
-    return F.expr(
-        f"(size({words[0]}) = size({words[1]}) and {by_word} <= {allowed})"
-        f" or (length(one) > {LONG} and {by_chunk})"
-        f" or levenshtein(one, two, {allowed}) >= 0"
-    )
+    # Texts that the cut leaves nothing of differ in length by more than is allowed.
+    cut_off = f"cast(floor(greatest(length(one), length(two)) * {1 - WINDOW:.6f}D) as int)"
+    ends = " and ".join(f"levenshtein({side}(one, length(one) - {cut_off}), {side}(two, length(two) - {cut_off}), {allowed}) >= 0" for side in ("left", "right"))
+    in_words = f"(size({words[0]}) = size({words[1]}) and {by_word} <= {allowed})"
+    in_chunks, exactly = f"(length(one) > {LONG} and {by_chunk})", f"levenshtein(one, two, {allowed}) >= 0"
+    return F.expr(f"{in_words} or {in_chunks} or ({ends} and {exactly})" if likely else f"{in_words} or ({ends} and ({in_chunks} or {exactly}))")
 
 
-def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of lines whose texts are similar, written."""
+def verified(texts: DataFrame, pairs: DataFrame, likely: bool = True) -> DataFrame:
+    """The pairs ``(a, b)`` of lines whose texts are similar, written; ``likely`` as in ``edit_similar``."""
     left = pairs.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("one")), "a")
     both = left.join(texts.select(F.col("line").alias("b"), F.col("norm").alias("two")), "b")
-    return materialize(both.filter(edit_similar()).select(*pairs.columns), "line-links")
+    return materialize(both.filter(edit_similar(likely)).select(*pairs.columns), "line-links")
 
 
 def links_across(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -192,13 +197,13 @@ def links_across(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     end = lambda c: F.struct(F.col(c).alias("line"), F.struct("bits", "a", "b", "root_a", "root_b").alias("pair"))
     ends = pairs.select(F.explode(F.array(end("a"), end("b"))).alias("x")).select("x.*")
     nearest = materialize(ends.groupBy("line").agg(F.min("pair").alias("pair")).select("pair.*").distinct(), "nearest-pairs")
-    first = verified(texts, nearest)
+    first = verified(texts, nearest, likely=False)
     moved = materialize(connected_components(first, "root_a", "root_b"), "moved-roots")
     to = lambda c: moved.select(F.col("node").alias(c), F.col("root").alias(f"{c}_to"))
     left = pairs.join(nearest.select("a", "b"), ["a", "b"], "left_anti").join(to("root_a"), "root_a", "left").join(to("root_b"), "root_b", "left")
     left = left.filter(F.coalesce("root_a_to", "root_a") != F.coalesce("root_b_to", "root_b"))
     left = materialize(left.select("a", "b"), "pairs-left")
-    second = verified(texts, left)
+    second = verified(texts, left, likely=False)
     out = materialize(first.select("a", "b").unionByName(second), "links-across")
     discard(nearest, first, moved, left, second)
     return out
