@@ -103,22 +103,25 @@ def _counted(rows: DataFrame) -> DataFrame:
 def _figures(annotations: DataFrame, scopes: Mapping[str, Sequence[str]]) -> DataFrame:
     """``(KEYS, figures)``: annotations are shuffled once, by document, and what is distinct in a document is found there by
     grouping, which spills, so that no set of its texts is held in memory; its row has one entry a label and scope."""
-    named = [F.when(F.col("label").isin(*labels), F.lit(name)) for name, labels in scopes.items() if labels]
-    every = F.array_compact(F.array(F.lit(ALL), *named))
+    wanted = {ALL: F.lit(True), **{name: F.coalesce(F.col("label").isin(*labels), F.lit(False)) for name, labels in scopes.items() if labels}}
     row = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
-    identifiers = F.transform("identifiers", lambda x: row("identifiers", x))
-    dealt = annotations.select(*KEYS, "label", "text", F.transform("links", lambda x: x["identifier"]).alias("identifiers")).repartition(*KEYS)
+    identifiers = F.transform("links", lambda x: row("identifiers", x["identifier"]))
+    dealt = annotations.select(*KEYS, "label", "text", "links").repartition(*KEYS)
     rows = dealt.select(*KEYS, "label", F.explode(F.concat(F.array(row("annotations", F.col("label")), row("mentions", F.col("text"))), identifiers)).alias("x"))
-    # Scopes follow from labels, so a value comes once for each of its labels here and once for each scope below.
-    told = rows.groupBy(*KEYS, "label", "x").agg(F.count("*").alias("n"))
-    counted = F.col("x.kind") == "annotations"
-    scoped = told.select(*KEYS, F.explode(F.when(counted, F.array(F.lit(None).cast("string"))).otherwise(every)).alias("scope"), "x.*", "n")
-    told = scoped.groupBy(*KEYS, "kind", "scope", "value").agg(F.sum("n").alias("n"))
-    label = F.when(F.col("kind") == "annotations", F.col("value"))
-    # A missing text is no mention; a missing identifier is one value, NIL.
-    n = F.when(F.col("kind") == "annotations", F.col("n")).when((F.col("kind") == "mentions") & F.col("value").isNull(), 0).otherwise(1)
-    sums = told.groupBy(*KEYS, "kind", "scope", label.alias("label")).agg(F.sum(n).alias("n"))
-    return sums.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("kind", "scope", "label", "n"))).alias("figures"))
+    # A value is one row of its document, with a mark for each scope that has it, however many labels and scopes those are.
+    marks = [F.max(scope.cast("int")).alias(f"in{k}") for k, scope in enumerate(wanted.values())]
+    told = rows.groupBy(*KEYS, F.col("x.kind").alias("kind"), F.col("x.value").alias("value")).agg(F.count("*").alias("n"), *marks)
+    of = lambda kind, n: F.when(F.col("kind") == kind, n)
+    entry = lambda kind, scope, label, n: F.struct(F.lit(kind).alias("kind"), scope.cast("string").alias("scope"), label.cast("string").alias("label"), n.cast("long").alias("n"))
+    sums, entries, none = [], [], F.lit(None)
+    for k, name in enumerate(wanted):
+        # A missing text is no mention; a missing identifier is one value, NIL.
+        for kind, n in (("mentions", F.when(F.col("value").isNull(), 0).otherwise(F.col(f"in{k}"))), ("identifiers", F.col(f"in{k}"))):
+            sums += [F.sum(of(kind, n)).alias(f"{kind}{k}"), F.max(of(kind, F.col(f"in{k}"))).alias(f"{kind}{k}_there")]
+            entries.append(F.when(F.col(f"{kind}{k}_there") == 1, entry(kind, F.lit(name), none, F.col(f"{kind}{k}"))))
+    by_label = F.collect_list(of("annotations", entry("annotations", none, F.col("value"), F.col("n")))).alias("by_label")
+    found = told.groupBy(*KEYS).agg(by_label, *sums)
+    return found.select(*KEYS, F.sort_array(F.concat("by_label", F.array_compact(F.array(*entries)))).alias("figures"))
 
 
 def summarised(corpus: Corpus, scopes: Mapping[str, Sequence[str]] | None = None, parts: Iterable[str] = PARTS, units: Iterable[str] = UNITS) -> Summary:
