@@ -255,10 +255,11 @@ def identifier_redundancy_stats(corpus, targets, scopes=None, where=None):
 
 
 def _degrees(corpus, targets, scopes, where, group, member):
-    """Statistics of the number of distinct ``member`` per ``group``."""
-    tagged = with_scopes(_mentions(corpus, where), scopes)
-    rows = tagged.select("corpus", "subset", "scope", group.alias("g"), member.alias("m")).distinct()
-    found = at_targets(rows, targets).distinct().groupBy(*BY, "g").agg(F.count("*").alias("value"))
+    """Statistics of the number of distinct ``member`` per ``group``, one of which tells the label: so scopes, which follow
+    from labels, are told after rows were made distinct."""
+    rows = _mentions(corpus, where).select("corpus", "subset", "label", group.alias("g"), member.alias("m")).distinct()
+    tagged = with_scopes(at_targets(rows, targets).distinct(), scopes)
+    found = tagged.groupBy(*BY, "g").agg(F.count("*").alias("value"))
     return st.complete(st.describe(found, BY), every_pair(targets, scopes))
 
 
